@@ -31,7 +31,7 @@ from .graph import components
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
-BINNED, PERMUTED = 128, 160  # PERMUTED >= BINNED / THRESHOLD
+BINNED, PERMUTED = 256, 320  # PERMUTED >= BINNED / THRESHOLD
 BATCH_CHARS, SEED = 1 << 19, 11
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(1, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
