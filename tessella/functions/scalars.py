@@ -72,4 +72,5 @@ def word_chunks(x: Column, size: int = 512) -> Column:
 def embed(x: Column, dimensions: int = 64) -> Column:
     """A stand-in for a text model: counts of hashed tokens, as a vector."""
     slots = F.transform(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counted = lambda v, s: F.transform(v, lambda n, i: F.when(i == s, n + 1).otherwise(n))
+    return F.aggregate(slots, F.array_repeat(F.lit(0.0), dimensions), counted)

@@ -20,6 +20,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(TINY))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length one; the length is worked out once, not for each element."""
+    return F.zip_with(a, F.array_repeat(norm(a) + F.lit(TINY), F.size(a)), lambda x, n: x.cast("double") / n)
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 

@@ -160,15 +160,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, h) for the distinct line hashes of each band key that has two or more; g is the same for
-    the same set of lines."""
+    """(g, h) for the distinct line hashes of each band key that has two or more; g is the least of
+    them, so the groups that bands make of about the same lines fall together."""
     for t in _whole_groups(batches, "k"):
         k, h = t.column("k").to_numpy(), t.column("h").to_numpy()
         new = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])]
         k, h = k[new], h[new]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         n = np.diff(np.r_[first, len(k)])
-        group = np.add.reduceat(_mixed(h.view(np.uint64)), first).view(np.int64)
+        group = np.minimum.reduceat(h, first)
         many = np.repeat(n > 1, n)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, n)[many]), pa.array(h[many])], ["g", "h"])
 
@@ -221,11 +221,13 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     dealt = texts.mapInArrow(_bands, "k bigint, h bigint").repartition("k").sortWithinPartitions("k", "h")
     groups = materialize(dealt.mapInArrow(_groups, "g bigint, h bigint").distinct(), "lines-groups")
+    del dealt
     release_shuffles(spark)
     lines = texts.mapInArrow(_texts, "h bigint, line string")
     told = groups.join(lines.groupBy("h").agg(F.first("line").alias("line")), "h")
     told = told.repartition("g").sortWithinPartitions("g", "h")
     links = materialize(told.select("g", "h", "line").mapInArrow(_verified, "a bigint, b bigint"), "lines-links")
+    del lines, told
     release_shuffles(spark)
     out = components(links).select(F.col("node").alias("h"), "root")
     discard(groups, links)

@@ -172,7 +172,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 def mean_pairwise_cosine(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """(by, n, mean_cosine, radius) without forming pairs: n unit vectors with sum s have mean
     pairwise cosine (|s|^2 - n) / (n (n - 1)), and mean cosine |s| / n to their centroid."""
-    unit = df.withColumn("u", F.transform(vector, lambda x: x.cast("double") / (vectors.norm(F.col(vector)) + F.lit(vectors.TINY))))
+    unit = df.withColumn("u", vectors.unit(F.col(vector)))
     s = unit.select(*by, F.posexplode("u").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     d = s.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"))
     n = F.col("n").cast("double")
@@ -183,7 +183,7 @@ def sliding_coherence(df: DataFrame, order: str, vector: str, by: list[str], siz
     """Mean cosine of the vectors of each window to its centroid; windows of ``size`` rows, every ``step``."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
     n = F.count("*").over(Window.partitionBy(*by))
-    d = df.withColumn("at", at).withColumn("n", n).withColumn("u", F.transform(vector, lambda x: x.cast("double") / (vectors.norm(F.col(vector)) + F.lit(vectors.TINY))))
+    d = df.withColumn("at", at).withColumn("n", n).withColumn("u", vectors.unit(F.col(vector)))
     first = F.greatest(F.lit(0), F.floor((F.col("at") - size) / step) + 1).cast("int")
     last = F.least(F.floor(F.col("at") / step), F.floor((F.col("n") - size) / step)).cast("int")
     d = d.withColumn("window", F.explode(F.when((F.col("n") >= size) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
