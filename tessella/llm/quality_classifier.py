@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text is a set of hashed features: its words, the graded shares of its tokens' shapes (case,
-symbols, punctuation), and a few more graded shares such as repeated words and lines. One weight vector,
-shared by all grades, gives a score s, and ordered thresholds t_1 < t_2 < ... give
+A text is a set of hashed features: its words, beginnings that several of its words share, the
+graded shares of its tokens' shapes (case, symbols, punctuation), and a few more graded shares such
+as repeated words and lines. One weight vector, shared by all grades, gives a score s, and ordered thresholds t_1 < t_2 < ... give
 P(grade >= k) = sigmoid(s - t_k). Expected grade and tail probability follow and select documents.
 The fit reads a bounded sample of rated documents, ``FIT_ROWS``.
 """
@@ -23,9 +23,10 @@ from .common import id_and_text
 
 BITS = 18
 FIT_ROWS = 20_000
-EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.1, 1e-4, 7
-#: A feature counts only if this share of the sample's documents has it, and three of them.
-LEAST_SHARE = 0.002
+EPOCHS, BATCH, RATE, DECAY, SEED = 20, 64, 0.3, 1e-4, 7
+#: A feature counts only if this share of the sample's documents has it, and three of them, and if
+#: their mean grade is so many standard errors away from that of all.
+LEAST_SHARE, LEAST_Z = 0.001, 4.0
 SHARES = (0.001, 0.01, 0.03, 0.1, 0.3, 0.6, 0.9)
 _EDGES = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
 
@@ -37,6 +38,8 @@ def _grade(x: float) -> int:
 #: What a token may be; a share of each among the tokens is a feature.
 SHAPES = ("upper", "symbol", "bang", "stop", "digit", "bare")
 CACHE_TOKENS = 300_000
+#: Word beginnings of so many letters are features if so many words, and this share, have them.
+STEMS, LEAST_STEMS, STEM_SHARE = (5, 6, 7), 2, 0.005
 
 
 def _hash(name: bytes) -> int:
@@ -44,11 +47,13 @@ def _hash(name: bytes) -> int:
 
 
 class _Tokens(dict):
-    """The hashed word of each token, and its shapes as bits above it; bounded."""
+    """The row of each token in ``table``: its hashed word, its shapes as bits, and its hashed
+    beginnings; bounded."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros((CACHE_TOKENS, 2 + len(STEMS)), np.int32)
 
     def __missing__(self, t: bytes) -> int:
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
         w = _EDGES.sub(b"", t)
         shapes = (
             len(w) > 1 and w.isupper(),
@@ -58,8 +63,19 @@ class _Tokens(dict):
             any(48 <= x < 58 for x in t),
             not w,
         )
-        self[t] = out = _hash(w.lower()) | sum(bool(x) << (BITS + i) for i, x in enumerate(shapes))
-        return out
+        low = w.decode("utf-8", "replace").lower()
+        stems = (_hash(b"\x01" + low[:k].encode()) if len(low) >= k else -1 for k in STEMS)
+        self.table[len(self)] = (_hash(low.encode()), sum(bool(x) << i for i, x in enumerate(shapes)), *stems)
+        self[t] = row = len(self)
+        return row
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
+        """The table's rows of these tokens; a text's new tokens always find room."""
+        if len(self) + len(tokens) > len(self.table):
+            self.clear()
+            if len(tokens) > len(self.table):
+                self.table = np.zeros((2 * len(tokens), self.table.shape[1]), np.int32)
+        return np.array([self[t] for t in tokens], np.int64)
 
 
 _TOKENS = _Tokens()
@@ -68,17 +84,24 @@ _TOKENS = _Tokens()
 def features(text: str) -> np.ndarray:
     """Distinct hashed features of a whole text, sorted, int32."""
     tokens = text.encode().split()
-    coded = np.array([_TOKENS[t] for t in tokens], np.int64)
-    n = max(len(coded), 1)
-    word, times = np.unique(coded & ((1 << BITS) - 1), return_counts=True)
-    graded = {k: int((coded >> (BITS + i) & 1).sum()) / n for i, k in enumerate(SHAPES)}
-    graded["same"] = int((coded[1:] == coded[:-1]).sum()) / n
+    rows = _TOKENS.rows(tokens)
+    n = max(len(rows), 1)
+    distinct, times = np.unique(rows, return_counts=True)
+    coded = _TOKENS.table[distinct]
+    word = np.unique(coded[:, 0])
+    graded = {k: int(times[(coded[:, 1] >> i & 1) == 1].sum()) / n for i, k in enumerate(SHAPES)}
+    graded["same"] = int((rows[1:] == rows[:-1]).sum()) / n
     graded["distinct"] = len(word) / n
-    graded["top"] = int(times.max(initial=0)) / n
+    graded["top"] = int(np.bincount(np.searchsorted(word, coded[:, 0]), times, len(word)).max(initial=0)) / n
     lines = [x for x in text.split("\n") if x.strip()]
     graded["lines"] = 1 - len(set(lines)) / max(len(lines), 1)
-    names = [b"\x00%s=%d" % (k.encode(), _grade(v)) for k, v in graded.items()] + [b"\x00length=%d" % len(coded).bit_length()]
-    return np.unique(np.r_[word, [_hash(x) for x in names]]).astype(np.int32)
+    names = [b"\x00%s=%d" % (k.encode(), _grade(v)) for k, v in graded.items()] + [b"\x00length=%d" % len(rows).bit_length()]
+    # beginnings that many of the words share: the compounds and inflections of one stem
+    stems = coded[:, 2:].ravel()
+    stem, at = np.unique(stems[stems >= 0], return_inverse=True)
+    often = np.bincount(at, np.repeat(times, len(STEMS))[stems >= 0], len(stem))
+    common = stem[(often >= LEAST_STEMS) & (often >= STEM_SHARE * n)]
+    return np.unique(np.r_[word, common, [_hash(x) for x in names]]).astype(np.int32)
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +125,21 @@ class Ordinal:
         return _sigmoid(s[:, None] - self.thresholds)
 
 
+def _telling(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+    """Which features are frequent enough and have a mean grade far enough from that of all."""
+    if not rows:
+        return np.zeros(1 << BITS, bool)
+    i, at = _flat(rows)
+    seen = np.bincount(i, minlength=1 << BITS)
+    off = np.bincount(i, np.repeat(grades - grades.mean(), np.diff(at)), 1 << BITS)
+    z = np.abs(off) / np.maximum(grades.std() * np.sqrt(seen), 1e-12)
+    return (seen >= max(3, LEAST_SHARE * len(rows))) & (z >= LEAST_Z)
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> Ordinal:
     """Minimise the sum over thresholds of the logistic loss of "grade is at least k" (the
     all-threshold form of the cumulative link) by AdaGrad."""
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS, int)
-    usable = (seen >= max(3, LEAST_SHARE * len(rows))).astype(float)
+    usable = _telling(rows, grades).astype(float)
     w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     t, gt = np.linspace(-1.0, 1.0, max(levels - 1, 1))[: levels - 1], np.full(levels - 1, 1e-6)
     k = np.arange(1, levels)
