@@ -85,12 +85,12 @@ def votes(counted: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> Data
     return counted.withColumns(cast)
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[tuple[int, int], float]]]:
-    """The share of good documents, and for each rule the probability of (vote, quality).
+def estimate(patterns: dict[tuple[int, ...], int], k: int, rounds: int = ROUNDS) -> tuple[float, list[dict[tuple[int, int], float]]]:
+    """The share of good documents, and for each of k rules the probability of (vote, quality).
 
     The first guess, rules being mostly right and documents mostly good, stays in as a small share
     of the documents, which keeps the two classes from changing places."""
-    n, k = sum(patterns.values()), len(next(iter(patterns), ()))
+    n = sum(patterns.values())
     first = {
         (GOOD, GOOD): 0.7 * PRIOR_RIGHT, (BAD, GOOD): 0.7 * (1 - PRIOR_RIGHT), (NONE, GOOD): 0.3,
         (GOOD, BAD): 0.7 * (1 - PRIOR_RIGHT), (BAD, BAD): 0.7 * PRIOR_RIGHT, (NONE, BAD): 0.3,
@@ -126,7 +126,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = votes(materialize(counts(id_and_text(docs, id_col, text_col)), "quality-counts"), rules)
     names = [f"vote_{k}" for k in rules]
     found = held.groupBy(*names).count().collect()  # 3 to the number of rules at most
-    good, chance = estimate({tuple(r[x] for x in names): r["count"] for r in found})
+    good, chance = estimate({tuple(r[x] for x in names): r["count"] for r in found}, len(names))
     logit = F.lit(math.log(good / (1 - good)))
     for x, c in zip(names, chance, strict=True):
         weight = {v: math.log(c[v, GOOD] / c[v, BAD]) for v in (GOOD, BAD, NONE)}
