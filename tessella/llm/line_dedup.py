@@ -11,6 +11,9 @@ which costs one hash a shingle. Lines between have both. Two lines at the thresh
 shingles by no more than its inverse, so they share at least one kind. Ten bands of four find a
 pair at likeness 0.8 with probability 0.995.
 
+A candidate group may hold a large part of all lines. Groups of over ``BLOCK`` lines are therefore
+compared with one of their lines by a join, and the rest in blocks (:func:`_large_group_links`).
+
 What moves over the cluster: a band key and line hash for each band of each line, then each
 distinct line's text once to its candidates, then line numbers, then the documents that lose lines.
 """
@@ -33,6 +36,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
 BINNED, PERMUTED = 256, 320  # PERMUTED >= BINNED / THRESHOLD
 BATCH_CHARS, SEED = 1 << 19, 11
+#: Lines of a candidate group that one step compares (twice as many at most).
+BLOCK = 512
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(1, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -161,16 +166,23 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, h) for the distinct line hashes of each band key that has two or more; g is the least of
-    them, so the groups that bands make of about the same lines fall together."""
-    for t in _whole_groups(batches, "k"):
-        k, h = t.column("k").to_numpy(), t.column("h").to_numpy()
-        new = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])]
-        k, h = k[new], h[new]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        n = np.diff(np.r_[first, len(k)])
-        group = np.minimum.reduceat(h, first)
-        many = np.repeat(n > 1, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, n)[many]), pa.array(h[many])], ["g", "h"])
+    them, so the groups that bands make of about the same lines fall together. The rows come sorted
+    by key and hash, so the first of a key is g and nothing of a group is held."""
+    key = g = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, h = batch.column("k").to_numpy(), batch.column("h").to_numpy()
+        first = np.flatnonzero(np.r_[k[0] != key, k[1:] != k[:-1]])
+        start = h[first]
+        if not len(first) or first[0]:  # the last key goes on
+            first, start = np.r_[0, first], np.r_[g, start]
+        group = np.repeat(start, np.diff(np.r_[first, len(k)]))
+        other = group != h
+        key, g = k[-1], group[-1]
+        group, h = group[other], h[other]
+        least = np.unique(group)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[least, group]), pa.array(np.r_[least, h])], ["g", "h"])
 
 
 def shingles(line: str) -> set[str]:
@@ -202,17 +214,70 @@ def links_in(lines: list[tuple[int, set[str]]]) -> list[tuple[int, int]]:
     return links
 
 
+def _links_of(part: pa.Table, key: str) -> pa.RecordBatch:
+    """Links of whole groups by ``key``."""
+    g, h, lines = part.column(key).to_numpy(), part.column("h").to_pylist(), part.column("line")
+    links = []
+    for lo, hi in pairwise([*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]):
+        seen = {}
+        for i in range(lo, hi):
+            if h[i] not in seen:
+                seen[h[i]] = shingles(lines[i].as_py())
+        links += links_in(list(seen.items()))
+    return _pairs(links)
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _whole_groups(batches, "g"):
-        g, h, lines = t.column("g").to_numpy(), t.column("h").to_pylist(), t.column("line")
-        links = []
-        for lo, hi in pairwise([*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]):
-            seen = {}
-            for i in range(lo, hi):
-                if h[i] not in seen:
-                    seen[h[i]] = shingles(lines[i].as_py())
-            links += links_in(list(seen.items()))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        yield _links_of(t, "g")
+
+
+def _verified_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _whole_groups(batches, "pair"):
+        yield _links_of(t, "pair")
+
+
+def _like_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each line is like its group's pivot."""
+    for batch in batches:
+        pivot, near = {}, []
+        for line, p in zip(batch.column("line").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+            if p not in pivot:
+                pivot = {p: shingles(p)}
+            near.append(alike(shingles(line), pivot[p]))
+        yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("h"), batch.column("line"), pa.array(near)], ["g", "h", "line", "near"])
+
+
+def _large_group_links(told: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) of groups with over ``BLOCK`` lines, as exact as those of small ones, with no
+    group in one task.
+
+    Each line is compared with the group's pivot, its least hash, by a join. What is like the pivot
+    is linked to it, so only pairs with a line that isn't (a rest) can add links. Those pairs are
+    walked in blocks: each block of the rest with each block of the group, at most 2 * ``BLOCK``
+    lines at once. A group of near copies has hardly any rest, however large it is.
+    """
+    pivots = told.where("g = h").select("g", F.col("line").alias("pivot"))
+    seen = materialize(told.join(pivots, "g").select("g", "h", "line", "pivot").mapInArrow(_like_pivot, "g bigint, h bigint, line string, near boolean"), "lines-pivots")
+    rest = seen.where("not near").groupBy("g").agg(F.count("*").alias("n_rest"))
+    blocks = rest.join(sizes, "g").select("g", *(F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("n_rest", "rests"), ("n", "members"))))
+    dealt = seen.join(blocks, "g")
+    at = lambda n, seed: F.pmod(F.xxhash64("h", F.lit(seed)), F.col(n))
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_rest = dealt.where("not near").select("g", "h", "line", at("rests", 1).alias("i"), F.explode(all_of("members")).alias("j"))
+    as_member = dealt.select("g", "h", "line", F.explode(all_of("rests")).alias("i"), at("members", 2).alias("j"))
+    pairs = as_rest.unionByName(as_member).select(F.xxhash64("g", "i", "j").alias("pair"), "h", "line")
+    walked = pairs.repartition("pair").sortWithinPartitions("pair", "h").mapInArrow(_verified_blocks, "a bigint, b bigint")
+    return seen.where("near and g <> h").select(F.col("h").alias("a"), F.col("g").alias("b")).unionByName(walked)
+
+
+def _small_group_links(told: DataFrame) -> DataFrame:
+    dealt = told.select("g", "h", "line").repartition("g").sortWithinPartitions("g", "h")
+    return dealt.mapInArrow(_verified, "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -225,12 +290,17 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     release_shuffles(spark)
     lines = texts.mapInArrow(_texts, "h bigint, line string")
     told = groups.join(lines.groupBy("h").agg(F.first("line").alias("line")), "h")
-    told = told.repartition("g").sortWithinPartitions("g", "h")
-    links = materialize(told.select("g", "h", "line").mapInArrow(_verified, "a bigint, b bigint"), "lines-links")
+    large = materialize(groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "lines-large")
+    if large.isEmpty():
+        links = _small_group_links(told)
+    else:
+        told = materialize(told.join(large, "g", "left").select("g", "h", "line", F.col("n").isNotNull().alias("large")), "lines-told")
+        links = _small_group_links(told.where("not large")).unionByName(_large_group_links(told.where("large").drop("large"), large))
+    links = materialize(links, "lines-links")
     del lines, told
     release_shuffles(spark)
     out = components(links).select(F.col("node").alias("h"), "root")
-    discard(groups, links)
+    discard(groups, links, large)
     return out
 
 

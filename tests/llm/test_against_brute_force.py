@@ -321,6 +321,22 @@ def test_group_links_join_as_all_pairs_do():
     assert [want.find(k) for k in range(40)] == [got.find(k) for k in range(40)]
 
 
+def test_large_groups_in_blocks_join_as_in_one_piece(spark, monkeypatch):
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefghij ") for _ in range(300))
+    lines = []
+    for k in range(120):  # near copies, and chains that lead away from them
+        x = list(lines[-1] if lines and k % 3 == 0 else base)
+        for _ in range(r.randint(1, 3)):
+            x[r.randrange(len(x))] = r.choice("xyz")
+        lines.append("".join(x))
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string").repartition(3)
+    whole = {tuple(x) for x in line_dedup.line_components(d).collect()}
+    monkeypatch.setattr(line_dedup, "BLOCK", 6)
+    assert {tuple(x) for x in line_dedup.line_components(d).collect()} == whole
+    assert len(whole) > 100
+
+
 # 8: language
 
 
