@@ -36,8 +36,9 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
 BINNED, PERMUTED = 256, 320  # PERMUTED >= BINNED / THRESHOLD
 BATCH_CHARS, SEED = 1 << 19, 11
-#: Lines of a candidate group that one step compares (twice as many at most).
-BLOCK = 512
+#: Lines of a candidate group that one step compares (twice as many at most), and line hashes that a
+#: worker remembers.
+BLOCK, SEEN_LINES = 512, 1 << 18
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(1, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -113,20 +114,29 @@ def _batches(texts: list[str]) -> Iterator[list[list[str]]]:
         yield [normal_lines(t) for t in texts[lo:hi]]
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Lines of a shingle or more and their hashes, mostly without repeats: each batch's are
+    distinct, and a bounded set remembers those of earlier ones."""
+    seen: set[int] = set()
     for batch in batches:
         for docs in _batches(batch.column("text").to_pylist()):
-            lines = list({x: None for d in docs for x in d if len(x) >= SHINGLE})
-            which, keys = band_keys(lines)
-            hashes = np.array([line_hash(x) for x in lines], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[which] if len(lines) else which)], ["k", "h"])
+            found = {line_hash(x): x for x in {x: None for d in docs for x in d if len(x) >= SHINGLE}}
+            new = [h for h in found if h not in seen]
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+            seen.update(new)
+            yield [found[h] for h in new], np.array(new, np.int64)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lines, hashes in _new_lines(batches):
+        which, keys = band_keys(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[which])], ["k", "h"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs in _batches(batch.column("text").to_pylist()):
-            lines = list({x: None for d in docs for x in d if len(x) >= SHINGLE})
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["h", "line"])
+    for lines, hashes in _new_lines(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(lines, pa.string())], ["h", "line"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +298,7 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     groups = materialize(dealt.mapInArrow(_groups, "g bigint, h bigint").distinct(), "lines-groups")
     del dealt
     release_shuffles(spark)
-    lines = texts.mapInArrow(_texts, "h bigint, line string")
+    lines = texts.mapInArrow(_texts, "h bigint, line string").join(groups.select("h"), "h", "left_semi")
     told = groups.join(lines.groupBy("h").agg(F.first("line").alias("line")), "h")
     large = materialize(groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "lines-large")
     if large.isEmpty():
