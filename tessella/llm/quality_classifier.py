@@ -28,6 +28,7 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 20, 64, 0.3, 1e-4, 7
 #: their mean grade is so many standard errors away from that of all.
 LEAST_SHARE, LEAST_Z = 0.001, 4.0
 SHARES = (0.001, 0.01, 0.03, 0.1, 0.3, 0.6, 0.9)
+_SYMBOLS, _DIGITS = frozenset("#$%&*|<>"), frozenset("0123456789")
 _EDGES = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
 
 
@@ -42,8 +43,8 @@ CACHE_TOKENS = 300_000
 STEMS, LEAST_STEMS, STEM_SHARE = (5, 6, 7), 2, 0.005
 
 
-def _hash(name: bytes) -> int:
-    return xxhash.xxh32_intdigest(name) & ((1 << BITS) - 1)
+def _hash(name: bytes | str, seed: int = 0) -> int:
+    return xxhash.xxh32_intdigest(name, seed) & ((1 << BITS) - 1)
 
 
 class _Tokens(dict):
@@ -52,21 +53,23 @@ class _Tokens(dict):
 
     def __init__(self) -> None:
         self.table = np.zeros((CACHE_TOKENS, 2 + len(STEMS)), np.int32)
-
-    def __missing__(self, t: bytes) -> int:
-        w = _EDGES.sub(b"", t)
-        shapes = (
-            len(w) > 1 and w.isupper(),
-            any(x in t for x in b"#$%&*|<>"),
-            b"!" in t,
-            t.endswith((b".", b"?", b";", b":")),
-            any(48 <= x < 58 for x in t),
-            not w,
-        )
-        low = w.decode("utf-8", "replace").lower()
-        stems = (_hash(b"\x01" + low[:k].encode()) if len(low) >= k else -1 for k in STEMS)
-        self.table[len(self)] = (_hash(low.encode()), sum(bool(x) << i for i, x in enumerate(shapes)), *stems)
-        self[t] = row = len(self)
+        self.new: list[tuple[int, ...]] = []
+
+    def __missing__(self, token: bytes) -> int:
+        t = token.decode()
+        if t.isalpha():
+            w, shapes = t, 0
+        elif t[-1] in ",." and t[:-1].isalpha():  # most others
+            w, shapes = t[:-1], 8 * (t[-1] == ".")
+        else:
+            w = _EDGES.sub(b"", token).decode()
+            marks = (not _SYMBOLS.isdisjoint(t), "!" in t, t[-1] in ".?;:", not _DIGITS.isdisjoint(t), not w)
+            shapes = sum(x << i for i, x in enumerate(marks, 1))
+        low = w.lower()
+        shapes |= len(w) > 1 and w.isupper()
+        n = len(low)
+        self.new.append((_hash(low), shapes, *[_hash(low[:k], 1) if n >= k else -1 for k in STEMS]))
+        self[token] = row = len(self)
         return row
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
@@ -75,7 +78,12 @@ class _Tokens(dict):
             self.clear()
             if len(tokens) > len(self.table):
                 self.table = np.zeros((2 * len(tokens), self.table.shape[1]), np.int32)
-        return np.array([self[t] for t in tokens], np.int64)
+        held = len(self)
+        found = np.array([self[t] for t in tokens], np.int64)
+        if self.new:
+            self.table[held : held + len(self.new)] = self.new
+            self.new = []
+        return found
 
 
 _TOKENS = _Tokens()
