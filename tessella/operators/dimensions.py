@@ -4,6 +4,11 @@ A persona without enough input has no row here; :func:`with_skips` reports it as
 
 from __future__ import annotations
 
+import functools
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,17 +160,86 @@ def register_inflation(rows: DataFrame, basic: Column, advanced: Column) -> Data
     return d.withColumn("score", F.greatest(F.lit(0.0), 1 - 2.5 * excess)).withColumn("passed", F.col("lean") <= F.col("limit"))
 
 
+#: Distinct vectors that one side of a task of near_pairs() holds at most, about, and the parts that they are dealt in at least.
+PART_VECTORS, LEAST_PARTS = 4096, 8
+#: Places whose ranges cut the vectors, and room for rounding.
+CUT_PLACES, ROOM = 3, 1e-9
+
+
+def _near_in_tile(g: pd.DataFrame, near: float) -> pd.DataFrame:
+    """Near pairs of the vectors of one pair of parts, copies counted. Pairs whose distance is within rounding
+    of the bound are worked out again in the order that vectors.cosine() adds in."""
+    first, second = g[g["first"]], g[~g["first"]]
+    one = second.empty
+    second = first if one else second
+    found = 0
+    if len(first) and len({len(v) for v in g["v"]}) > 1:  # vectors of unlike length are never near
+        return pd.concat(_near_in_tile(x, near) for _, x in g.groupby(g["v"].map(len)))
+    if not len(first):
+        return pd.DataFrame({"pairs": [0]})
+    a, b = (np.array(d["v"].tolist(), dtype="float64") for d in (first, second))
+    na, nb = (np.sqrt((x * x).sum(axis=1)) for x in (a, b))
+    ca, cb = (d["copies"].to_numpy("int64") for d in (first, second))
+    for at in range(0, len(a), 512):
+        rows = slice(at, at + 512)
+        far = 1 - (a[rows] @ b.T) / (na[rows, None] * nb[None] + vectors.TINY)
+        i, j = np.nonzero(far < near + ROOM)
+        sure = far[i, j] < near - ROOM
+        i = i + at
+        keep = i < j if one else np.ones(len(i), dtype=bool)
+        for k in np.nonzero(keep & ~sure)[0]:
+            x, y = a[i[k]].tolist(), b[j[k]].tolist()
+            dot = lambda p, q: functools.reduce(lambda s, t: s + t[0] * t[1], zip(p, q, strict=True), 0.0)
+            keep[k] = 1 - dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)) + vectors.TINY) < near
+        found += int((ca[i[keep]] * cb[j[keep]]).sum())
+    return pd.DataFrame({"pairs": [found]})
+
+
+def near_pairs(rows: DataFrame, near: float) -> DataFrame:
+    """(near_duplicates): how many pairs of rows (v) are at a cosine distance below ``near`` (1 at most).
+
+    Equal vectors are one, with their count. Unit vectors at that distance lie within sqrt(2 near), so
+    they are in the same or in neighbouring ranges of that width on any place; the ranges on the places of
+    greatest variance cut the vectors, which loses no pair. Ranges are dealt by hash into parts of about
+    ``PART_VECTORS``, and each pair of parts in ranges that touch is a task which compares all with all.
+    Where the vectors don't differ much on these places, that is every pair of parts."""
+    if not 0 < near <= 1:
+        raise ValueError("near must be over 0, and 1 at most")
+    norm = vectors.norm(F.col("v"))
+    held = rows.select(F.col("v").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null or isnan(x))")
+    # of no length, or of one that isn't a number: near to nothing
+    held = held.groupBy("v").agg(F.count("*").alias("copies")).withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    d = held.withColumn("u", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))))
+    places = [r["i"] for r in d.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("var")).orderBy(F.desc("var"), "i").limit(CUT_PLACES).collect()]
+    width = math.sqrt(2 * near) + ROOM
+    bucket = [F.floor(F.coalesce(F.get("u", F.lit(i)), F.lit(0.0)) / width).cast("int") for i in places]
+    d = d.select("v", "copies", F.array(*bucket).alias("bucket"))
+    # at most (2 / width + 2) ** CUT_PLACES ranges, whatever the input
+    sizes = {tuple(r["bucket"]): r["n"] for r in d.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    most = max(1, min(PART_VECTORS, math.ceil(sum(sizes.values()) / LEAST_PARTS)))
+    parts, start = {}, 0
+    for k in sorted(sizes):
+        parts[k] = (start, math.ceil(sizes[k] / most))
+        start += parts[k][1]
+    touching = [(list(k), *parts[k], [x for o, x in parts.items() if all(abs(p - q) <= 1 for p, q in zip(k, o, strict=True))]) for k in parts]
+    plan = rows.sparkSession.createDataFrame(touching, "bucket array<int>, start int, n int, others array<struct<at:int,size:int>>")
+    mine = F.col("start") + F.pmod(F.xxhash64("v"), F.col("n")).cast("int")
+    other = F.flatten(F.transform("others", lambda o: F.sequence(o["at"], o["at"] + o["size"] - 1)))
+    d = d.join(F.broadcast(plan), "bucket").withColumn("mine", mine).select("v", "copies", "mine", F.explode(other).alias("other"))
+    tiles = d.select("v", "copies", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("first"))
+    across = tiles.groupBy("a", "b").applyInPandas(lambda g: _near_in_tile(g, near), "pairs long")
+    # copies of one vector are near unless it is so short that TINY counts
+    alike = held.where((F.col("copies") > 1) & (1 - vectors.cosine(F.col("v"), F.col("v")) < near))
+    alike = alike.select(F.expr("copies * (copies - 1) div 2").alias("pairs"))
+    return across.unionByName(alike).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("near_duplicates"))
+
+
 def distinctiveness(personas: DataFrame, near: float = 0.05, least: float = 0.1) -> DataFrame:
     """D6, set level, over (persona_id, v): mean cosine distance over 0.5, and near-duplicate pairs.
 
-    The mean comes from the sum of unit vectors. Near-duplicates are looked for among personas
-    that agree in the rounded direction of their three largest places."""
+    The mean comes from the sum of unit vectors, near-duplicates from :func:`near_pairs`."""
     m = scoring.mean_pairwise_cosine(personas.withColumn("g", F.lit(0)), ["g"], "v")
-    top = F.slice(F.transform(F.array_sort(F.transform("v", lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), lambda s: s["i"]), 1, 3)
-    d = personas.withColumn("block", F.array_join(F.array_sort(top), ","))
-    pairs = d.alias("a").join(d.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{KEY}") < F.col(f"b.{KEY}")))
-    dup = pairs.where(1 - vectors.cosine(F.col("a.v"), F.col("b.v")) < near).agg(F.count("*").alias("near_duplicates"))
-    out = m.join(dup, F.lit(True)).withColumn("distance", 1 - F.col("mean_cosine"))
+    out = m.join(near_pairs(personas, near), F.lit(True)).withColumn("distance", 1 - F.col("mean_cosine"))
     return out.select("n", "distance", "near_duplicates", F.least(F.lit(1.0), F.col("distance") / 0.5).alias("score"), ((F.col("near_duplicates") == 0) & (F.col("distance") >= least)).alias("passed"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import sets, stats, text
-from tessella.operators import agreement, ingest, research, scoring, segment
+from tessella.operators import agreement, dimensions, ingest, research, scoring, segment
 from tessella.streaming import events as stream
 
 
@@ -124,6 +124,35 @@ def test_mean_pairwise_cosine_is_that_of_all_pairs(spark):
     assert scoring.mean_pairwise_cosine(d, ["g"], "v").first()["mean_cosine"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("part", [dimensions.PART_VECTORS, 16])
+def test_near_pairs_are_those_of_all_pairs(spark, monkeypatch, part):
+    """Planted pairs about the bound, copies, scaled copies, and vectors that are near to nothing."""
+    import numpy as np
+
+    monkeypatch.setattr(dimensions, "PART_VECTORS", part)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(150, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(u)
+    for v, far in zip(u[:90], [0.01, 0.03, 0.045, 0.0499, 0.0501, 0.06] * 15, strict=True):
+        w = r.normal(size=64)
+        w -= w @ v * v
+        w /= np.linalg.norm(w)
+        c = 1 - far
+        rows.append(c * v + np.sqrt(1 - c * c) * w)
+    rows += [u[100]] * 40 + [3 * u[101], np.zeros(64), np.zeros(64), np.full(64, np.nan), np.full(64, 1e-8), np.full(64, 1e-8)]
+    g = np.array(rows)
+    n = np.sqrt((g * g).sum(axis=1))
+    want = int(np.triu(1 - g @ g.T / (n[:, None] * n + 1e-10) < 0.05, 1).sum())
+    assert want >= 60 + 820 + 1
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(-1, None)], "persona_id long, v array<double>")
+    assert dimensions.near_pairs(d, 0.05).first()["near_duplicates"] == want
+    d = d.where("persona_id < 240")
+    got = dimensions.distinctiveness(d).first()
+    assert got["near_duplicates"] == 60 and not got["passed"]
+    assert dimensions.near_pairs(d.where("false"), 0.05).first()["near_duplicates"] == 0
+
+
 def test_streaming_windows_equal_batch(spark, small, tmp_path):
     """The tumbling job as a stream over files, against its batch run."""
     e = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
