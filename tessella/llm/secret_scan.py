@@ -5,7 +5,9 @@ assignment to a name such as ``auth`` or ``credential``, a bearer header, a conn
 candidate string's marginal cost is measured, which is the zstandard size of context and candidate
 less that of the context alone, with the compressor primed by a dictionary of common code and
 identifiers and with the surrounding text. Prose, identifiers, paths and repeated values compress
-well; a random key costs nearly all its bits and is reported.
+well; a random key costs nearly all its bits and is reported. The compressor stores the letters of a
+short string it has no match for as they are, words too, so what has no digit must also stay dear
+under the letter pairs of the same dictionary.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import pyarrow as pa
 import zstandard
@@ -33,15 +37,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Names after which, within ``REACH`` characters, a string is a candidate.
-SENSITIVE_NAMES = ("auth", "bearer", "credential", "passphrase", "private", "pwd", "session", "signature", "salt", "key", "conn", "cookie", "license")
+SENSITIVE_NAMES = ("password", "passwd", "secret", "token", "auth", "bearer", "credential", "passphrase", "private", "pwd", "session", "signature", "salt", "key", "conn", "cookie", "license")
 SENSITIVE = re.compile(
-    rf"""(?:{"|".join(SENSITIVE_NAMES)})[A-Za-z0-9_-]*["']?(?:\x20*(?::|=>?)\x20*|\x20+)["']?(?:(?:Basic|Bearer)\x20+)?([A-Za-z0-9+/_.=~-]{{16,}})""",
+    rf"""(?:{"|".join(SENSITIVE_NAMES)})[A-Za-z0-9_-]*["']?(?:\x20*(?::|=>?)\x20*|\x20+)["']?(?:(?:Basic|Bearer|Token|ApiKey|Digest)\x20+)?([A-Za-z0-9+/_.=~-]{{16,}})""",
     re.I | re.A,
 )
 CONTEXT_CHARS = 256
 #: Least share of a candidate's own entropy bound (6 bits a character for 64 symbols, 4 for hex)
 #: that it must still cost beside the dictionary and its context.
 LEAST_SHARE = 0.8
+#: Weight of single characters in the code of letter pairs.
+PAIR_PRIOR = 60
 
 #: What code and configuration commonly hold; primes the compressor.
 CODE_WORDS = (
@@ -72,10 +78,35 @@ def marginal_bytes(candidate: str, before: str, after: str = "") -> int:
     return size(around + candidate.encode()) - size(around)
 
 
+@cache
+def _pairs() -> tuple[Counter, Counter, Counter]:
+    """Counts of characters, of pairs and of pairs' first characters in the dictionary's words, as
+    identifiers have them."""
+    words = [w for w in CODE_WORDS.split() if w.isalpha() and len(set(w)) < 20]  # without the alphabet
+    held = [f(w) for w in words for f in (str.lower, str.lower, str.lower, str.title, str.upper)]
+    held += [a + s + f(b) for a, b in pairwise(words) for s, f in (("", str.title), ("_", str.lower), ("-", str.lower), (".", str.lower), ("/", str.lower))]
+    pairs = Counter(x for w in held for x in pairwise(w))
+    firsts = Counter(a for a, _ in pairs.elements())
+    return Counter("".join(held)), pairs, firsts
+
+
+def pair_bits(candidate: str) -> float:
+    """Bits of the candidate, coded by the letter pairs of the dictionary."""
+    chars, pairs, firsts = _pairs()
+    total = chars.total()
+    alone = lambda c: (chars[c] + 1) / (total + 70)
+    after = lambda a, c: (pairs[a, c] + PAIR_PRIOR * alone(c)) / (firsts[a] + PAIR_PRIOR)
+    return -math.log2(alone(candidate[0])) - sum(math.log2(after(a, c)) for a, c in pairwise(candidate))
+
+
 def is_novel(candidate: str, before: str, after: str = "") -> bool:
-    if len(set(candidate)) < 8 or not re.search(r"[0-9]", candidate) or not re.search(r"[A-Za-z]", candidate):
+    if len(set(candidate)) < 8:
         return False
-    bits = 4 if re.fullmatch(r"[0-9A-Fa-f]+", candidate) else math.log2(62)
+    bits = math.log2(10) if candidate.isdigit() else 4 if re.fullmatch(r"[0-9A-Fa-f]+", candidate) else math.log2(62)
+    if not re.search(r"[0-9]", candidate):
+        letters = 26 if candidate in (candidate.lower(), candidate.upper()) else 52
+        if pair_bits(candidate) < math.log2(letters) * len(candidate):
+            return False
     return 8 * marginal_bytes(candidate, before, after) >= LEAST_SHARE * bits * len(candidate)
 
 

@@ -162,6 +162,24 @@ def test_novelty():
     assert not secret_scan.is_novel(key, f"the same again {key} ")
 
 
+@pytest.mark.parametrize("form", ["'password' => '{}'", 'DB_PASSWORD_PROD = "{}"', '"client_secret_value": "{}"', "Authorization: Token {}", "token {}", "passwd_old={}"])
+def test_novelty_after_base_names(form):
+    key = "x9KqT2mVb7Zr4LwP8sDn3HcY"
+    t = form.format(key)
+    assert [t[s:e] for s, e, _ in secret_scan.novel_spans(t, secret_scan.base_spans(t))] == [key]
+
+
+def test_novelty_without_digits():
+    r = random.Random(9)
+    for n in (16, 20, 40):
+        for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"):
+            keys = ["".join(r.choices(alphabet, k=n)) for _ in range(200)]
+            assert sum(bool(secret_scan.novel_spans(f"auth = {k}", [])) for k in keys) >= 198
+    assert secret_scan.novel_spans("session = 9028173645019283", [])
+    for word in ("internationalization", "customerRelationshipManager", "AuthenticationProvider", "request.getSession.getAttribute", "/usr/local/share/config/path", "my_database_connection", "-" * 40):
+        assert not secret_scan.novel_spans(f"auth = {word}", [])
+
+
 # 4: SimHash
 
 
