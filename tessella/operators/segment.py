@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import math
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,10 +144,13 @@ def style_coherent(df: DataFrame, by: list[str], key: str, signature: str, k: in
     return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("a", key)
 
 
-def _greedy(users: pd.DataFrame, similarity, threshold: float) -> list[int]:
+#: Users of a tenant that one task of cluster_users() takes, about.
+ROUND_USERS = 20_000
+
+
+def _greedy(users: pd.DataFrame, similarity, threshold: float, clusters: list) -> list[int]:
     """Each user, in order, to the cluster of strictly greatest similarity if that reaches the
-    threshold and isn't 0; else to a new one."""
-    clusters: list = []
+    threshold and isn't 0; else to a new one. ``clusters`` are those of the users before."""
     out = []
     for row in users.itertuples(index=False):
         best, best_s = None, 0.0
@@ -172,6 +180,12 @@ class _Jaccard:
         a = set(row.behaviors)
         return len(a & c) / len(a | c) if a or c else 0.0
 
+    def dump(self, c) -> str:
+        return json.dumps(sorted(c))
+
+    def load(self, text: str):
+        return set(json.loads(text))
+
 
 class _Gower:
     """1 - Gower distance of a user to a cluster's prototype: unions, means, modes."""
@@ -212,37 +226,85 @@ class _Gower:
             dist.append(0.0 if max(counts, key=counts.get) == row.categorical[k] else 1.0)
         return 1 - sum(dist) / len(dist) if dist else 0.0
 
+    def dump(self, c) -> str:
+        """JSON, which keeps floats as they are and the order of counts, by which modes tie."""
+        return json.dumps({**c, "sets": [sorted(x) for x in c["sets"]]})
+
+    def load(self, text: str):
+        c = json.loads(text)
+        return {**c, "sets": [set(x) for x in c["sets"]]}
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once into the checkpoint folder; only where none is set, into one of this machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return df.checkpoint()
+
+
+def _in_rounds(users: DataFrame) -> DataFrame:
+    """``users`` with their round: a tenant's users in order, cut into runs of about ``ROUND_USERS``.
+
+    A sort by ranges deals users out however many a tenant has; ranges are then joined to rounds."""
+    n = users.count()
+    d = users.repartitionByRange(max(1, math.ceil(4 * n / ROUND_USERS)), "tenant_id", "order", "seq", "user_id")
+    d = _kept(d.withColumn("range", F.spark_partition_id()))
+    w = Window.partitionBy("tenant_id").orderBy("range")  # a row for each range of a tenant
+    ranges = d.groupBy("tenant_id", "range").agg(F.count("*").alias("n"))
+    ranges = ranges.select(F.col("tenant_id").alias("t"), F.col("range").alias("r"), F.floor((F.sum("n").over(w) - F.col("n")) / ROUND_USERS).cast("int").alias("round"))
+    return d.join(ranges, F.col("tenant_id").eqNullSafe(F.col("t")) & (F.col("range") == F.col("r"))).drop("t", "r", "range")
+
 
 def cluster_users(users: DataFrame, metric: str = "jaccard", threshold: float = 0.3, min_size: int = 2) -> DataFrame:
     """(tenant_id, cluster, user_id) by greedy clustering of each tenant's users.
 
-    ``users`` has behaviors, pages and seq, and for gower also numeric and categorical maps. The
-    greedy rule is sequential, so a tenant is one task and tenants run side by side; users come in
-    order of falling feature count, then seq. Clusters below ``min_size`` are dropped; numbers follow
-    the first member's place."""
+    ``users`` has behaviors, pages and seq, and for gower also numeric and categorical maps. Users
+    come in order of falling feature count, then seq. The greedy rule is sequential, so a tenant's
+    users are taken in rounds: a task has one tenant's users of the round and the clusters that the
+    rounds before left in a table, and tenants run side by side. Results are those of the rule over
+    all users at once. Clusters below ``min_size`` are dropped; numbers follow the first member's place."""
     if metric not in ("jaccard", "gower"):
         raise ValueError(f"unknown metric {metric}")
+    schema = "tenant_id string, cluster long, user_id string, state string"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(g: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if g.empty:  # a tenant whose users have all been taken
+            return pd.DataFrame(columns=["tenant_id", "cluster", "user_id", "state"])
         if metric == "gower":
-            g["numeric"] = g["numeric"].map(lambda m: dict(m or {}))
-            g["categorical"] = g["categorical"].map(lambda m: dict(m or {}))
-            g["order"] = -(g["behaviors"].map(len) + g["numeric"].map(len) + g["categorical"].map(len))
-            seen: dict[str, list[float]] = {}
-            for m in g["numeric"]:
-                for k, v in m.items():
-                    seen.setdefault(k, []).append(v)
-            rule = _Gower({k: max(v) - min(v) for k, v in seen.items()})
+            for c in ("numeric", "categorical", "spread"):
+                g[c] = g[c].map(lambda m: dict(m or {}))
+            rule = _Gower(g["spread"].iloc[0])
         else:
-            g["order"] = -g["behaviors"].map(len)
             rule = _Jaccard()
-        g = g.sort_values(["order", "seq"], kind="stable")
-        g["cluster"] = _greedy(g, rule, threshold)
-        size = g.groupby("cluster")["user_id"].transform("size")
-        return g.loc[size >= min_size, ["tenant_id", "cluster", "user_id"]]
-
-    cols = ["tenant_id", "user_id", "behaviors", "pages", "seq"] + (["numeric", "categorical"] if metric == "gower" else [])
-    return users.select(*cols).groupBy("tenant_id").applyInPandas(run, "tenant_id string, cluster long, user_id string")
+        g = g.sort_values(["order", "seq", "user_id"], kind="stable")
+        clusters = [rule.load(x) for x in before.sort_values("cluster")["state"]]
+        at = _greedy(g, rule, threshold, clusters)
+        placed = pd.DataFrame({"tenant_id": g["tenant_id"], "cluster": at, "user_id": g["user_id"], "state": None})
+        left = pd.DataFrame({"tenant_id": g["tenant_id"].iloc[0], "cluster": range(len(clusters)), "user_id": None, "state": [rule.dump(c) for c in clusters]})
+        return pd.concat([placed, left])
+
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    held = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    d = users.select("tenant_id", "user_id", "behaviors", "pages", "seq", *(["numeric", "categorical"] if metric == "gower" else []))
+    d = d.withColumn("order", -(size("behaviors") + held("numeric") + held("categorical") if metric == "gower" else size("behaviors")))
+    d = _in_rounds(d)
+    if metric == "gower":
+        spread = d.select("tenant_id", F.explode("numeric").alias("k", "v")).groupBy("tenant_id", "k").agg((F.max("v") - F.min("v")).alias("v"))
+        spread = spread.groupBy(F.col("tenant_id").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("spread"))
+        d = d.join(spread, F.col("tenant_id").eqNullSafe(F.col("t")), "left").drop("t")
+    d = _kept(d)
+    rounds = d.agg(F.max("round")).first()[0]
+    state = users.sparkSession.createDataFrame([], schema)
+    parts = [state]
+    for i in range((rounds or 0) + 1):
+        done = d.where(F.col("round") == i).groupBy("tenant_id").cogroup(state.groupBy("tenant_id")).applyInPandas(run, schema)
+        done = _kept(done)
+        state = done.where("state is not null")
+        parts.append(done.where("state is null"))
+    placed = functools.reduce(DataFrame.unionByName, parts).drop("state")
+    large = placed.groupBy(F.col("tenant_id").alias("t"), F.col("cluster").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
+    return placed.join(large, F.col("tenant_id").eqNullSafe(F.col("t")) & (F.col("cluster") == F.col("c")), "left_semi")
 
 
 def cluster_id(members: Column) -> Column:

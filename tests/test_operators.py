@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: the cases that the tables don't hold."""
 
 import datetime
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,47 @@ def test_greedy_clusters(spark):
         segment.cluster_users(d, "other")
 
 
+@pytest.mark.parametrize("metric", ["jaccard", "gower"])
+def test_clusters_in_rounds_are_those_of_all_users_at_once(spark, monkeypatch, metric):
+    """Tenants of many users, of few and of one; no task may have more users than about a round's."""
+    import random
+
+    r = random.Random(4)
+    users = []
+    for tenant, n in (("hot", 160), ("small", 9), ("one", 1)):
+        for i in range(n):
+            behaviors = r.sample("abcdefghij", r.randint(0, 5))
+            numeric = {k: r.random() for k in "xy" if r.random() < 0.6}
+            categorical = {k: r.choice("pqr") for k in "cd" if r.random() < 0.6}
+            users.append((tenant, f"{tenant}{i}", behaviors, r.sample("uvw", r.randint(0, 2)), r.randint(0, 10**6), numeric or None, categorical or None))
+    threshold, want = (0.4 if metric == "jaccard" else 0.6), set()
+    for tenant in ("hot", "small", "one"):
+        mine = [u for u in users if u[0] == tenant]
+        size = lambda u: len(u[2]) + (len(u[5] or {}) + len(u[6] or {}) if metric == "gower" else 0)
+        mine.sort(key=lambda u: (-size(u), u[4]))
+        seen = {k: [u[5][k] for u in mine if k in (u[5] or {})] for k in "xy"}
+        rule = segment._Jaccard() if metric == "jaccard" else segment._Gower({k: max(v) - min(v) for k, v in seen.items() if v})
+        clusters, members = [], []
+        for _, name, behaviors, pages, _, numeric, categorical in mine:
+            row = types.SimpleNamespace(behaviors=behaviors, pages=pages, numeric=numeric or {}, categorical=categorical or {})
+            s = [rule(row, c) for c in clusters]
+            best = s.index(max(s)) if s and max(s) > 0 and max(s) >= threshold else len(clusters)
+            if best == len(clusters):
+                clusters.append(rule.start(row))
+                members.append([])
+            else:
+                rule.add(row, clusters[best])
+            members[best].append(name)
+        want |= {(tenant, i, name) for i, m in enumerate(members) if len(m) > 1 for name in m}
+    cols = "tenant_id string, user_id string, behaviors array<string>, pages array<string>, seq long, numeric map<string,double>, categorical map<string,string>"
+    d = spark.createDataFrame(users, cols).repartition(5)
+    monkeypatch.setattr(segment, "ROUND_USERS", 40)
+    largest = segment._in_rounds(d.withColumn("order", F.lit(0))).groupBy("tenant_id", "round").count().agg(F.max("count")).first()[0]
+    assert largest <= 80
+    assert {tuple(x) for x in segment.cluster_users(d, metric, threshold).collect()} == want
+    assert segment.cluster_users(d.where("false"), metric, threshold).count() == 0
+
+
 def test_gower_without_shared_features_is_one(spark):
     d = spark.createDataFrame([(1, 2.0, "x"), (2, None, None)], "id int, n double, c string")
     g = segment.gower_distance("a", "b", {"n": 4.0}, ["c"], [])
