@@ -35,11 +35,15 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id. Documents that
-    lost all their lines are alike, so one of them stays at most."""
-    found = simhash.simhash_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return _documents(docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi"))
+    """One row of each SimHash component: that with the smallest doc_id, of those the one with the
+    smallest hash of its text; a row without a doc_id only where no row of the component has one.
+    Rows that agree in both are one as well. Documents that lost all their lines are alike, so one
+    of them stays at most."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = simhash.simhash_components(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    first = found.join(rows.select("__row", "doc_id", "text"), "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"))
+    return _documents(rows.join(first.select("__row"), "__row", "left_semi"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -479,5 +479,18 @@ def test_pipeline_against_plain_steps(spark, docs, texts, small):
     assert corpus_pipeline.run(spark, small).count() == out.count()
 
 
+def test_one_row_of_a_component_goes_on(spark):
+    """Repeated rows, copies without an id in components with and without one, and one id with two texts."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    a, b, c, d = (" ".join(r.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    rows = [(5, a), (5, a), (3, a), (None, a), (None, b), (None, b), (7, c), (7, c), (7, d), (None, ""), (2, None)]
+    t = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.deduplicate_documents(spark, t, "").collect()
+    assert Counter((x["doc_id"], x["text"]) for x in got) == Counter([(3, a), (None, b), (7, c), (7, d), (2, None)])
+    assert corpus_pipeline.deduplicate_documents(spark, t.where("false"), "").count() == 0
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
