@@ -75,9 +75,13 @@ def token_set(x: Column, mode: str = "alnum", drop: tuple[str, ...] | list[str]
 
 def tags(x: Column, lexicon: dict[str, tuple[str, ...]] = TOPICS, prefix: str = "topic_") -> Column:
     """Names of the lexicon any of whose words the normalized text holds, in the lexicon's order."""
-    padded = normalize(x)
-    hits = [F.when(any_of(padded, words), prefix + name) for name, words in lexicon.items()]
-    return F.array_compact(F.array(*hits))
+
+
+    def found(padded: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(any_of(padded, words), prefix + name) for name, words in lexicon.items())))
+
+    # through a lambda, so that the text is normalized once and not for every word
+    return F.transform(F.array(normalize(x)), found)[0]
 
 
 def any_of(x: Column, words: tuple[str, ...] | list[str]) -> Column:

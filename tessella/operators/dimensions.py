@@ -59,11 +59,46 @@ def negative_experience(personas: DataFrame, text: str) -> DataFrame:
     return d.withColumn("passed", F.col("rate") >= 0.15).withColumn("score", F.least(F.lit(1.0), F.col("rate") / 0.15))
 
 
-def emotional_regulation(turns: DataFrame) -> DataFrame:
-    """D25 over (persona_id, text): how far one emotion rules the turns."""
-    e = turns.select(KEY, scoring.dominant_emotion(F.col("text")).alias("emotion")).groupBy(KEY, "emotion").agg(F.count("*").alias("n"))
-    d = e.groupBy(KEY).agg((F.max("n") / F.sum("n")).alias("dominant"))
-    return d.withColumn("variation", 1 - F.col("dominant")).withColumn("score", F.col("dominant")).withColumn("passed", (F.col("variation") < 0.5) & (F.col("score") >= 0.5))
+def emotional_regulation(turns: DataFrame, moods: DataFrame | None = None) -> DataFrame:
+    """D25 over (persona_id, turn, text) and the personas' moods (persona_id, mood): how many turns
+    leave the dominant emotion (of equally frequent ones that met first), and whether that is the
+    one the mood lets expect, neutral without a word for it."""
+    e = turns.select(KEY, "turn", scoring.dominant_emotion(F.col("text")).alias("emotion")).groupBy(KEY, "emotion").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    d = e.groupBy(KEY).agg(F.max_by("emotion", F.struct("n", -F.col("first"))).alias("dominant"), (1 - F.max("n") / F.sum("n")).alias("variation"))
+    d = d.join(moods.select(KEY, F.lower("mood").alias("mood")), KEY, "left") if moods is not None else d.withColumn("mood", F.lit(""))
+    expected = F.coalesce(*(F.when(F.col("mood").contains(word), emotion) for word, emotion in scoring.MOODS), F.lit("neutral"))
+    d = d.withColumn("aligned", F.col("dominant") == expected)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - 2 * F.col("variation")) + F.when(F.col("aligned"), 0.2).otherwise(0.0))
+    return d.withColumn("score", score).withColumn("passed", (F.col("variation") < 0.5) & (F.col("score") >= 0.5)).drop("mood")
+
+
+def empathy(rows: DataFrame) -> DataFrame:
+    """D26 over (persona_id, response): the share of answers with more empathy than dismissal."""
+    hits = lambda p: F.regexp_count("response", F.lit(scoring.whole_words(p)))
+    d = rows.groupBy(KEY).agg(_share(hits(scoring.EMPATHY) > hits(scoring.DISMISSIVE)).alias("score"), F.count("*").alias("n"))
+    return d.withColumn("passed", F.col("score") >= 0.5)
+
+
+def balanced_opinion(rows: DataFrame, least_rows: int = 2) -> DataFrame:
+    """D47 over (persona_id, persona_opinion, response): the share of answers, where the persona has
+    an opinion, that take both sides; of personas with at least two such answers."""
+    held = rows.where("persona_opinion is not null and persona_opinion <> ''")
+    both = F.col("response").rlike(rf"(?i)\b({scoring.BALANCED})")
+    d = held.groupBy(KEY).agg(_share(both).alias("rate"), F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    return d.withColumn("score", 1 - F.col("rate")).withColumn("passed", F.col("rate") < 0.5)
+
+
+def refusal_by_words(rows: DataFrame) -> DataFrame:
+    """D29 without vectors over (persona_id, response, in_scope): the share of out-of-scope questions
+    refused; personas without any have no row."""
+    d = rows.where("not in_scope").groupBy(KEY).agg(_share(F.col("response").rlike(scoring.whole_words(scoring.REFUSALS))).alias("score"), F.count("*").alias("n"))
+    return d.withColumn("passed", F.col("score") >= 0.5)
+
+
+def narrative_coherence(scores: DataFrame) -> DataFrame:
+    """D12 of stored judgements (persona_id, narrative_score from 1 to 5)."""
+    d = scores.where("narrative_score is not null").select(KEY, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("narrative_score") / 5.0)).alias("score"))
+    return d.withColumn("passed", F.col("score") >= 0.6)
 
 
 # Answers against what is known.
@@ -78,9 +113,10 @@ def memory_consistency(facts: DataFrame, answers: DataFrame) -> DataFrame:
 
 def profile_coverage(profile: DataFrame, turns: DataFrame) -> DataFrame:
     """Profile (persona_id, field, value) that the turns (persona_id, text) mention."""
-    said = turns.groupBy(KEY).agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("said"))  # a persona's own turns
-    d = profile.where(F.trim("value") != "").join(said, KEY)
-    d = d.groupBy(KEY).agg(_share(F.col("said").contains(F.lower("value"))).alias("score"))
+    p = profile.where(F.trim("value") != "").select(KEY, "field", F.lower("value").alias("value"))
+    hit = F.coalesce(F.bool_or(F.lower("text").contains(F.col("value"))), F.lit(False))
+    found = p.join(turns.select(KEY, "text"), KEY).groupBy(KEY, "field", "value").agg(hit.alias("hit"))  # fields of one persona by its own turns
+    d = found.groupBy(KEY).agg(_share(F.col("hit")).alias("score"))
     return d.withColumn("passed", F.col("score") >= 0.4)
 
 
@@ -145,11 +181,11 @@ def recovery(rows: DataFrame) -> DataFrame:
 
 
 def refusal(rows: DataFrame, anchor: Column, refuses: float = 0.55, answers: float = 0.40) -> DataFrame:
-    """(persona_id, v, in_scope) by cosine to the anchor vector of uncertainty."""
-    s = vectors.cosine(F.col("v"), anchor)
-    d = rows.groupBy(KEY).agg(F.avg(F.when(~F.col("in_scope"), (s >= refuses).cast("double"))).alias("refused"), F.avg(F.when(F.col("in_scope"), (s < answers).cast("double"))).alias("answered"))
-    score = (F.coalesce("refused", F.lit(1.0)) + F.coalesce("answered", F.lit(1.0))) / 2
-    return d.withColumn("score", score).withColumn("passed", F.coalesce(F.col("refused"), F.lit(1.0)) >= 0.5)
+    """(persona_id, v, in_scope) by cosine to the anchor vector of uncertainty: the share of all
+    answers that fit, passed if half of the out-of-scope ones do; personas without any have no row."""
+    s, out = vectors.cosine(F.col("v"), anchor), ~F.col("in_scope")
+    d = rows.groupBy(KEY).agg(_share(F.when(out, s >= refuses).otherwise(s < answers)).alias("score"), F.avg(F.when(out, (s >= refuses).cast("double"))).alias("refused"))
+    return d.where("refused is not null").withColumn("passed", F.col("refused") >= 0.5)
 
 
 def register_inflation(rows: DataFrame, basic: Column, advanced: Column) -> DataFrame:
@@ -265,13 +301,22 @@ def strategic_reasoning(games: DataFrame) -> DataFrame:
 
 
 def degradation(levels: DataFrame, by: list[str], order: str, value: str, most: float) -> DataFrame:
-    """D24b (0.10), D42 (0.5): first less last value over ordered levels, and whether it only falls."""
+    """D24b (0.10): first less last value over ordered levels, and whether it only falls."""
     w = Window.partitionBy(*by).orderBy(order)
     d = levels.withColumn("rise", F.col(value) > F.lag(value).over(w))
     d = d.groupBy(*by).agg((F.min_by(value, order) - F.max_by(value, order)).alias("drop"), (~F.coalesce(F.bool_or("rise"), F.lit(False))).alias("monotone"), F.avg(value).alias("mean"))
     return d.withColumn("score", F.greatest(F.lit(0.0), 1 - 2 * F.greatest(F.lit(0.0), F.col("drop")))).withColumn("passed", F.col("drop") < most)
 
 
+def generation_bias(levels: DataFrame, order: str, value: str, most: float = 0.5) -> DataFrame:
+    """D42 over (persona_id, level in order, value) of two levels or more: the mean less half of what
+    the drop from first to last is over ``most``; passed if it isn't, and no level rises."""
+    d = degradation(levels, [KEY], order, value, most).join(levels.groupBy(KEY).agg(F.count("*").alias("levels")).where("levels > 1"), KEY)
+    fall = F.greatest(F.lit(0.0), F.col("drop"))
+    score = F.col("mean") - 0.5 * F.greatest(F.lit(0.0), fall - most)
+    return d.withColumn("drop", fall).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).withColumn("passed", (F.col("drop") <= most) & F.col("monotone"))
+
+
 def cross_model(scores: DataFrame) -> DataFrame:
     """(persona_id, model, dimension, value) with two models or more."""
     r = scores.groupBy(KEY, "dimension").agg((F.max("value") - F.min("value")).alias("range"), F.count_distinct("model").alias("models")).where("models > 1")

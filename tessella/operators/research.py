@@ -72,13 +72,55 @@ def ab_deltas(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return d.withColumn("delta", F.col("b") - F.col("a"))
 
 
-def verdict(delta_quality: Column, delta_success: Column, cost_ratio: Column) -> Column:
-    """Reject what loses quality or success, merge what gains at bounded cost, else weigh."""
+def run_totals(clusters: DataFrame, by: list[str]) -> DataFrame:
+    """Totals of benchmark runs from rows (by, failed, groundedness, attempts, cost_usd, judge): numbers
+    of all and of good clusters, success_rate, means over good ones, cost over all."""
+    ok = ~F.coalesce(F.col("failed"), F.lit(False))
+    mean = lambda c: F.avg(F.when(ok, F.col(c)))
+    return clusters.groupBy(*by).agg(
+        F.count("*").alias("n_personas"), F.count_if(ok).alias("n_ok"), F.avg(ok.cast("double")).alias("success_rate"),
+        F.coalesce(F.avg(F.when(ok, F.coalesce(F.col("groundedness"), F.lit(0.0)))), F.lit(0.0)).alias("groundedness"),
+        F.coalesce(F.avg(F.when(ok, F.coalesce(F.col("attempts"), F.lit(0)))), F.lit(0.0)).alias("attempts"),
+        F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))).alias("cost"), mean("judge").alias("judge"),
+    )
+
+
+def run_deltas(base: DataFrame, branch: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, keep, d_judge, d_groundedness, d_success, cost_pct, n_ok) of branch totals against base totals;
+    d_judge is null unless both have judgements, and no base cost gives 0 %."""
+    names = ("judge", "groundedness", "success_rate", "cost")
+    b = base.select(*by, *(F.col(c).alias(f"b_{c}") for c in names))
+    delta = lambda c: F.col(c) - F.col(f"b_{c}")
+    return branch.join(b, by).select(
+        *by, *keep, delta("judge").alias("d_judge"), delta("groundedness").alias("d_groundedness"), delta("success_rate").alias("d_success"),
+        F.coalesce(F.try_divide(delta("cost") * 100, F.col("b_cost")), F.lit(0.0)).alias("cost_pct"), "n_ok",
+    )
+
+
+# The limits of the two verdicts.
+def verdict(dj: Column, dg: Column, cost_pct: Column, ds: Column) -> Column:
+    """The comparison's verdict on changes of judgement (0 without any), groundedness, cost in per
+    cent, and success."""
+    j = F.coalesce(dj, F.lit(0.0))
     return (
-        F.when((delta_success < -0.05) | (delta_quality < -0.02), "REJECT")
-        .when((delta_quality > 0.02) & (cost_ratio <= 1.2), "MERGE")
-        .when(delta_quality > 0.02, "CAVEAT")
-        .when((F.abs(delta_quality) <= 0.02) & (cost_ratio <= 1.05), "NEUTRAL")
+        F.when((j < -0.1) | (dg < -0.05) | (cost_pct > 50) | (ds < -0.05), "REJECT")
+        .when((j >= 0.1) | ((dg >= 0.05) & (ds >= 0)), F.when(cost_pct < 20, "MERGE").otherwise("MERGE-WITH-CAVEAT"))
+        .when((F.abs(j) <= 0.02) & (F.abs(dg) <= 0.02) & (F.abs(cost_pct) <= 5) & (F.abs(ds) <= 0.02), "NEUTRAL")
+        .otherwise("REVIEW")
+    )
+
+
+def decision(dj: Column, dg: Column, cost_pct: Column, ds: Column, n_ok: Column) -> Column:
+    """The final verdict on a branch; without judgements (null) only the others count."""
+    j = F.coalesce(dj, F.lit(0.0))
+    return (
+        F.when(n_ok == 0, "REJECT-BROKEN")
+        .when((j < -0.15) | (dg < -0.05) | (ds < -0.10) | (cost_pct > 80), "REJECT")
+        .when(ds < -0.05, "REJECT-RELIABILITY")
+        .when((j >= 0.15) & (cost_pct < 30), "MERGE")
+        .when((dg >= 0.05) & (ds >= 0) & (cost_pct < 30), "MERGE")
+        .when((j >= 0.05) & (ds >= 0) & (cost_pct < 15), "MERGE")
+        .when((F.abs(j) <= 0.05) & (F.abs(dg) <= 0.02) & (F.abs(cost_pct) <= 10) & (F.abs(ds) <= 0.05), "NEUTRAL")
         .otherwise("REVIEW")
     )
 

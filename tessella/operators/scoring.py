@@ -52,6 +52,43 @@ FILLER = r"(?i)^\s*(n/?a|not specified|unknown|tbd|to be determined|none|placeho
 REQUIRED_TEXT = ("name", "occupation", "industry", "location", "education", "lifestyle", "bio")
 REQUIRED_LISTS = ("goals", "pain_points", "values", "knowledge_domains", "personality_traits", "behaviors")
 BIO_LENGTH = 50
+LIST_FIELDS = ("goals", "pain_points", "values", "knowledge_domains", "behaviors")
+EMPATHY = (
+    "sorry|understand|feel|must be|that sounds|difficult|tough|hard|support|care|hear|empathize|sympathize|compassion|concern|"
+    "how are you|are you ok|holding up|here for you|listen|I can only imagine|that.s awful|my heart goes out|challenging|overwhelming|painful"
+)
+DISMISSIVE = (
+    "get over it|stop complaining|toughen up|not a big deal|everyone|statistically|you should have|obviously|just deal|move on|"
+    "that.s life|grow up|suck it up|why would you"
+)
+INDIVIDUALISM = (
+    "individual\\s+freedom|personal\\s+achievement|self.reliance|autonomy|self.made|personal\\s+success|independence|individual\\s+rights|"
+    "personal\\s+responsibility|self.sufficiency|meritocracy|personal\\s+goals?|individual\\s+autonomy|self.determination"
+)
+COLLECTIVISM = (
+    "community|family\\s+harmony|collective|solidarity|group\\s+harmony|communal|filial\\s+piety|ubuntu|kinship|mutual\\s+aid|"
+    "shared\\s+responsibility|group\\s+loyalty|clan|tribe|communal\\s+duty|social\\s+cohesion|respect\\s+for\\s+elders|intergenerational|bonds"
+)
+WEIRD_REGIONS = (
+    "usa|united states|u\\.s\\.|uk|united kingdom|canada|australia|new zealand|western europe|germany|france|netherlands|sweden|"
+    "norway|denmark|finland|switzerland|austria|belgium"
+)
+#: Both-sides framing; a gap doesn't cross lines.
+BALANCED = (
+    "on the other hand\\b|however.{0,60}also\\b|while.{0,60}(also|yet)\\b|both sides\\b|pros and cons\\b|advantages and disadvantages\\b|"
+    "it depends\\b|on one hand.{0,100}on the other\\b|that said.{0,60}also\\b|although.{0,60}however\\b"
+)
+REFUSALS = (
+    "I'?m not sure|I don'?t (really )?know|outside my expertise|not (really )?my (area|field)|can'?t speak to|don'?t have experience|"
+    "I'?d have to|you'?d (need|want) to ask|I'?m not (qualified|the right person)"
+)
+#: What a word of a persona's mood lets expect; the first that the mood holds.
+MOODS = (
+    ("calm", "neutral"), ("neutral", "neutral"), ("reserved", "neutral"), ("stoic", "neutral"), ("analytical", "neutral"), ("realistic", "neutral"),
+    ("cheerful", "joy"), ("happy", "joy"), ("optimistic", "joy"), ("excited", "joy"), ("joyful", "joy"),
+    ("anxious", "fear"), ("nervous", "fear"), ("worried", "fear"), ("melancholy", "sadness"), ("sad", "sadness"), ("gloomy", "sadness"),
+    ("irritable", "anger"), ("angry", "anger"), ("aggressive", "anger"),
+)
 
 
 def whole_words(alternatives: str) -> str:
@@ -66,7 +103,10 @@ def result(df: DataFrame, dimension: str, name: str, tier: int, passed: Column,
 
 
 def schema_compliance(personas: DataFrame) -> DataFrame:
-    """Tier 1: an id and a name, a possible age and experience."""
+    """Tier 1: an id and a name, a possible age and experience, and lists where lists belong (a column
+    that isn't there has empty ones)."""
+    kinds = {f.name: f.dataType.typeName() for f in personas.schema.fields}
+    no_list = lambda c: F.col(c).isNull() if kinds[c] == "array" else F.lit(True)
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
     errors = F.array_compact(
         F.array(
@@ -74,6 +114,7 @@ def schema_compliance(personas: DataFrame) -> DataFrame:
             F.when(blank("name"), "name"),
             F.when((F.col("age") <= 0) | (F.col("age") >= 130), "age"),
             F.when(F.col("experience_years") < 0, "experience_years"),
+            *(F.when(no_list(c), c) for c in LIST_FIELDS if c in kinds),
         )
     )
     return result(personas, "D1", "Schema Compliance", 1, F.size(errors) == 0, F.greatest(F.lit(0.0), 1 - F.lit(0.2) * F.size(errors)), errors)
@@ -137,12 +178,42 @@ def hedge_rate(df: DataFrame, by: list[str], text_col: str) -> DataFrame:
 
 
 def positivity(df: DataFrame, by: list[str], text_col: str) -> DataFrame:
-    """(by, positive, negative, challenged, n, ratio, challenge_share, passed)."""
+    """D19 over rows (by, text) of a persona each: (by, positive, negative, challenged, n, ratio,
+    challenge_share, score, passed, skipped). Best is a ratio of 0.6 with a tenth challenged; a set
+    without any marker is skipped: passed, score 1."""
     count = lambda p: F.sum(F.regexp_count(text_col, F.lit(whole_words(p))))
     d = df.groupBy(*by).agg(count(POSITIVE).alias("positive"), count(NEGATIVE).alias("negative"), F.count_if(F.col(text_col).rlike(whole_words(CHALLENGE))).alias("challenged"), F.count("*").alias("n"))
-    d = d.withColumn("ratio", F.coalesce(F.try_divide(F.col("positive").cast("double"), (F.col("positive") + F.col("negative")).cast("double")), F.lit(0.5)))
-    d = d.withColumn("challenge_share", F.col("challenged") / F.col("n"))
-    return d.withColumn("passed", (F.col("ratio") < 0.8) & (F.col("challenge_share") >= 0.1))
+    d = d.withColumn("ratio", F.try_divide(F.col("positive").cast("double"), (F.col("positive") + F.col("negative")).cast("double")))
+    d = d.withColumn("challenge_share", F.col("challenged") / F.col("n")).withColumn("skipped", F.col("ratio").isNull())
+    score = (F.greatest(F.lit(0.0), 1 - 2 * F.abs(F.col("ratio") - 0.6)) + F.least(F.lit(1.0), F.col("challenge_share") / 0.1)) / 2
+    passed = (F.col("ratio") < 0.8) & (F.col("challenge_share") >= 0.1)
+    return d.withColumn("score", F.when(F.col("skipped"), 1.0).otherwise(score)).withColumn("passed", F.col("skipped") | passed)
+
+
+def weird_bias(df: DataFrame, by: list[str], text_col: str, location: str) -> DataFrame:
+    """D21 over rows (by, text, location) of a persona each: (by, n, individual, collective, ratio,
+    location_share, score, passed). Without markers the ratio is 0.5."""
+    count = lambda p: F.sum(F.regexp_count(text_col, F.lit(whole_words(p))))
+    there = F.coalesce(F.col(location), F.lit("")).rlike(whole_words(WEIRD_REGIONS))
+    d = df.groupBy(*by).agg(F.count("*").alias("n"), count(INDIVIDUALISM).alias("individual"), count(COLLECTIVISM).alias("collective"), F.avg(there.cast("double")).alias("location_share"))
+    total = (F.col("individual") + F.col("collective")).cast("double")
+    d = d.withColumn("ratio", F.coalesce(F.try_divide(F.col("individual").cast("double"), total), F.lit(0.5)))
+    by_ratio = F.greatest(F.lit(0.0), 1 - 2 * F.greatest(F.lit(0.0), F.col("ratio") - 0.5))
+    d = d.withColumn("score", (by_ratio + 1 - F.col("location_share")) / 2)
+    return d.withColumn("passed", (F.col("ratio") < 0.7) & (F.col("location_share") < 0.8))
+
+
+def language_shift(responses: DataFrame, scored: DataFrame, most: float = 0.30) -> DataFrame:
+    """D21's second part: responses (question_id, language, v) of several languages to one question;
+    the mean distance of the languages' mean vectors over questions and pairs of languages. A shift
+    over ``most`` fails the set and bounds its score; without pairs ``scored`` stays as it is."""
+    c = vectors.centroids(responses, ["question_id", "language"], "v")
+    a, b = (c.select("question_id", F.col("language").alias(x), F.col("centroid").alias(f"v{x}")) for x in "ab")
+    pairs = a.join(b, "question_id").where("a < b")  # of the languages of one question
+    shift = pairs.agg(F.avg(1 - vectors.cosine(F.col("va"), F.col("vb"))).alias("shift"), F.count("*").alias("comparisons"))
+    d = scored.join(shift, F.lit(True))  # one row
+    far = F.coalesce(F.col("shift") > most, F.lit(False))
+    return d.withColumn("passed", F.col("passed") & ~far).withColumn("score", F.when(far, F.least("score", 1 - F.col("shift"))).otherwise(F.col("score")))
 
 
 def dominant_emotion(text_col: Column) -> Column:

@@ -96,20 +96,31 @@ def infer_schema(records: DataFrame, repetition: float = 0.5) -> DataFrame:
 
 
 def jaccard_pairs(users: DataFrame, by: str, key: str, items: str, least: float) -> DataFrame:
-    """(by, a, b, shared, jaccard) of pairs within a group that reach ``least``, through an inverted
-    index of items: pairs without a shared item are never formed."""
-    d = users.select(by, F.col(key).alias("u"), F.size(items).alias("n"), F.explode(items).alias("item"))
-    a, b = d.select(by, "item", F.col("u").alias("a"), F.col("n").alias("na")), d.select(by, "item", F.col("u").alias("b"), F.col("n").alias("nb"))
-    shared = a.join(b, [by, "item"]).where("a < b").groupBy(by, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return shared.withColumn("jaccard", j).where(F.col("jaccard") >= least).drop("na", "nb")
-
-
-def gower_distance(left: str, right: str, numeric: dict[str, float], categorical: list[str], sets_: list[str], weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
+    """(by, a, b, shared, jaccard) of pairs within a group that reach ``least`` (over 0).
+
+    Users meet only over one of their n - ceil(least * n) + 1 rarest items, which a pair that reaches
+    ``least`` must share; so an item that nearly all users have brings few together. The pairs found
+    are verified on the whole sets."""
+    u = users.select(by, F.col(key).alias("u"), F.array_distinct(items).alias("s")).withColumn("n", F.size("s"))
+    d = u.select(by, "u", "n", F.explode("s").alias("item"))
+    rare = d.join(d.groupBy(by, "item").agg(F.count("*").alias("f")), [by, "item"])
+    rank = F.row_number().over(Window.partitionBy(by, "u").orderBy("f", "item"))
+    prefix = rare.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(by, "item", "u", "n")
+    a, b = (prefix.select(by, "item", F.col("u").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, [by, "item"]).where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select(by, "a", "b").distinct()
+    for x in "ab":
+        met = met.join(u.select(by, F.col("u").alias(x), F.col("s").alias(f"s{x}")), [by, x])
+    shared = met.select(by, "a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    return shared.withColumn("jaccard", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("jaccard") >= least).drop("both")
+
+
+def gower_distance(left: str, right: str, numeric: dict[str, float], categorical: list[str], sets_: list[str], weights: tuple[float, float, float] = (1.0, 1.0, 1.0), implicit: tuple[str, ...] = ()) -> Column:
     """Weighted mean distance of two rows (aliases) over the features that both have.
 
     ``numeric`` has each numeric feature's range; weights are for numeric, categorical, set features.
-    Two empty sets say nothing. Nothing shared is distance 1."""
+    Two empty sets say nothing. ``implicit`` sets, such as behaviors and pages, that are equal count
+    only for rows that share no numeric or categorical feature of some weight. Nothing shared is
+    distance 1."""
     col = lambda t, c: F.col(f"{t}.{c}")
     terms: list[tuple[Column, Column, float]] = []
     for c, spread in numeric.items():
@@ -122,6 +133,13 @@ def gower_distance(left: str, right: str, numeric: dict[str, float], categorical
     for c in sets_:
         some = (F.size(col(left, c)) > 0) | (F.size(col(right, c)) > 0)
         terms.append((some, 1 - sets.jaccard(col(left, c), col(right, c)), weights[2]))
+    typed = F.lit(False)
+    for ok, w in [(ok, weights[0]) for ok, _, _ in terms[: len(numeric)]] + [(ok, weights[1]) for ok, _, _ in terms[len(numeric) : len(numeric) + len(categorical)]]:
+        typed = typed | ok if w > 0 else typed
+    for c in implicit:
+        some = (F.size(col(left, c)) > 0) | (F.size(col(right, c)) > 0)
+        apart = 1 - sets.jaccard(col(left, c), col(right, c))
+        terms.append((some & ((apart > 0) | ~typed), apart, weights[2]))
     zero = F.lit(0.0)
     total = sum((F.when(ok, d * w).otherwise(zero) for ok, d, w in terms), zero)
     weight = sum((F.when(ok, F.lit(w)).otherwise(zero) for ok, _, w in terms), zero)

@@ -87,18 +87,39 @@ def time_to_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(hit.alias("hit")).withColumn("missed", F.col("hit").isNull())
 
 
-@query("""with r as (select o_orderstatus as variant, year(o_orderdate) as suite, avg(o_totalprice) / 1e5 as q, count(case when o_orderpriority <> '1-URGENT' then 1 end) * 1.0 / count(*) as s, sum(o_totalprice) as cost from orders group by 1, 2),
-  j as (select a.suite, b.variant, b.q - a.q as dq, b.s - a.s as ds, b.cost / a.cost as ratio from r a join r b on a.suite = b.suite where a.variant = 'O' and b.variant <> 'O')
-  select suite, variant, cast(round(dq * 1e5) as bigint) as dq_e5, cast(round(ds * 1e5) as bigint) as ds_e5, case when ds < -0.05 or dq < -0.02 then 'REJECT' when dq > 0.02 and ratio <= 1.2 then 'MERGE' when dq > 0.02 then 'CAVEAT' when abs(dq) <= 0.02 and ratio <= 1.05 then 'NEUTRAL' else 'REVIEW' end as verdict from j""")
+_RUNS = """c as (select o_orderstatus as variant, year(o_orderdate) as suite, o_orderpriority = '1-URGENT' as failed, o_totalprice / 1e5 as g, o_orderkey % 4 as att, o_totalprice / 1e3 as cost, case when o_orderkey % 3 > 0 then o_totalprice / 2e5 end as j from orders where o_orderdate < date '1998-01-01'),
+  r as (select variant, suite, count(*) as n, count(case when not failed then 1 end) as ok, count(case when not failed then 1 end) * 1.0 / count(*) as s, coalesce(avg(case when not failed then g end), 0) as g, coalesce(avg(case when not failed then att end), 0) as att, sum(cost) as cost, avg(case when not failed then j end) as j from c group by 1, 2)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as clusters of benchmark runs, by status and year."""
+    o, price, k = table(spark, sf_dir, "orders").where("o_orderdate < date '1998-01-01'"), F.col("o_totalprice"), F.col("o_orderkey")
+    rows = o.select(
+        F.col("o_orderstatus").alias("variant"), F.year("o_orderdate").cast("bigint").alias("suite"), (F.col("o_orderpriority") == "1-URGENT").alias("failed"), (price / 1e5).alias("groundedness"),
+        (k % 4).alias("attempts"), (price / 1e3).alias("cost_usd"), F.when(k % 3 > 0, price / 2e5).alias("judge"),
+    )
+    return research.run_totals(rows, ["variant", "suite"])
+
+
+@query(f"with {_RUNS} select variant, suite, n as n_personas, ok as n_ok, cast(round(s * 1e6) as bigint) as success_e6, cast(round(g * 1e5) as bigint) as groundedness_e5, cast(round(att * 1e5) as bigint) as attempts_e5, cast(round(cost) as bigint) as cost, cast(round(j * 1e5) as bigint) as judge_e5 from r")
+def benchmark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e5 = lambda c: F.round(F.col(c) * 1e5).cast("bigint").alias(f"{c}_e5")
+    return _runs(spark, sf_dir).select("variant", "suite", "n_personas", "n_ok", e6(F.col("success_rate")).alias("success_e6"), e5("groundedness"), e5("attempts"), F.round("cost").cast("bigint").alias("cost"), e5("judge"))
+
+
+@query(f"""with {_RUNS}, d as (select b.suite, b.variant, b.j - a.j as dj, b.g - a.g as dg, b.s - a.s as ds, coalesce((b.cost - a.cost) * 100 / nullif(a.cost, 0), 0) as dc, b.ok from r a join r b on a.suite = b.suite where a.variant = 'O' and b.variant <> 'O'), x as (select *, coalesce(dj, 0) as z from d)
+  select suite, variant, cast(round(dg * 1e5) as bigint) as dg_e5, cast(round(ds * 1e5) as bigint) as ds_e5, cast(round(dc) as bigint) as cost_pct,
+  case when z < -0.1 or dg < -0.05 or dc > 50 or ds < -0.05 then 'REJECT' when z >= 0.1 or (dg >= 0.05 and ds >= 0) then case when dc < 20 then 'MERGE' else 'MERGE-WITH-CAVEAT' end when abs(z) <= 0.02 and abs(dg) <= 0.02 and abs(dc) <= 5 and abs(ds) <= 0.02 then 'NEUTRAL' else 'REVIEW' end as verdict,
+  case when ok = 0 then 'REJECT-BROKEN' when z < -0.15 or dg < -0.05 or ds < -0.10 or dc > 80 then 'REJECT' when ds < -0.05 then 'REJECT-RELIABILITY' when z >= 0.15 and dc < 30 then 'MERGE' when dg >= 0.05 and ds >= 0 and dc < 30 then 'MERGE' when z >= 0.05 and ds >= 0 and dc < 15 then 'MERGE'
+    when abs(z) <= 0.05 and abs(dg) <= 0.02 and abs(dc) <= 10 and abs(ds) <= 0.05 then 'NEUTRAL' else 'REVIEW' end as decision from x""")
 def benchmark_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    r = o.groupBy(F.col("o_orderstatus").alias("variant"), F.year("o_orderdate").cast("bigint").alias("suite")).agg(
-        (F.avg("o_totalprice") / 1e5).alias("q"), (F.count_if(F.col("o_orderpriority") != "1-URGENT") / F.count("*")).alias("s"), F.sum("o_totalprice").alias("cost")
-    )
-    base = r.where("variant = 'O'").select("suite", F.col("q").alias("q0"), F.col("s").alias("s0"), F.col("cost").alias("c0"))
-    j = r.where("variant <> 'O'").join(base, "suite")
-    dq, ds = F.col("q") - F.col("q0"), F.col("s") - F.col("s0")
-    return j.select("suite", "variant", F.round(dq * 1e5).cast("bigint").alias("dq_e5"), F.round(ds * 1e5).cast("bigint").alias("ds_e5"), research.verdict(dq, ds, F.col("cost") / F.col("c0")).alias("verdict"))
+    r = _runs(spark, sf_dir)
+    d = research.run_deltas(r.where("variant = 'O'"), r.where("variant <> 'O'"), ["suite"], keep=("variant",))
+    dj, dg, cost, ds = (F.col(c) for c in ("d_judge", "d_groundedness", "cost_pct", "d_success"))
+    return d.select(
+        "suite", "variant", F.round(dg * 1e5).cast("bigint").alias("dg_e5"), F.round(ds * 1e5).cast("bigint").alias("ds_e5"), F.round(cost).cast("bigint").alias("cost_pct"),
+        research.verdict(dj, dg, cost, ds).alias("verdict"), research.decision(dj, dg, cost, ds, F.col("n_ok")).alias("decision"),
+    )
 
 
 CLAIMS = """claims as (select o_custkey as persona, cast(o_orderkey as varchar) as path, o_orderkey as k from orders), ev as (select o_custkey as persona, cast(o_orderkey as varchar) as path, l_linenumber, l_orderkey * 10 + l_linenumber as record_id, l_returnflag from lineitem join orders on l_orderkey = o_orderkey)"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, vectors
@@ -35,7 +35,8 @@ def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 == 0, "tbd").otherwise(F.repeat(F.col("c_mktsegment"), 8)).alias("bio"),
         F.when(k % 7 == 0, "widowed").otherwise("married").alias("marital_status"),
         F.when(F.col("c_acctbal") > 5000, "high").otherwise("low").alias("income_bracket"),
-        *(F.array(F.lit(x)).alias(x) for x in ("goals", "pain_points", "knowledge_domains")),
+        F.when(k % 19 > 0, F.array(F.lit("goals"))).alias("goals"),
+        *(F.array(F.lit(x)).alias(x) for x in ("pain_points", "knowledge_domains")),
         F.when(k % 17 == 0, F.array(F.lit("introvert"))).otherwise(F.array(F.lit("curious"))).alias("personality_traits"),
         F.when(k % 5 == 0, F.array(F.lit("budget"))).otherwise(F.array(F.lit("quality"))).alias("values"),
         F.when(k % 3 == 0, F.array(F.lit("public speaking"))).otherwise(F.array().cast("array<string>")).alias("behaviors"),
@@ -45,15 +46,15 @@ def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERSONAS = """p as (select c_custkey as persona_id, case when c_custkey % 97 = 0 then '' else c_name end as name, 18 + c_custkey % 60 as age, c_custkey % 25 as years,
   case c_custkey % 5 when 0 then 'senior analyst' when 1 then 'junior clerk' when 2 then 'director' when 3 then 'engineer' else '' end as job,
   case c_custkey % 3 when 0 then 'phd' when 1 then 'high school' else 'bsc' end as education, c_custkey % 11 = 0 as luxury, c_custkey % 13 = 0 as tbd, length(c_mktsegment) * 8 as bio_length,
-  c_custkey % 7 = 0 as widowed, c_acctbal > 5000 as high, c_custkey % 17 = 0 as introvert, c_custkey % 5 = 0 as budget, c_custkey % 3 = 0 as speaks from customer)"""
+  c_custkey % 7 = 0 as widowed, c_acctbal > 5000 as high, c_custkey % 17 = 0 as introvert, c_custkey % 5 = 0 as budget, c_custkey % 3 = 0 as speaks, c_custkey % 19 = 0 as no_goals from customer)"""
 
 
-@query(f"with {PERSONAS} select cast(persona_id as varchar) as persona_id, name <> '' as passed, cast(case when name = '' then 800000 else 1000000 end as bigint) as score_e6 from p")
+@query(f"with {PERSONAS} select cast(persona_id as varchar) as persona_id, name <> '' and not no_goals as passed, cast(1000000 - 200000 * ((case when name = '' then 1 else 0 end) + (case when no_goals then 1 else 0 end)) as bigint) as score_e6 from p")
 def schema_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.schema_compliance(personas(spark, sf_dir)).select("persona_id", "passed", e6(F.col("score")).alias("score_e6"))
 
 
-@query(f"""with {PERSONAS}, e as (select persona_id, (case when name = '' then 1 else 0 end) + (case when job = '' then 1 else 0 end) + (case when tbd or bio_length < 50 then 1 else 0 end) + (case when speaks then 0 else 1 end) as n from p)
+@query(f"""with {PERSONAS}, e as (select persona_id, (case when name = '' then 1 else 0 end) + (case when job = '' then 1 else 0 end) + (case when tbd or bio_length < 50 then 1 else 0 end) + (case when speaks then 0 else 1 end) + (case when no_goals then 1 else 0 end) as n from p)
   select cast(persona_id as varchar) as persona_id, n = 0 as passed, cast(round((1 - n / 13.0) * 1e6) as bigint) as score_e6 from e""")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.completeness(personas(spark, sf_dir)).select("persona_id", "passed", e6(F.col("score")).alias("score_e6"))
@@ -150,25 +151,6 @@ def stereotype_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("flagged", F.col("top") >= 0.85 * F.col("total"))
 
 
-@query()
-def marker_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the regex scorers by role; Unicode word ends, so no SQL twin."""
-    c = table(spark, sf_dir, "conversations")
-    found = {"adversity": scoring.ADVERSITY, "uncertain": scoring.UNCERTAIN, "leakage": scoring.LEAKAGE}
-    hits = [F.count_if(F.col("text").rlike(scoring.whole_words(p))).alias(k) for k, p in found.items()]
-    return c.groupBy("role").agg(F.count("*").alias("n"), *hits, F.count_if(scoring.dominant_emotion(F.col("text")) == "neutral").alias("neutral"))
-
-
-@query()
-def hedge_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.hedge_rate(table(spark, sf_dir, "conversations"), ["role"], "text").select("role", "hedges", "words", e6(F.col("per_hundred")).alias("per_hundred_e6"))
-
-
-@query()
-def positivity_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.positivity(table(spark, sf_dir, "conversations"), ["role"], "text").select("role", "positive", "negative", "challenged", "n", "passed")
-
-
 @query("""with t as (select conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from conversations)
   select conv_id, count(*) as n, count(distinct w) as k, cast(round(count(distinct w) * 1e6 / count(*)) as bigint) as ttr_e6 from t group by conv_id""")
 def engagement_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +179,13 @@ def coherence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   p as (select q.vec_id as query_id, c.vec_id as match_id, sum(q.x * c.x) as s from v q join v c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2),
   r as (select *, row_number() over (partition by query_id order by round(s, 7) desc, match_id) as rank from p) select query_id, match_id, rank from r where rank <= 5""")
 def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each stated query; the queries are the small, broadcast side."""
+    """The five nearest vectors of each stated query. Each task keeps the five best of its rows for a
+    query before they are shuffled; Spark broadcasts the queries only if they are small."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     d = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("match_id"), F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 7).alias("s"))
-    best = d.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("s"), "match_id"))), 1, 5).alias("m"))
-    return best.select("query_id", F.posexplode("m").alias("at", "x")).select("query_id", F.col("x.match_id").alias("match_id"), (F.col("at") + 1).cast("bigint").alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "match_id"))
+    return d.select("query_id", "match_id", rank.cast("bigint").alias("rank")).where("rank <= 5")
 
 
 @query("""with x as (select ts >= timestamp '2024-01-16 00:00:00' as late, cast(floor(value / 50) as integer) as bin, count(*) * 1.0 as n from events group by 1, 2),
@@ -223,8 +206,6 @@ def cross_model_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with d as (select event_type, cast(ts as date) as day, avg(value) as s from events group by 1, 2), h as (select event_type, day, s, count(*) over w as n, avg(s) over w as m, stddev_pop(s) over w as sd from d
   window w as (partition by event_type order by day rows between unbounded preceding and 1 preceding)) select event_type, strftime(day, '%Y-%m-%d') as day, n, cast(round(case when n < 5 then 0 else (s - m) / greatest(sd, 0.01) end * 1e4) as bigint) as z_e4 from h""")
 def degradation_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("s"))
     w = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     z = F.when(F.col("n") < 5, 0.0).otherwise((F.col("s") - F.col("m")) / F.greatest(F.col("sd"), F.lit(0.01)))

@@ -214,3 +214,94 @@ def test_sessions_close_after_the_gap(spark):
     at = [t, t + datetime.timedelta(minutes=5), t + datetime.timedelta(hours=2)]
     d = spark.createDataFrame([(1, x) for x in at], "user_id int, ts timestamp")
     assert sorted(r["n"] for r in stream.sessions(d, "30 minutes").collect()) == [1, 2]
+
+
+# Scorers by the cases of their rules.
+
+
+def by_persona(df, *columns):
+    return {r["persona_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_emotional_regulation(spark):
+    said = {"joy": "I am happy and excited", "fear": "I am scared", "sadness": "so sad", "neutral": "let us think"}
+    turns = [(p, i, said[e]) for p, es in {1: ["joy", "joy", "joy", "sadness", "fear"], 2: ["neutral"] * 4, 3: ["joy", "fear", "sadness", "neutral"], 4: ["fear", "joy"], 5: ["joy"] * 9 + ["fear"]}.items() for i, e in enumerate(es)]
+    moods = [(1, "Optimistic but realistic"), (2, "calm"), (3, "calm"), (4, "nervous"), (5, "melancholy")]
+    d = dimensions.emotional_regulation(spark.createDataFrame(turns, "persona_id int, turn int, text string"), spark.createDataFrame(moods, "persona_id int, mood string"))
+    got = by_persona(d, "dominant", "aligned", "score", "passed")
+    # of the words that a mood holds the first in the list counts: realistic comes before optimistic
+    assert got[1] == ("joy", False, pytest.approx(0.2), False)
+    assert got[2] == ("neutral", True, 1.0, True)
+    assert got[3][2:] == (0.0, False)
+    assert got[4] == ("fear", True, pytest.approx(0.2), False)
+    assert got[5] == ("joy", False, pytest.approx(0.8), True)
+
+
+def test_generation_bias(spark):
+    levels = [(1, 0, 0.95), (1, 1, 0.9), (1, 2, 0.85), (2, 0, 0.9), (2, 1, 0.5), (2, 2, 0.2), (3, 0, 0.8), (3, 1, 0.6), (3, 2, 0.9), (4, 0, 0.5)]
+    got = by_persona(dimensions.generation_bias(spark.createDataFrame(levels, "persona_id int, level int, v double"), "level", "v"), "drop", "score", "passed")
+    assert got[1] == (pytest.approx(0.1), pytest.approx(0.9), True)
+    assert got[2] == (pytest.approx(0.7), pytest.approx(1.6 / 3 - 0.1), False)
+    assert got[3] == (0.0, pytest.approx(2.3 / 3), False)  # rises
+    assert 4 not in got
+
+
+def test_empathy_and_balanced_opinion(spark):
+    r = [(1, "x", "I'm sorry, that sounds hard"), (1, "x", "Just deal with it"), (2, "x", "Obviously. Move on."), (3, None, "it depends"), (3, "", "both sides"), (3, "x", "No.")]
+    d = spark.createDataFrame(r, "persona_id int, persona_opinion string, response string")
+    assert by_persona(dimensions.empathy(d), "score", "passed") == {1: (0.5, True), 2: (0.0, False), 3: (0.0, False)}
+    b = [(1, "x", "However you see it, it is also fine"), (1, "x", "I am for it"), (2, "x", "However, yes.\nAlso no"), (2, "x", "Pros and cons"), (2, "x", "It depends"), (3, "x", "no"), (3, None, "it depends")]
+    got = by_persona(dimensions.balanced_opinion(spark.createDataFrame(b, "persona_id int, persona_opinion string, response string")), "score", "passed")
+    assert got == {1: (0.5, False), 2: (pytest.approx(1 / 3), False)}
+
+
+def test_refusals(spark):
+    r = [(1, "I'm not sure, you'd want to ask someone", False), (1, "It is 42", False), (1, "Blue", True), (2, "Blue", True)]
+    assert by_persona(dimensions.refusal_by_words(spark.createDataFrame(r, "persona_id int, response string, in_scope boolean")), "score", "passed") == {1: (0.5, True)}
+    v = [(1, [1.0, 0.0], False), (1, [0.0, 1.0], False), (1, [0.0, 1.0], True), (1, [1.0, 0.1], True), (1, [0.2, 1.0], True), (2, [1.0, 0.0], True)]
+    got = by_persona(dimensions.refusal(spark.createDataFrame(v, "persona_id int, v array<double>, in_scope boolean"), F.array(F.lit(1.0), F.lit(0.0))), "score", "passed")
+    assert got == {1: (pytest.approx(3 / 5), True)}
+
+
+def test_positivity_of_sets(spark):
+    r = [("a", "happy and great and proud, one challenge"), ("a", "stressed and worried"), ("b", "nothing here"), ("c", "happy great amazing wonderful")]
+    got = {x["g"]: (x["score"], x["passed"], x["skipped"]) for x in scoring.positivity(spark.createDataFrame(r, "g string, t string"), ["g"], "t").collect()}
+    assert got["a"] == (pytest.approx(1.0), True, False) and got["b"] == (1.0, True, True) and got["c"][1] is False
+
+
+def test_weird_bias_and_language_shift(spark):
+    r = [(0, "self-reliance and personal achievement", "Austin, USA"), (0, "autonomy, meritocracy", "Berlin, Germany"), (1, "community and kinship", "Accra"), (1, "none", "Lima")]
+    d = scoring.weird_bias(spark.createDataFrame(r, "g int, t string, place string"), ["g"], "t", "place")
+    assert {x["g"]: (x["ratio"], x["score"], x["passed"]) for x in d.collect()} == {0: (1.0, 0.0, False), 1: (0.0, 1.0, True)}
+    v = [("q", "en", [1.0, 0.0]), ("q", "fr", [0.0, 1.0]), ("r", "en", [1.0, 0.0])]
+    x = scoring.language_shift(spark.createDataFrame(v, "question_id string, language string, v array<double>"), d.where("g = 1")).first()
+    assert x["comparisons"] == 1 and x["score"] == pytest.approx(0.0) and x["passed"] is False
+    same = scoring.language_shift(spark.createDataFrame(v[2:], "question_id string, language string, v array<double>"), d.where("g = 1")).first()
+    assert same["passed"] is True and same["score"] == 1.0
+
+
+def test_lists_must_be_lists(spark):
+    p = spark.createDataFrame([(1, "n", 30, 3, ["g"], None, ["v"], ["k"], "text")], "persona_id int, name string, age int, experience_years int, goals array<string>, pain_points array<string>, values array<string>, knowledge_domains array<string>, behaviors string")
+    x = scoring.schema_compliance(p).first()
+    assert x["errors"] == ["pain_points", "behaviors"] and x["score"] == pytest.approx(0.6) and not x["passed"]
+
+
+@pytest.mark.parametrize(
+    ("dj", "dg", "cost", "ds", "n_ok", "verdict", "decision"),
+    [
+        (0.2, 0.0, 10.0, 0.0, 5, "MERGE", "MERGE"), (0.2, 0.0, 40.0, 0.0, 5, "MERGE-WITH-CAVEAT", "REVIEW"), (-0.12, 0.0, 0.0, 0.0, 5, "REJECT", "REVIEW"), (None, 0.06, 5.0, 0.0, 5, "MERGE", "MERGE"),
+        (0.01, 0.01, 3.0, 0.0, 5, "NEUTRAL", "NEUTRAL"), (0.06, 0.0, 10.0, 0.0, 5, "REVIEW", "MERGE"), (0.0, 0.0, 0.0, -0.06, 5, "REJECT", "REJECT-RELIABILITY"), (0.5, 0.5, 0.0, 0.5, 0, "MERGE", "REJECT-BROKEN"), (0.0, 0.0, 60.0, 0.0, 5, "REJECT", "REVIEW"),
+    ],
+)
+def test_verdicts(spark, dj, dg, cost, ds, n_ok, verdict, decision):
+    d = spark.createDataFrame([(dj, dg, cost, ds, n_ok)], "dj double, dg double, c double, ds double, n int")
+    x = d.select(research.verdict(F.col("dj"), F.col("dg"), F.col("c"), F.col("ds")).alias("v"), research.decision(F.col("dj"), F.col("dg"), F.col("c"), F.col("ds"), F.col("n")).alias("d")).first()
+    assert (x["v"], x["d"]) == (verdict, decision)
+
+
+def test_equal_implicit_sets_count_without_typed_features_only(spark):
+    d = spark.createDataFrame([(1, 10.0, ["x"], ["p"]), (2, 20.0, ["x"], ["q"]), (3, None, ["x"], ["q"]), (4, None, ["x"], ["p"])], "i int, n double, behaviors array<string>, pages array<string>")
+    g = segment.gower_distance("a", "b", {"n": 20.0}, [], [], implicit=("behaviors", "pages"))
+    got = {(r["a"], r["b"]): r["g"] for r in d.alias("a").join(d.alias("b"), F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"), g.alias("g")).collect()}
+    assert got[1, 2] == pytest.approx((0.5 + 1.0) / 2)  # equal behaviors say nothing beside numbers
+    assert got[3, 4] == pytest.approx((0.0 + 1.0) / 2) and got[1, 4] == 0.0
