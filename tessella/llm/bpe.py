@@ -9,8 +9,9 @@ at every position comes from a blocked scan over all positions of a batch at onc
 block, scan the folds by doubling, replay the blocks. The first character of each document is a
 symbol of its own that resets the state, so documents are cut in one array without mixing.
 
-Merging: each distinct slice is merged once per worker, by rank, and kept; a bounded cache.
-Slice offsets stay with the ids.
+Merging: each distinct slice is merged once per worker, by rank, and kept in a cache bounded by
+bytes. With the ids stay, for each slice, the code point where it starts and the number of ids up
+to its end: decoding goes slice by slice, checks that they fit, and can start anywhere.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructType
 
-from .common import id_and_text, spans_of_chars
+from .common import ByteBound, id_and_text, spans_of_chars, text_runs
 
-#: Characters that are cut at once, and slices that a worker's cache holds at most.
-BATCH_CHARS, CACHE_SLICES = 1 << 20, 400_000
+#: Characters that are cut at once, and bytes of slices that a worker keeps, about.
+BATCH_CHARS, CACHE_BYTES = 1 << 19, 96 << 20
 
 # Symbols and states of the automaton.
 L, N, O, Q1, Q2, WS, WS_LAST, BLANK_LAST = range(8)
@@ -187,18 +189,14 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
-class Slices(dict):
+def slice_cache(ranks: dict[bytes, int]) -> ByteBound:
     """Each slice's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def made(piece: str) -> bytes:
+        ids = merge(piece.encode(), ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_SLICES:
-            self.clear()
-        ids = merge(piece.encode(), self.ranks)
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+    return ByteBound(made, lambda piece, ids: 200 + 2 * len(piece) + len(ids), CACHE_BYTES)
 
 
 @cache
@@ -208,32 +206,54 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def slices(path: str) -> Slices:
-    return Slices(ranks(path))
+def slices(path: str) -> ByteBound:
+    return slice_cache(ranks(path))
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, np.ndarray]]:
-    """For each text its ids, little-endian, and the code point where each slice starts."""
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def encode_texts(texts: list[str], path: str) -> Iterator[Encoded]:
+    """For each text its ids; for each of its slices the code point where it starts; and the number
+    of ids up to its end."""
     return encode_slices(texts, slices(path))
 
 
-def encode_slices(texts: list[str], held: Slices) -> Iterator[tuple[bytes, np.ndarray]]:
+def encode_slices(texts: list[str], held: ByteBound) -> Iterator[Encoded]:
     lengths = [len(t) for t in texts]
     for lo, hi in spans_of_chars(lengths, BATCH_CHARS):
-        joined = "".join(texts[lo:hi])
+        ids, starts, ends = _encode_run(texts[lo:hi], held)
         bounds = np.r_[0, np.cumsum(lengths[lo:hi])]
-        starts = slice_starts(joined, np.unique(bounds[:-1][np.diff(bounds) > 0]))
-        at = starts.tolist()
-        ids = [held[joined[a:b]] for a, b in pairwise([*at, len(joined)])]
         cut = np.searchsorted(starts, bounds)
+        at = np.r_[0, ends][cut]
         for i in range(hi - lo):
-            yield b"".join(ids[cut[i] : cut[i + 1]]), starts[cut[i] : cut[i + 1]] - bounds[i]
+            a, b = cut[i], cut[i + 1]
+            yield ids[at[i] : at[i + 1]], starts[a:b] - bounds[i], ends[a:b] - at[i]
+
+
+def _encode_run(texts: list[str], held: ByteBound) -> Encoded:
+    """The same for joined texts, none of which shares a slice with another."""
+    joined = "".join(texts)
+    bounds = np.cumsum([0, *map(len, texts)])
+    starts = slice_starts(joined, np.unique(bounds[:-1][np.diff(bounds) > 0]))
+    at = starts.tolist()
+    found = [held[joined[a:b]] for a, b in pairwise([*at, len(joined)])]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)
+    return np.frombuffer(b"".join(found), "<u4"), starts, ends
+
+
+def _cut(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """One value for each pair of neighbouring bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype("<u4").tobytes()
 
 
-def bpe_encode(docs: DataFrame, path: str, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, ids binary (little-endian unsigned 32-bit), and with ``offsets`` also
-    offsets binary (same format): the code point where each pre-token starts, for cutting and
-    decoding parts of a text.
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id and, as little-endian unsigned 32-bit integers in binary columns, ids;
+    offsets: the code point where each pre-token starts; ends: the number of ids up to its end.
 
     ``path`` is a rank file on every machine. Special tokens are not looked for: their strings are
     ordinary text. Null and empty texts have no ids; rows without a doc_id, repeated rows and
@@ -243,35 +263,83 @@ def bpe_encode(docs: DataFrame, path: str, offsets: bool = True, id_col: str = "
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS):
             found = list(encode_texts(batch.column("text").to_pylist(), path))
-            columns = {"doc_id": batch.column("doc_id"), "ids": pa.array([x for x, _ in found], pa.binary())}
-            if offsets:
-                columns["offsets"] = pa.array([y.astype("<u4").tobytes() for _, y in found], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            columns = {c: pa.array([_packed(x[i]) for x in found], pa.binary()) for i, c in enumerate(("ids", "offsets", "ends"))}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns})
 
-    return d.mapInArrow(run, f"doc_id {kind}, ids binary" + ", offsets binary" * offsets)
+    return d.mapInArrow(run, f"doc_id {kind}, ids binary, offsets binary, ends binary")
 
 
 @cache
-def _token_bytes(path: str) -> list[bytes]:
-    held = ranks(path)
-    out = [b""] * (max(held.values(), default=-1) + 1)
-    for piece, i in held.items():
-        out[i] = piece
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens, and where each token's start and how many they are."""
+    held = sorted((i, piece) for piece, i in ranks(path).items())
+    size = np.zeros(held[-1][0] + 1 if held else 0, np.int64)
+    size[[i for i, _ in held]] = [len(x) for _, x in held]
+    return np.frombuffer(b"".join(x for _, x in held), np.uint8), np.cumsum(size) - size, size
+
+
+def decode_slices(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray, path: str, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The bytes of the slices ``first`` .. ``last`` - 1, all by default, as an array. A slice whose
+    bytes don't begin where its offset says is an error."""
+    last = len(ends) if last is None else last
+    if first >= last:
+        return np.zeros(0, np.uint8)
+    flat, start, size = _token_table(path)
+    begin = int(ends[first - 1]) if first else 0
+    ids = ids[begin : int(ends[last - 1])]
+    n = size[ids]
+    after = np.cumsum(n)
+    out = flat[np.arange(after[-1]) + np.repeat(start[ids] - (after - n), n)]
+    heads = np.cumsum((out & 0xC0) != 0x80)  # characters begun up to each byte
+    at = heads[after[ends[first:last].astype(np.int64) - begin - 1] - 1]
+    if (at[:-1] != offsets[first + 1 : last].astype(np.int64) - int(offsets[first])).any():
+        raise ValueError("the ids don't fit the offsets of their slices")
     return out
 
 
+def decode_between(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray, path: str, start: int, end: int) -> str:
+    """Characters ``start`` .. ``end`` - 1 of a text, from the slices that hold them alone."""
+    first = max(0, int(np.searchsorted(offsets, start, "right")) - 1)
+    last = int(np.searchsorted(offsets, end))
+    if first >= last:
+        return ""
+    from_here = int(offsets[first])
+    return decode_slices(ids, offsets, ends, path, first, last).tobytes().decode()[max(0, start - from_here) : max(0, end - from_here)]
+
+
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of :func:`bpe_encode` with a column decoded binary: the bytes of the ids. Null ids
-    give null; an id outside the vocabulary is an error."""
-    from pyspark.sql.types import BinaryType, StructType
+    """The rows of :func:`bpe_encode` with a column decoded binary: the bytes of the ids, slice by
+    slice. Null ids give null; an id outside the vocabulary, or ids that don't fit the offsets, are
+    an error. An empty table gives an empty result; repeated rows and further columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _token_bytes(path).__getitem__
-        for batch in batches:
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+        for whole in batches:
+            for lo, hi in spans_of_chars([len(x or b"") for x in whole.column("ids").to_pylist()], 4 * BATCH_CHARS):
+                batch = whole.slice(lo, hi - lo)
+                rows = zip(*(batch.column(c).to_pylist() for c in ("ids", "offsets", "ends")), strict=True)
+                out = [None if row[0] is None else decode_slices(*(np.frombuffer(x, "<u4") for x in row), path).tobytes() for row in rows]
+                yield batch.append_column("decoded", pa.array(out, pa.binary()))
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
+
 
-    schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())
-    return encoded.mapInArrow(run, schema)
+def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, ids, decoded, in one pass: what :func:`bpe_decode` gives for
+    :func:`bpe_encode`, with the offsets used where they are made. Odd rows as there."""
+    d = id_and_text(docs, id_col, text_col)
+    kind = d.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_runs(batches, BATCH_CHARS):
+            texts = batch.column("text").to_pylist()
+            ids, starts, ends = _encode_run(texts, slices(path))
+            decoded = decode_slices(ids, starts, ends, path)
+            bounds = np.cumsum([0, *map(len, texts)])
+            ids_up_to = np.r_[0, ends][np.searchsorted(starts, bounds)]
+            bytes_up_to = np.r_[np.flatnonzero((decoded & 0xC0) != 0x80), len(decoded)][bounds]
+            columns = [_cut(ids.astype("<u4").tobytes(), 4 * ids_up_to), _cut(decoded.tobytes(), bytes_up_to)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "ids", "decoded"])
+
+    return d.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import id_and_text, materialize
+from .common import ByteBound, discard, id_and_text, materialize, text_runs
 
 WINDOW, END_ID = 1024, 0
 #: Pieces of one length that one group ranks, about.
@@ -113,8 +113,8 @@ def _vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
 
 
 @cache
-def _slices(path: str) -> bpe.Slices:
-    return bpe.Slices(_vocabulary(path)[0])
+def _slices(path: str) -> ByteBound:
+    return bpe.slice_cache(_vocabulary(path)[0])
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
@@ -126,26 +126,23 @@ def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
         for x in found.split(t) if found and any(a in t for a in added) else [t]:
             parts.append(x)
             of.append(i)
-    ids: list[bytes] = []
+    ids: list[list[bytes]] = [[] for _ in texts]
     plain = bpe.encode_slices([("" if x in added else x) for x in parts], _slices(path))
-    for x, i, (y, _) in zip(parts, of, plain, strict=True):
-        y = added[x].to_bytes(4, "little") if x in added else y
-        if len(ids) > i:
-            ids[i] += y
-        else:
-            ids.append(y)
-    yield from ids
+    for x, i, (y, _, _) in zip(parts, of, plain, strict=True):
+        ids[i].append(added[x].to_bytes(4, "little") if x in added else y.tobytes())
+    yield from map(b"".join, ids)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids binary]): each document's ids and the
-    end id, cut into full windows and a rest."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, nth[, ids binary]): each document's ids and the
+    end id, cut into full windows and a rest. nth counts the pieces that one task made, and tells
+    pieces that are alike in all else apart."""
     d = id_and_text(docs, id_col, text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        end, made = end_id.to_bytes(4, "little"), 0
+        for batch in text_runs(batches, bpe.BATCH_CHARS):
             row, start, length, crc, tokens, cut = [], [], [], [], [], []
             for i, ids in enumerate(encode_texts(batch.column("text").to_pylist(), path)):
                 ids += end
@@ -161,11 +158,13 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                         cut.append(part)
             out = {"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64()))}
             out |= {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", tokens))}
+            out["nth"] = pa.array(range(made, made + len(row)), pa.int64())
+            made += len(row)
             if with_ids:
                 out["ids"] = pa.array(cut, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    return d.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids)
+    return d.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,8 +173,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     ``path`` is a tokenizer file on every machine. Each token lies in just one piece, and a
     sequence's pieces lie in it from 0 without gaps. Null and empty texts are documents of the end
     id alone; rows without a doc_id and repeated rows are packed like others (rows alike in
-    everything are interchangeable); an empty table gives an empty result; other columns are not
-    looked at.
+    everything are interchangeable, and however many there are they fall into different groups of
+    about ``RANKED_TOGETHER`` where pieces are numbered); an empty table gives an empty result;
+    other columns are not looked at.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, window, end_id, with_ids, id_col, text_col), "packing-pieces")
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     plan = spark.createDataFrame(best_fit_decreasing(counts, window), PLAN)
 
     groups = max(64, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(groups)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "part").count().select(
         "length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")

@@ -38,8 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.bpe_decode(bpe.bpe_encode(_table(spark, sf_dir, "documents"), path, offsets=False), path)
-    return out.select(
+    return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
