@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 
+# What names a model's family.
+FAMILIES = ("opus", "sonnet", "haiku")
+
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Kappa of two raters' columns from their contingency table; 1 if chance agreement is certain."""
@@ -21,16 +24,32 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -
     return d.select(*by, F.col("total").alias("n"), F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe)).alias("kappa"))
 
 
-def krippendorff_alpha(ratings: DataFrame, item: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Nominal alpha from the counts of each value in each item; items with one rating don't count."""
+def krippendorff_alpha(ratings: DataFrame, item: str, value: str, by: list[str] | None = None, level: str = "nominal") -> DataFrame:
+    """(by, total, alpha): one less the mean distance of two ratings of an item over that of two ratings
+    of any items. Nominal distance is 0 or 1; ordinal values are numbers, their distance the squared
+    difference. 1 without pairs or without any difference.
+
+    No pairs are formed: n numbers have sum n * sum(x * x) - sum(x) ** 2 of squared differences, and
+    n ratings (n * n - sum of squared counts) / 2 unlike pairs."""
     by = by or []
-    c = ratings.groupBy(*by, item, value).agg(F.count("*").alias("n"))
-    c = c.withColumn("m", F.sum("n").over(Window.partitionBy(*by, item))).where("m > 1")
-    seen = c.groupBy(*by).agg(F.sum(F.col("n") * (F.col("m") - F.col("n")) / (F.col("m") - 1)).alias("disagree"), F.sum("n").alias("total"))
-    share = c.groupBy(*by, value).agg(F.sum("n").alias("nv")).groupBy(*by).agg(F.sum(F.col("nv") * F.col("nv")).alias("sq"))
-    d = seen.join(share, by) if by else seen.join(share, F.lit(True))
-    expected = (F.col("total") * F.col("total") - F.col("sq")) / (F.col("total") - 1)
-    return d.select(*by, "total", F.when(F.col("sq") == F.col("total") * F.col("total"), 1.0).otherwise(1 - F.try_divide(F.col("disagree"), expected)).alias("alpha"))
+    r = ratings.where(F.col(value).isNotNull())
+
+    def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, n, far): ratings, and the sum of their pairs' distances."""
+        n = F.col("n").cast("double")
+        if level == "ordinal":
+            x = F.col(value).cast("double")
+            d = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+            return d.select(*keys, "n", (n * F.col("q") - F.col("s") * F.col("s")).alias("far"))
+        c = rows.groupBy(*keys, value).agg(F.count("*").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        return c.select(*keys, "n", ((n * n - F.col("q")) / 2).alias("far"))
+
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    within = spread(r, [*by, item]).where("n > 1").groupBy(*by).agg(F.try_divide(F.sum("far"), F.sum(pairs)).alias("observed"))
+    pooled = spread(r, by).select(*by, F.col("n").alias("total"), F.try_divide(F.col("far"), pairs).alias("expected"))
+    d = pooled.join(within, by, "left") if by else pooled.join(within, F.lit(True), "left")
+    none = F.col("observed").isNull() | (F.coalesce("expected", F.lit(0.0)) == 0)
+    return d.select(*by, "total", F.when(none, 1.0).otherwise(1 - F.try_divide(F.col("observed"), F.col("expected"))).alias("alpha"))
 
 
 def majority(ratings: DataFrame, item: str, value: str, seq: str) -> DataFrame:
@@ -84,3 +103,50 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         d = d.withColumn(name, rank)
     r = F.when(F.count("*") < 3, 0.0).otherwise(stats.pearson0(F.col(f"rank_{x}"), F.col(f"rank_{y}")))
     return d.groupBy(*by).agg(F.count("*").alias("n"), r.alias("rho"))
+
+
+def family(model: Column) -> Column:
+    """The key by which a writer's model and a judge's are of one family."""
+    low = F.lower(model)
+    return F.coalesce(*(F.when(low.contains(k), k) for k in FAMILIES), low)
+
+
+def preference_matrix(scores: DataFrame) -> DataFrame:
+    """(writer, judge, mean, n) of scores (writer, judge, overall, error), failed ones left out."""
+    return scores.where("error is null").groupBy("writer", "judge").agg(F.avg("overall").alias("mean"), F.count("overall").alias("n"))
+
+
+def preference_deltas(matrix: DataFrame) -> DataFrame:
+    """(judge, own, others, delta): how a judge rates its own family against the mean over the others;
+    judges without either have no row."""
+    own = family(F.col("writer")) == family(F.col("judge"))
+    d = matrix.where("mean is not null").groupBy("judge").agg(F.avg(F.when(own, F.col("mean"))).alias("own"), F.avg(F.when(~own, F.col("mean"))).alias("others"))
+    return d.where("own is not null and others is not null").withColumn("delta", F.col("own") - F.col("others"))
+
+
+def debias(deltas: DataFrame, least: float = 0.03) -> DataFrame:
+    """(bias, detected, judges): the mean delta; a judge's own is what its scores are lowered by."""
+    d = deltas.agg(F.coalesce(F.avg("delta"), F.lit(0.0)).alias("bias"), F.count("*").alias("judges"))
+    return d.select("bias", (F.abs("bias") > least).alias("detected"), "judges")
+
+
+def ranking_stability(a: DataFrame, b: DataFrame, by: list[str], name: str, score: str) -> DataFrame:
+    """(by, pairs, stability): the share of pairs of names that two rankings by falling score order
+    alike; of equal scores the smaller name comes first. 1 with fewer than two names."""
+
+    def ranked(d: DataFrame, out: str) -> DataFrame:
+        return d.select(*by, name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), name)).alias(out))
+
+    r = ranked(a, "ra").join(ranked(b, "rb"), [*by, name])
+    other = r.select(*by, *(F.col(c).alias(f"{c}2") for c in (name, "ra", "rb")))
+    # the names of one ranking: a set of personas, not a corpus
+    d = r.join(other, by).where("ra < ra2").groupBy(*by).agg(F.count("*").alias("pairs"), F.avg((F.col("rb") < F.col("rb2")).cast("double")).alias("stability"))
+    return r.select(*by).distinct().join(d, by, "left").fillna(0, ["pairs"]).fillna(1.0, ["stability"])
+
+
+def mean_kappa(ratings: DataFrame, item: str, rater: str, value: str) -> DataFrame:
+    """(pairs, kappa): the mean of Cohen's kappa over pairs of raters who rated an item both."""
+    a = ratings.select(item, F.col(rater).alias("ra"), F.col(value).alias("va"))
+    b = ratings.select(item, F.col(rater).alias("rb"), F.col(value).alias("vb"))
+    k = cohen_kappa(a.join(b, item).where("ra < rb"), "va", "vb", ["ra", "rb"])
+    return k.agg(F.count("*").alias("pairs"), F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("kappa"))

@@ -272,20 +272,45 @@ def psi(base: DataFrame, current: DataFrame, key: str, floor: float = 1e-6) -> D
 
 
 def suite(scorers: list, personas: DataFrame, max_tier: int | None = None, only_tier: int | None = None) -> DataFrame:
-    """Results of per-persona scorers: tiers up to ``max_tier`` with gating, or one tier without.
+    """Results of per-persona scorers, with a column skipped: tiers up to ``max_tier`` with gating, or
+    one tier without.
 
-    With gating, a persona that fails tier 1 has its later tiers reported as skipped, not run."""
-    rows = reduce(lambda a, b: a.unionByName(b), (s(personas) for s in scorers))
+    With gating, a persona that fails tier 1 has its later tiers reported as failed and skipped."""
+    rows = reduce(lambda a, b: a.unionByName(b), (s(personas) for s in scorers)).withColumn("skipped", F.lit(False))
     if only_tier is not None:
         return rows.where(F.col("tier") == only_tier)
     if max_tier is not None:
         rows = rows.where(F.col("tier") <= max_tier)
     failed = rows.where("tier = 1 and not passed").select(F.col("persona_id").alias("failed")).distinct()
-    d = rows.join(failed, F.col("persona_id") == F.col("failed"), "left")
-    skipped = (F.col("tier") > 1) & F.col("failed").isNotNull()
-    return d.select(
+    return _gated(rows.join(failed, F.col("persona_id") == F.col("failed"), "left"), (F.col("tier") > 1) & F.col("failed").isNotNull())
+
+
+def _gated(rows: DataFrame, skipped: Column) -> DataFrame:
+    return rows.select(
         "dimension_id", "dimension_name", "tier", "persona_id",
-        F.when(skipped, F.lit(None)).otherwise(F.col("passed")).alias("passed"),
+        F.when(skipped, F.lit(False)).otherwise(F.col("passed")).alias("passed"),
         F.when(skipped, 0.0).otherwise(F.col("score")).alias("score"),
         F.when(skipped, F.array(F.lit("skipped: tier 1 failed"))).otherwise(F.col("errors")).alias("errors"),
+        (F.col("skipped") | skipped).alias("skipped"),
     )
+
+
+SET = "__set__"
+
+
+def set_result(scored: DataFrame, dimension: str, name: str, tier: int) -> DataFrame:
+    """One row of a set-level scorer's (passed, score) as a result of the whole set."""
+    return result(scored.withColumn("persona_id", F.lit(SET)), dimension, name, tier, F.col("passed"), F.col("score")).withColumn("skipped", F.lit(False))
+
+
+def suite_full(scorers: list, set_results: list[DataFrame], personas: DataFrame, only_tier: int | None = None) -> DataFrame:
+    """All results: per persona with gating, then those of the set (of :func:`set_result`), which are
+    failed and skipped if any persona fails tier 1. One tier alone isn't gated by others."""
+    own = suite(scorers, personas, only_tier=only_tier)
+    if not set_results:
+        return own
+    of_set = reduce(lambda a, b: a.unionByName(b), set_results)
+    if only_tier is not None:
+        of_set = of_set.where(F.col("tier") == only_tier)
+    failed = own.agg(F.coalesce(F.bool_or((F.col("tier") == 1) & ~F.col("passed")), F.lit(False)).alias("failed"))  # one row
+    return own.unionByName(_gated(of_set.join(failed, F.lit(True)), F.col("failed")))

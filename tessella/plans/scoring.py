@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, vectors
-from ..operators import agreement, scoring
+from ..operators import agreement, dimensions, scoring
 from ..sources.records import table
 from . import query
 
@@ -74,12 +74,30 @@ def demographic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.demographic_coherence(personas(spark, sf_dir)).select("persona_id", "passed", e6(F.col("score")).alias("score_e6"))
 
 
-@query()
+_SUITE = f"""{PERSONAS}, x as (select persona_id, name <> '' and not no_goals as d1,
+    name <> '' and job <> '' and not tbd and bio_length >= 50 and speaks and not no_goals as d2,
+    not (job in ('senior analyst', 'director') and years < 3) and not (job = 'junior clerk' and years > 10) and age - years >= 14 and not (budget and luxury) and not (introvert and speaks) as d3,
+    not (education = 'phd' and age < 24) and not (job = 'director' and age < 25) and not (widowed and age < 25) and not (education = 'high school' and high and age < 30) and years <= age - 16 as d7 from p),
+  g as (select *, d1 and d2 and d3 as ok from x), s as (select 'D1' as dimension_id, 1 as tier, d1 as passed, false as skipped from g union all select 'D2', 1, d2, false from g union all select 'D3', 1, d3, false from g union all select 'D7', 2, ok and d7, not ok from g)"""
+
+
+@query(f"with {_SUITE} select dimension_id, tier, count(*) as n, count(case when passed then 1 end) as passed, count(case when skipped then 1 end) as skipped from s group by 1, 2")
 def suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-persona suite with tier gating, counted by dimension."""
     p = personas(spark, sf_dir)
     rows = scoring.suite([scoring.schema_compliance, scoring.completeness, scoring.consistency, scoring.demographic_coherence], p)
-    return rows.groupBy("dimension_id", "tier").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if(F.col("passed").isNull()).alias("skipped"))
+    return rows.groupBy("dimension_id", "tier").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("skipped").alias("skipped"))
+
+
+@query(f"""with {_SUITE}, v as (select avg(case when high then 1.0 else 0.0 end) as r from p), f as (select not bool_and(d1 and d2 and d3) as failed from g),
+  a as (select dimension_id, tier, passed, skipped from s union all select 'D35', 6, r >= 0.6 and not failed, failed from v, f)
+  select dimension_id, tier, count(*) as n, count(case when passed then 1 end) as passed, count(case when skipped then 1 end) as skipped from a group by 1, 2""")
+def suite_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a scorer of the set, which the gate closes."""
+    p = personas(spark, sf_dir)
+    guessed = dimensions.role_identifiability(p.select(F.lit(True).alias("truth"), (F.col("income_bracket") == "high").alias("guess")))
+    rows = scoring.suite_full([scoring.schema_compliance, scoring.completeness, scoring.consistency, scoring.demographic_coherence], [scoring.set_result(guessed, "D35", "Role Identifiability", 6)], p)
+    return rows.groupBy("dimension_id", "tier").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("skipped").alias("skipped"))
 
 
 FIELDS = "f as (select 'segment' as field, c_mktsegment as v from customer union all select 'nation', cast(c_nationkey as varchar) from customer union all select 'high', cast(c_acctbal > 5000 as varchar) from customer)"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import sets, stats, text
-from tessella.operators import agreement, dimensions, ingest, research, scoring, segment
+from tessella.operators import agreement, claims, dimensions, ingest, overlap, research, scoring, segment
 from tessella.streaming import events as stream
 
 
@@ -144,7 +144,7 @@ def test_suite_gates_by_tier(spark):
     cols = "persona_id int, name string, age int, experience_years int, education string, occupation string, marital_status string, income_bracket string"
     p = spark.createDataFrame([(1, "", 40, 5, "BSc", "Clerk", "", ""), (2, "Ann", 20, 19, "PhD", "CEO", "", "")], cols)
     got = {(r["persona_id"], r["dimension_id"]): (r["passed"], r["score"]) for r in scoring.suite([scoring.schema_compliance, scoring.demographic_coherence], p).collect()}
-    assert got["1", "D1"] == (False, pytest.approx(0.8)) and got["1", "D7"] == (None, 0.0)
+    assert got["1", "D1"] == (False, pytest.approx(0.8)) and got["1", "D7"] == (False, 0.0)
     assert got["2", "D1"] == (True, 1.0) and got["2", "D7"] == (False, pytest.approx(0.4))
 
 
@@ -305,3 +305,75 @@ def test_equal_implicit_sets_count_without_typed_features_only(spark):
     got = {(r["a"], r["b"]): r["g"] for r in d.alias("a").join(d.alias("b"), F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"), g.alias("g")).collect()}
     assert got[1, 2] == pytest.approx((0.5 + 1.0) / 2)  # equal behaviors say nothing beside numbers
     assert got[3, 4] == pytest.approx((0.0 + 1.0) / 2) and got[1, 4] == 0.0
+
+
+# Claims, overlap, judges and the whole suite.
+
+
+def test_domain_rules(spark):
+    c = spark.createDataFrame([("p", "goals.0", "Cut the BUDGET and pass the audit"), ("p", "goals.1", "Be happy"), ("q", "pains.0", "Clinical costs")], "persona string, path string, text string")
+    e = spark.createDataFrame([("p", "goals.0", ["a", "b", "a"]), ("q", "pains.0", ["a"])], "persona string, path string, record_ids array<string>")
+    flagged = claims.domain_rules(c, e)
+    got = {(r["persona"], r["path"]): (r["categories"], r["sources"], r["satisfied"]) for r in flagged.collect()}
+    assert got == {("p", "goals.0"): (["financial", "legal"], 2, True), ("q", "pains.0"): (["financial", "medical"], 1, False)}
+    rates = {r["persona"]: (r["claims"], r["sensitive"], r["financial"], r["rate"]) for r in claims.domain_summary(c, flagged).collect()}
+    assert rates == {"p": (2, 1, 1, 0.5), "q": (1, 1, 1, 1.0)}
+
+
+def test_verdicts_on_evidence(spark):
+    e = spark.createDataFrame([("p", "a.0", 0.9), ("p", "a.1", 0.4), ("p", "a.2", 0.8), ("p", "a.3", None)], "persona string, path string, confidence double")
+    v = spark.createDataFrame([("p", "a.0", "revise"), ("p", "a.1", "revise"), ("p", "a.2", "drop"), ("p", "a.3", "revise")], "persona string, path string, verdict string")
+    assert {r["path"]: r["confidence"] for r in claims.apply_verdicts(e, v).collect()} == {"a.0": pytest.approx(0.7), "a.1": 0.3, "a.3": 0.3}
+
+
+def test_semantic_overlap(spark):
+    c = spark.createDataFrame([("p", "goals.0", "Reduce manual reporting, quickly!"), ("p", "goals.1", "Unrelated words entirely"), ("p", "goals.2", "nothing behind")], "persona string, path string, text string")
+    e = spark.createDataFrame([("p", "goals.0", ["r1"]), ("p", "goals.1", ["r1"]), ("p", "goals.2", [])], "persona string, path string, record_ids array<string>")
+    r = spark.createDataFrame([("p", "r1", "manual-reporting takes days; reduce it")], "persona string, record_id string, text string")
+    o = claims.semantic_overlap(c, e, r)
+    got = {x["path"]: (x["overlap"], x["semantic"], x["diverges"]) for x in o.collect()}
+    assert got == {"goals.0": (0.75, True, False), "goals.1": (0.0, False, True)}  # "quickly!" keeps its mark
+    s = claims.semantic_groundedness(c, o).first()
+    assert (s["score"], s["backed"], s["weak"], s["coverage"]) == (0.375, 2, 1, pytest.approx(2 / 3))
+
+
+def test_list_lengths(spark):
+    d = spark.createDataFrame([(["a"], ["a", "b"], None), (["a", "b"], ["x"] * 9, ["a", "b", "c"])], "goals array<string>, pains array<string>, vocabulary array<string>")
+    assert [r["e"] for r in d.select(claims.length_errors(d).alias("e")).collect()] == [["goals", "vocabulary"], ["pains"]]
+
+
+def test_struct_similarity(spark):
+    d = spark.createDataFrame([({"age": "30", "City": " Lyon "}, {"age": "30", "City": "lyon", "role": "x"}), ({}, {})], "a map<string,string>, b map<string,string>")
+    assert [r["s"] for r in d.select(overlap.struct_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [pytest.approx(2 / 3), 0.0]
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal"])
+def test_alpha_against_all_pairs(spark, level):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.randint(1, 5)) for i in range(30) for _ in range(r.randint(1, 4))]
+    far = (lambda a, b: float(a != b)) if level == "nominal" else lambda a, b: float((a - b) ** 2)
+    within = [far(a, b) for i in range(30) for a, b in itertools.combinations([v for k, v in rows if k == i], 2)]
+    pooled = [far(a, b) for a, b in itertools.combinations([v for _, v in rows], 2)]
+    got = agreement.krippendorff_alpha(spark.createDataFrame(rows, "item int, v int"), "item", "v", level=level).first()
+    assert got["alpha"] == pytest.approx(1 - (sum(within) / len(within)) / (sum(pooled) / len(pooled)))
+
+
+def test_preferences(spark):
+    s = [("x-opus", "opus", 0.9, None), ("x-opus", "opus", 0.1, "timeout"), ("haiku", "opus", 0.5, None), ("sonnet", "opus", 0.7, None), ("haiku", "judge", 0.2, None)]
+    d = agreement.preference_deltas(agreement.preference_matrix(spark.createDataFrame(s, "writer string, judge string, overall double, error string")))
+    assert [(r["judge"], r["delta"]) for r in d.collect()] == [("opus", pytest.approx(0.3))]
+    x = agreement.debias(d).first()
+    assert x["bias"] == pytest.approx(0.3) and x["detected"]
+
+
+def test_full_suite_closes_the_set_behind_a_failure(spark):
+    p = spark.createDataFrame([(1, "a", 30, 3), (2, "", 30, 3)], "persona_id int, name string, age int, experience_years int")
+    of_set = [scoring.set_result(spark.range(1).select(F.lit(True).alias("passed"), F.lit(0.9).alias("score")), "D6", "Distinctiveness", 2)]
+    got = {(r["dimension_id"], r["persona_id"]): (r["passed"], r["score"], r["skipped"]) for r in scoring.suite_full([scoring.schema_compliance], of_set, p).collect()}
+    assert got["D6", "__set__"] == (False, 0.0, True) and got["D1", "2"][0] is False
+    ok = scoring.suite_full([scoring.schema_compliance], of_set, p.where("persona_id = 1"))
+    assert {(r["dimension_id"]): r["passed"] for r in ok.collect()} == {"D1": True, "D6": True}
+    assert [r["dimension_id"] for r in scoring.suite_full([scoring.schema_compliance], of_set, p, only_tier=2).collect()] == ["D6"]
