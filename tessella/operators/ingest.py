@@ -74,3 +74,41 @@ def high_water(df: DataFrame, by: list[str], *at: str) -> DataFrame:
 def since_cursor(df: DataFrame, cursor: DataFrame, by: list[str], at: str) -> DataFrame:
     """Rows at or after their source's cursor; sources without one come whole."""
     return df.join(cursor.select(*by, "cursor"), by, "left").where(F.col("cursor").isNull() | (F.col(at) >= F.col("cursor"))).drop("cursor")
+
+
+def body_or_fallback(body: Column, embeds: Column, attachments: Column) -> Column:
+    """A message's text; if blank, the descriptions (else titles) of its embeds, else the names of its
+    attachments; null if there is nothing. ``embeds`` is array<struct<description,title>>."""
+    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    said = lambda e: F.coalesce(F.when(e["description"] != "", e["description"]), e["title"], F.lit(""))
+    from_embeds = F.trim(F.array_join(F.transform(F.coalesce(embeds, F.array()), said), " "))
+    names = F.array_join(F.coalesce(attachments, F.array().cast("array<string>")), " ")
+    found = F.when(~blank(body), body).when(~blank(from_embeds), from_embeds).otherwise(names)
+    return F.when(~blank(found), found)
+
+
+def replies(messages: DataFrame) -> DataFrame:
+    """(message_id, source_user_id, target_user_id, parent_id) of messages that answer another user's
+    message; an unknown parent has no user."""
+    parents = messages.select(F.col("message_id").alias("parent_id"), F.col("author_id").alias("target_user_id"))
+    d = messages.where("reply_to_message_id is not null").select("message_id", F.col("author_id").alias("source_user_id"), F.col("reply_to_message_id").alias("parent_id"))
+    return d.join(parents, "parent_id", "left").where("target_user_id is null or target_user_id <> source_user_id").select("message_id", "source_user_id", "target_user_id", "parent_id")
+
+
+def mentions(messages: DataFrame) -> DataFrame:
+    """(message_id, source_user_id, target_user_id) for each mention (array<struct<id,bot>>) of another
+    user who is no bot."""
+    d = messages.select("message_id", F.col("author_id").alias("source_user_id"), F.explode("mentions").alias("m"))
+    return d.where("m.id <> source_user_id and not coalesce(m.bot, false)").select("message_id", "source_user_id", F.col("m.id").alias("target_user_id"))
+
+
+def js_shell(html: Column, n_messages: Column) -> Column:
+    """Whether a page is a script's shell: a framework's mark, or five scripts and hardly any text."""
+    low = F.lower(html)
+    marks = ('id="__next"', "data-reactroot", "window.__nuxt__", "__next_data__")
+    scripts = F.regexp_count(low, F.lit("<script"))
+    visible = F.length(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")))
+    marked = F.lit(False)
+    for m in marks:
+        marked = marked | low.contains(m)
+    return marked | ((scripts >= 5) & (n_messages < 2) & (visible < 1200))

@@ -149,7 +149,9 @@ def answer_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("persona_id", e6(F.col("rate")).alias("rate_e6"), "passed")
 
 
-@query()
+@query("""with u as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), n as (select vec_id, sqrt(sum(cast(x as double) * x)) as norm from u group by 1), v as (select vec_id, i, x / norm as x from u join n using (vec_id) where norm > 0),
+  p as (select sum(a.x * b.x) as s from v a join v b on a.i = b.i and a.vec_id < b.vec_id group by a.vec_id, b.vec_id) select cast((select count(*) from embeddings) as bigint) as n, count(case when 1 - s < 0.05 then 1 end) as near_duplicates,
+  cast(round((1 - avg(s)) * 1e5) as bigint) as distance_e5, count(case when 1 - s < 0.05 then 1 end) = 0 and 1 - avg(s) >= 0.1 as passed from p""")
 def set_distinctiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("persona_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return dimensions.distinctiveness(e).select("n", "near_duplicates", F.round(F.col("distance") * 1e5).cast("bigint").alias("distance_e5"), "passed")

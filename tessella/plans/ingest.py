@@ -97,11 +97,39 @@ def topic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(text.tags(F.col("text")), ",").alias("tags"), text.has_link(F.lower("text")).alias("has_link"))
 
 
-@query()
+_SHOUT = "length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 20 and length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) >= 0.8 * length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
+BOTS = ("Ann has joined the channel", "hello there, @here", "READ ALL THE RULES BEFORE POSTING", "[BOT] done", "You've been added to it", "an ordinary sentence", "Reminder: pay", "Nobody pinned a message today", "pinned notes", "OK FINE")
+
+_BOTS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in BOTS) + "]"
+
+
+@query(f"""with x as (select conv_id, turn, ({_BOTS})[(conv_id * 3 + turn) % {len(BOTS)} + 1] || case when turn % 2 = 0 then ' ' || left(text, 5) else '' end as text from conversations)
+  select turn % 2 as half, count(*) as n, count(case when regexp_matches(text, '(?i){"|".join(text.BOT_PATTERNS).replace("'", "''")}') or ({_SHOUT}) then 1 end) as n_bot from x group by 1""")
 def bot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and turns that look like a bot's; patterns use Unicode word ends, so no SQL twin."""
-    d = table(spark, sf_dir, "documents").select("source", text.is_bot(F.col("text")).alias("bot"))
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if("bot").alias("n_bot"))
+    """Sentences that bots and people write, some before a bit of other text."""
+    c = table(spark, sf_dir, "conversations")
+    pick = F.element_at(F.array(*(F.lit(x) for x in BOTS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(BOTS) + 1).cast("int"))
+    d = c.select((F.col("turn") % 2).alias("half"), F.concat(pick, F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.substring("text", 1, 5))).otherwise("")).alias("text"))
+    return d.groupBy("half").agg(F.count("*").alias("n"), F.count_if(text.is_bot(F.col("text"))).alias("n_bot"))
+
+
+@query("""with m as (select conv_id * 100 + turn as id, conv_id % 7 as author, case when turn % 3 > 0 then conv_id * 100 + turn - 1 - turn % 2 end as parent, turn from conversations),
+  r as (select 'reply' as kind, m.id, m.author, p.author as target from m left join m p on p.id = m.parent where m.parent is not null and (p.author is null or p.author <> m.author)),
+  t as (select 'mention' as kind, id, author, (author + k) % 7 as target from m, (values (0), (1), (3)) v(k) where (author + k) % 7 <> author and not (k = 3 and turn % 2 = 0)) select kind, id, author, target from r union all select * from t""")
+def interaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies and mentions between seven users."""
+    k, turn = F.col("conv_id") * 100 + F.col("turn"), F.col("turn")
+    author = F.col("conv_id") % 7
+    named = F.array(*(F.struct(((author + i) % 7).alias("id"), (F.lit(i == 3) & (turn % 2 == 0)).alias("bot")) for i in (0, 1, 3)))
+    m = table(spark, sf_dir, "conversations").select(k.alias("message_id"), author.alias("author_id"), F.when(turn % 3 > 0, k - 1 - turn % 2).alias("reply_to_message_id"), named.alias("mentions"))
+    rows = lambda kind, d: d.select(F.lit(kind).alias("kind"), F.col("message_id").alias("id"), F.col("source_user_id").alias("author"), F.col("target_user_id").alias("target"))
+    return rows("reply", ingest.replies(m)).unionByName(rows("mention", ingest.mentions(m)))
+
+
+@query("""with x as (select page_id, lower(html) as low, html from pages), y as (select page_id, low, (length(low) - length(replace(low, '<script', ''))) / 7 as scripts, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) as visible from x)
+  select page_id, contains(low, 'id="__next"') or contains(low, 'data-reactroot') or contains(low, 'window.__nuxt__') or contains(low, '__next_data__') or (scripts >= 5 and page_id % 4 < 2 and visible < 1200) as shell from y""")
+def js_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ingest.js_shell(F.col("html"), F.col("page_id") % 4).alias("shell"))
 
 
 @query("""with x as (select conv_id, turn, trim(text) as t from conversations), y as (select *, row_number() over (partition by conv_id, t order by turn) as n from x where length(t) between 20 and 2000)

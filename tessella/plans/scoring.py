@@ -187,7 +187,11 @@ def behavioral_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("label", "n", F.round(F.col("mean_cosine") * 1e5).cast("bigint").alias("cosine_e5"), F.round(F.col("radius") * 1e5).cast("bigint").alias("radius_e5"))
 
 
-@query()
+@query(f"""with {UNNEST}, r as (select vec_id, label, row_number() over (partition by label order by vec_id) - 1 as at, count(*) over (partition by label) as total from embeddings),
+  w as (select label, unnest(generate_series(0, cast(floor((max(total) - 10) / 5.0) as bigint))) as win from r group by label having max(total) >= 10), m as (select w.label, w.win, r.vec_id from w join r on r.label = w.label and r.at between w.win * 5 and w.win * 5 + 9),
+  x as (select m.label, m.win, m.vec_id, i, cast(x as double) as x, norm from m join u on u.vec_id = m.vec_id join n on n.vec_id = m.vec_id), c as (select label, win, i, avg(x) as c from x group by 1, 2, 3), l as (select label, win, sqrt(sum(c * c)) + 1e-10 as cn from c group by 1, 2),
+  s as (select x.label, x.win, x.vec_id, sum(x.x / x.norm * c.c) as s from x join c on c.label = x.label and c.win = x.win and c.i = x.i group by 1, 2, 3)
+  select s.label, cast(s.win as integer) as "window", count(*) as n, cast(round(avg(s / cn) * 1e5) as bigint) as coherence_e5 from s join l on l.label = s.label and l.win = s.win group by 1, 2""")
 def coherence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scoring.sliding_coherence(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
     return d.select("label", "window", "n", F.round(F.col("coherence") * 1e5).cast("bigint").alias("coherence_e5"))
