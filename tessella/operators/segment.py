@@ -170,10 +170,10 @@ def _greedy(users: pd.DataFrame, similarity, threshold: float, clusters: list) -
     """Each user, in order, to the cluster of strictly greatest similarity if that reaches the
     threshold and isn't 0; else to a new one. ``clusters`` are those of the users before."""
     out = []
-    for row in users.itertuples(index=False):
+    for row in similarity.rows(users):
         best, best_s = None, 0.0
-        for i, c in enumerate(clusters):
-            s = similarity(row, c)
+        for i in similarity.near(row, clusters):
+            s = similarity(row, clusters[i])
             if s > best_s:
                 best, best_s = i, s
         if best is None or best_s < threshold:
@@ -181,27 +181,46 @@ def _greedy(users: pd.DataFrame, similarity, threshold: float, clusters: list) -
             best = len(clusters) - 1
         else:
             similarity.add(row, clusters[best])
+        similarity.note(row, best)
         out.append(best)
     return out
 
 
 class _Jaccard:
-    """Similarity of a user's behaviors to the union of a cluster's."""
+    """Similarity of a user's behaviors to the union of a cluster's. A user is compared only with
+    clusters that share a behavior, all others having similarity 0."""
 
-    def start(self, row):
-        return set(row.behaviors)
+    def __init__(self, clusters: list[set]) -> None:
+        self.of: dict[str, set[int]] = {}
+        for i, c in enumerate(clusters):
+            self.note(c, i)
 
-    def add(self, row, c):
-        c |= set(row.behaviors)
+    def rows(self, users):
+        return map(set, users["behaviors"])
 
-    def __call__(self, row, c):
-        a = set(row.behaviors)
-        return len(a & c) / len(a | c) if a or c else 0.0
+    def note(self, items: set, i: int) -> None:
+        for x in items:
+            self.of.setdefault(x, set()).add(i)
 
-    def dump(self, c) -> str:
+    def near(self, items: set, clusters: list) -> list[int]:
+        return sorted(set().union(*(self.of.get(x, ()) for x in items)))
+
+    def start(self, items: set):
+        return set(items)
+
+    def add(self, items: set, c: set) -> None:
+        c |= items
+
+    def __call__(self, items: set, c: set) -> float:
+        both = len(items & c)
+        return both / (len(items) + len(c) - both)
+
+    @staticmethod
+    def dump(c) -> str:
         return json.dumps(sorted(c))
 
-    def load(self, text: str):
+    @staticmethod
+    def load(text: str):
         return set(json.loads(text))
 
 
@@ -211,6 +230,15 @@ class _Gower:
     def __init__(self, ranges: dict[str, float]):
         self.ranges = ranges
 
+    def rows(self, users):
+        return users.itertuples(index=False)
+
+    def near(self, row, clusters: list):
+        return range(len(clusters))
+
+    def note(self, row, i: int) -> None:
+        pass
+
     def start(self, row):
         c = {"sets": [set(), set()], "num": {}, "cat": {}}
         self.add(row, c)
@@ -254,10 +282,14 @@ class _Gower:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Written once into the checkpoint folder; only where none is set, into one of this machine."""
+    """Written once into the checkpoint folder; where none is set, a local session gets one of this
+    machine, and any other is refused."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
 
 
@@ -293,10 +325,11 @@ def cluster_users(users: DataFrame, metric: str = "jaccard", threshold: float =
             for c in ("numeric", "categorical", "spread"):
                 g[c] = g[c].map(lambda m: dict(m or {}))
             rule = _Gower(g["spread"].iloc[0])
+            clusters = [rule.load(x) for x in before.sort_values("cluster")["state"]]
         else:
-            rule = _Jaccard()
+            clusters = [_Jaccard.load(x) for x in before.sort_values("cluster")["state"]]
+            rule = _Jaccard(clusters)
         g = g.sort_values(["order", "seq", "user_id"], kind="stable")
-        clusters = [rule.load(x) for x in before.sort_values("cluster")["state"]]
         at = _greedy(g, rule, threshold, clusters)
         placed = pd.DataFrame({"tenant_id": g["tenant_id"], "cluster": at, "user_id": g["user_id"], "state": None})
         left = pd.DataFrame({"tenant_id": g["tenant_id"].iloc[0], "cluster": range(len(clusters)), "user_id": None, "state": [rule.dump(c) for c in clusters]})
