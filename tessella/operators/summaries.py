@@ -137,3 +137,91 @@ def verbatim_candidates(of_cluster: DataFrame, least: int = 20, most: int = 2000
     d = of_cluster.select(*CLUSTER, "seq", F.posexplode(F.map_values("payload")).alias("at", "v")).select(*CLUSTER, "seq", "at", F.trim("v").alias("t"))
     d = d.where(F.length("t").between(least, most)).where(~text.is_bot(F.col("t")))
     return d.groupBy(*CLUSTER, "t").agg(F.min(F.struct("seq", "at")).alias("first")).select(*CLUSTER, "first.seq", "first.at", "t")
+
+
+# How good a clustering is.
+
+
+def centrality(users: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, user_id, similarity, n_records): how like each member's behaviors are to all of its
+    cluster's (Jaccard). A member has none that its cluster hasn't, so sizes of sets say it."""
+    m = members.select(*CLUSTER, "user_id").join(users.select("tenant_id", "user_id", "n_records", F.array_distinct("behaviors").alias("b")), ["tenant_id", "user_id"])
+    union = m.select(*CLUSTER, F.explode("b").alias("x")).groupBy(*CLUSTER).agg(F.count_distinct("x").alias("n"))
+    similarity = F.coalesce(F.size("b") / F.col("n"), F.lit(0.0))
+    return m.join(union, list(CLUSTER), "left").select(*CLUSTER, "user_id", similarity.alias("similarity"), "n_records")
+
+
+def cluster_quality(users: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, size, compactness): members, and their mean similarity to the cluster's behaviors."""
+    return centrality(users, members).groupBy(*CLUSTER).agg(F.count("*").alias("size"), F.avg("similarity").alias("compactness"))
+
+
+def clustering_report(users: DataFrame, members: DataFrame) -> DataFrame:
+    """Per tenant: users, clusters, noise (users in none) and its rate, mean and deviation of sizes,
+    compactness, balance (one less the deviation over the mean; 1 for one cluster, 0 for none)."""
+    n = users.groupBy("tenant_id").agg(F.count_distinct("user_id").alias("users"))
+    q = cluster_quality(users, members).groupBy("tenant_id").agg(
+        F.count("*").alias("clusters"), F.sum("size").alias("placed"), F.avg("size").alias("mean_size"), F.stddev_pop("size").alias("size_stdev"), F.avg("compactness").alias("compactness")
+    )
+    d = n.join(q, "tenant_id", "left").fillna(0, ["clusters", "placed"]).fillna(0.0, ["mean_size", "size_stdev", "compactness"])
+    noise = F.greatest(F.lit(0), F.col("users") - F.col("placed"))
+    balance = F.when(F.col("clusters") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("size_stdev"), F.col("mean_size"))))
+    return d.select("tenant_id", "users", "clusters", noise.alias("noise"), (noise / F.col("users")).alias("noise_rate"), "mean_size", "size_stdev", "compactness", balance.alias("balance"))
+
+
+def sweep(users: DataFrame, thresholds: list[float], min_sizes: list[int], metric: str = "jaccard") -> DataFrame:
+    """The reports of all these settings, a run of the clustering for each threshold."""
+    out = None
+    for t in thresholds:
+        whole = segment.cluster_users(users, metric, t, 1)
+        size = whole.groupBy(*CLUSTER).agg(F.count("*").alias("n"))
+        for least in min_sizes:
+            kept = whole.join(size.where(F.col("n") >= least), list(CLUSTER), "left_semi")
+            r = clustering_report(users, kept).select(F.lit(t).alias("threshold"), F.lit(least).alias("min_size"), "*")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def outliers(users: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, user_id, similarity): the member least like its cluster; of equal ones that with fewer
+    records, then the smaller id."""
+    order = F.struct("similarity", "n_records", "user_id")
+    return centrality(users, members).groupBy(*CLUSTER).agg(F.min_by("user_id", order).alias("user_id"), F.min("similarity").alias("similarity"))
+
+
+def run_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(tenant_id, overlap) of two runs' members (tenant_id, cluster, user_id): the share of all users
+    whose clusters match, each cluster of the first taking in turn the free one of the second with
+    most users in common (of equal ones the first)."""
+    import pandas as pd
+
+    met = a.select("tenant_id", F.col("cluster").alias("ca"), "user_id").join(b.select("tenant_id", F.col("cluster").alias("cb"), "user_id"), ["tenant_id", "user_id"])
+    counts = met.groupBy("tenant_id", "ca", "cb").agg(F.count("*").alias("n"))
+    total = a.select("tenant_id", "user_id").union(b.select("tenant_id", "user_id")).distinct().groupBy("tenant_id").agg(F.count("*").alias("total"))
+
+    def matched(g: pd.DataFrame) -> pd.DataFrame:  # a tenant's pairs of clusters
+        used, agree = set(), 0
+        for _, own in g.sort_values(["ca", "n", "cb"], ascending=[True, False, True]).groupby("ca", sort=True):
+            free = own[~own["cb"].isin(used)]
+            if len(free):
+                used.add(free["cb"].iloc[0])
+                agree += int(free["n"].iloc[0])
+        return pd.DataFrame({"tenant_id": [g["tenant_id"].iloc[0]], "agree": [agree]})
+
+    m = counts.groupBy("tenant_id").applyInPandas(matched, "tenant_id string, agree bigint")
+    return total.join(m, "tenant_id", "left").select("tenant_id", (F.coalesce("agree", F.lit(0)) / F.col("total")).alias("overlap"))
+
+
+def sample_coverage(records: DataFrame, samples: DataFrame, more: DataFrame) -> DataFrame:
+    """(sampled, records, behaviors): the shares of all records and of all behaviors that the sampled
+    record ids reach, without and with those of ``more``."""
+    all_of = records.agg(F.count_distinct("record_id").alias("r"))
+    kinds = records.select(F.explode("behaviors").alias("b")).agg(F.count_distinct("b").alias("b"))
+    both = {"base": samples.select("record_id"), "with more": samples.select("record_id").union(more.select("record_id"))}
+    out = None
+    for name, ids in both.items():
+        hit = records.join(ids.distinct(), "record_id", "left_semi")
+        d = hit.agg(F.count_distinct("record_id").alias("nr")).join(hit.select(F.explode("behaviors").alias("x")).agg(F.count_distinct("x").alias("nb")), F.lit(True))
+        d = d.join(all_of, F.lit(True)).join(kinds, F.lit(True)).select(F.lit(name).alias("sampled"), (F.col("nr") / F.col("r")).alias("records"), (F.col("nb") / F.col("b")).alias("behaviors"))
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import bronze, dimensions
+from ..operators import agreement, bronze, dimensions
 from ..sources import html
 from ..sources.records import table
 from . import query
+from . import scoring as scoring_plans
 from .scoring import e6
 
 
@@ -177,3 +178,69 @@ def suite_behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("dimension_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("skipped").alias("skipped"))
 
 
+# Scorers of figures and vectors that other queries don't reach.
+
+
+@query("""with x as (select o_custkey as persona_id, case when o_orderkey % 3 > 0 then 1.0 else 0.0 end as hit, (o_orderkey % 10) / 10.0 as h from orders), g as (select persona_id, avg(hit) - avg(h) as gap from x group by 1)
+  select persona_id, cast(round(greatest(0, 1 - 4 * greatest(0, gap - 0.25)) * 1e6) as bigint) as score_e6, gap <= 0.25 as passed from g""")
+def hyper_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("persona_id"), F.concat(F.lit(" "), F.lower("o_orderpriority")).alias("answer"), F.when(k % 3 > 0, F.col("o_orderpriority")).otherwise("x").alias("correct"), (k % 10 / 10).alias("human_accuracy"))
+    return dimensions.hyper_accuracy(a).select("persona_id", e6(F.col("score")).alias("score_e6"), "passed")
+
+
+@query("""with x as (select doc_id % 20 as persona_id, toxic = 1 as adv, case when quality = 0 then 1.0 else 0.0 end as f from labels), g as (select persona_id, coalesce(avg(case when adv then f end), 0) as d, coalesce(avg(case when not adv then f end), 0) as a from x group by 1)
+  select persona_id, cast(round(greatest(0, d - 0.3 * a) * 1e6) as bigint) as score_e6, greatest(0, d - 0.3 * a) >= 0.7 as passed from g""")
+def judge_gaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("persona_id"), (F.col("toxic") == 1).alias("adversarial"), (F.col("quality") == 0).alias("flagged"))
+    return dimensions.judge_gaming(x).select("persona_id", e6(F.col("score")).alias("score_e6"), "passed")
+
+
+@query("""with r as (select user_id as persona_id, event_type, max(value / 500) - min(value / 500) as r from events group by 1, 2 having count(distinct event_id % 3) > 1) select persona_id, cast(round((1 - avg(r)) * 1e5) as bigint) as score_e5, max(r) <= 0.15 as passed from r group by 1""")
+def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").select(F.col("user_id").alias("persona_id"), (F.col("event_id") % 3).alias("model"), F.col("event_type").alias("dimension"), (F.col("value") / 500).alias("value"))
+    return dimensions.cross_model(x).select("persona_id", F.round(F.col("score") * 1e5).cast("bigint").alias("score_e5"), "passed")
+
+
+@query("""with r as (select l_suppkey as persona_id, coalesce(corr(l_quantity, l_extendedprice), 0) as r, stddev_pop(l_quantity) as s from lineitem group by 1)
+  select persona_id, cast(round(r * 1e6) as bigint) as score_e6, case when r >= 0.8 then 'high' when r >= 0.6 then 'moderate' when r >= 0.4 then 'low' else 'none' end as trust, r >= 0.6 and s >= 14 as passed from r""")
+def judge_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("persona_id"), F.col("l_quantity").alias("judge"), F.col("l_extendedprice").alias("human"))
+    return dimensions.judge_reliability(x, least_spread=14.0).select("persona_id", e6(F.col("score")).alias("score_e6"), "trust", "passed")
+
+
+@query("""with x as (select least(1.0, d.n_chars / 4000.0) as conf, l.quality from labels l join documents d on d.doc_id = l.doc_id), b as (select greatest(ceil(conf * 10), 1) as bin, count(*) as n, avg(conf) as c, avg(quality) as a from x group by 1) select cast(sum(n) as bigint) as n, cast(round(sum(abs(c - a) * n) / sum(n) * 1e6) as bigint) as ece_e6 from b""")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = agreement.ece(agreement.calibration_bins(scoring_plans._rated(spark, sf_dir), "conf", "quality"))
+    return d.select("n", e6(F.col("ece")).alias("ece_e6"))
+
+
+@query("""with l as (select c_mktsegment as persona_id, c_nationkey as level, avg(c_acctbal) / 1e4 as v from customer group by 1, 2), r as (select *, v > lag(v) over (partition by persona_id order by level) as rise from l), g as (select persona_id, greatest(0, arg_min(v, level) - arg_max(v, level)) as fall, avg(v) as mean, coalesce(bool_or(rise), false) as rose from r group by 1 having count(*) > 1)
+  select persona_id, cast(round(fall * 1e5) as bigint) as drop_e5, cast(round(greatest(0, least(1, mean - 0.5 * greatest(0, fall - 0.5))) * 1e5) as bigint) as score_e5, fall <= 0.5 and not rose as passed from g""")
+def generation_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("persona_id"), F.col("c_nationkey").alias("level")).agg((F.avg("c_acctbal") / 1e4).alias("v"))
+    e5 = lambda c: F.round(F.col(c) * 1e5).cast("bigint").alias(f"{c}_e5")
+    return dimensions.generation_bias(levels, "level", "v").select("persona_id", e5("drop"), e5("score"), "passed")
+
+
+_PAIRS = """u as (select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), n as (select vec_id, sqrt(sum(cast(x as double) * x)) as norm from u group by 1),
+  c as (select a.label, a.vec_id, sum(cast(a.x as double) * b.x) / (max(na.norm) * max(nb.norm) + 1e-10) as s from u a join u b on b.vec_id = a.vec_id + 1 and b.i = a.i join n na on na.vec_id = a.vec_id join n nb on nb.vec_id = b.vec_id group by 1, 2)"""
+
+
+@query(f"with {_PAIRS} select label as persona_id, count(*) as n, cast(round(avg(s) * 1e5) as bigint) as score_e5, cast(round(min(s) * 1e5) as bigint) as least_e5, avg(s) >= 0.5 as passed from c group by 1 having count(*) >= 2")
+def paraphrase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    d = dimensions.pair_similarity(e.join(n, "vec_id").select(F.col("label").alias("persona_id"), "a", "b"))
+    e5 = lambda c: F.round(F.col(c) * 1e5).cast("bigint").alias(f"{c}_e5")
+    return d.select("persona_id", "n", e5("score"), e5("least"), "passed")
+
+
+@query("""with u as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), n as (select vec_id, sqrt(sum(cast(x as double) * x)) as norm from u group by 1),
+  s as (select q.vec_id, r.vec_id as other, sum(cast(q.x as double) * r.x) / (max(nq.norm) * max(nr.norm) + 1e-10) as s from u q join u r on r.i = q.i and q.vec_id % 50 = 0 and r.vec_id % 50 > 0 join n nq on nq.vec_id = q.vec_id join n nr on nr.vec_id = r.vec_id group by 1, 2),
+  b as (select vec_id, max(s) as best, 1.0 + vec_id % 3 as novelty, 0.2 + (vec_id % 4) / 10.0 as t from s group by 1) select cast(round(avg(case when best >= t then 1.0 else 0.0 end) * 1e6) as bigint) as score_e6, cast(round(sum(case when best >= t then novelty else 0 end) / sum(novelty) * 1e6) as bigint) as weighted_e6, avg(case when best >= t then 1.0 else 0.0 end) >= 0.1 as passed from b""")
+def tail_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector as an insight, the others as responses."""
+    e, k = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), F.col("vec_id")
+    insights = e.where(k % 50 == 0).select(k.alias("insight_id"), (1.0 + k % 3).alias("novelty"), (0.2 + k % 4 / 10).alias("threshold"), "v")
+    return dimensions.tail_insights(insights, e.where(k % 50 > 0).select("v")).select(e6(F.col("score")).alias("score_e6"), e6(F.col("weighted")).alias("weighted_e6"), "passed")

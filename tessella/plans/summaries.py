@@ -94,3 +94,35 @@ def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_cluster = _clustered(spark, sf_dir)[0]
     s = summaries.representative_sample(summaries.without_bots(of_cluster), summaries.top_values(of_cluster, "behaviors"))
     return s.select("tenant_id", "cluster", "record_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+_QUALITY = f"""{RECORDS}, {MEMBERS}, b as (select tenant_id, cluster, user_id, event_type as x from rc union select tenant_id, cluster, user_id, tagged from rc), u as (select tenant_id, cluster, user_id, count(*) as k from b group by 1, 2, 3),
+  w as (select tenant_id, cluster, count(distinct x) as n from b group by 1, 2), r as (select tenant_id, user_id, count(*) as n_records from records group by 1, 2), s as (select u.tenant_id, u.cluster, u.user_id, k * 1.0 / n as sim, n_records from u join w on w.tenant_id = u.tenant_id and w.cluster = u.cluster join r on r.tenant_id = u.tenant_id and r.user_id = u.user_id)"""
+
+
+def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    of_cluster, members = _clustered(spark, sf_dir)
+    return segment.user_sets(_records(spark, sf_dir)), members
+
+
+@query(f"""with {_QUALITY}, c as (select tenant_id, cluster, count(*) as size, avg(sim) as compactness from s where cluster > 0 group by 1, 2), t as (select tenant_id, count(distinct user_id) as users from records group by 1)
+  select t.tenant_id, users, count(*) as clusters, cast(users - sum(size) as bigint) as noise, cast(round(avg(compactness) * 1e6) as bigint) as compactness_e6, cast(round(greatest(0, 1 - stddev_pop(size) / avg(size)) * 1e6) as bigint) as balance_e6 from t join c on c.tenant_id = t.tenant_id group by 1, 2""")
+def clustering_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of every third number belong to no cluster."""
+    users, members = _users(spark, sf_dir)
+    d = summaries.clustering_report(users, members.where("cluster > 0"))
+    return d.select("tenant_id", "users", "clusters", "noise", F.round(F.col("compactness") * 1e6).cast("bigint").alias("compactness_e6"), F.round(F.col("balance") * 1e6).cast("bigint").alias("balance_e6"))
+
+
+@query(f"with {_QUALITY}, o as (select *, row_number() over (partition by tenant_id, cluster order by sim, n_records, user_id) as k from s) select tenant_id, cluster, user_id, cast(round(sim * 1e6) as bigint) as similarity_e6 from o where k = 1")
+def outlier_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.outliers(*_users(spark, sf_dir)).select("tenant_id", "cluster", "user_id", F.round(F.col("similarity") * 1e6).cast("bigint").alias("similarity_e6"))
+
+
+@query(f"""with {RECORDS}, h as (select *, seq % 40 = 0 as base, seq % 40 = 0 or seq % 90 = 1 as more from records), b as (select event_type as x, base, more from h union all select tagged, base, more from h), n as (select count(distinct x) as k from b)
+  select 'base' as sampled, cast(round(avg(case when base then 1e6 else 0 end)) as bigint) as records_e6, (select cast(round(count(distinct case when base then x end) * 1e6 / max(k)) as bigint) from b, n) as behaviors_e6 from h
+  union all select 'with more', cast(round(avg(case when more then 1e6 else 0 end)) as bigint), (select cast(round(count(distinct case when more then x end) * 1e6 / max(k)) as bigint) from b, n) from h""")
+def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    d = summaries.sample_coverage(r, r.where("seq % 40 = 0"), r.where("seq % 90 = 1"))
+    return d.select("sampled", F.round(F.col("records") * 1e6).cast("bigint").alias("records_e6"), F.round(F.col("behaviors") * 1e6).cast("bigint").alias("behaviors_e6"))

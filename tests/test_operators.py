@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import sets, stats, text
-from tessella.operators import agreement, claims, dimensions, ingest, overlap, research, scoring, segment
+from tessella.operators import agreement, claims, dimensions, ingest, overlap, research, scoring, segment, summaries
 from tessella.streaming import events as stream
 
 
@@ -389,3 +389,33 @@ def test_full_suite_closes_the_set_behind_a_failure(spark):
     ok = scoring.suite_full([scoring.schema_compliance], of_set, p.where("persona_id = 1"))
     assert {(r["dimension_id"]): r["passed"] for r in ok.collect()} == {"D1": True, "D6": True}
     assert [r["dimension_id"] for r in scoring.suite_full([scoring.schema_compliance], of_set, p, only_tier=2).collect()] == ["D6"]
+
+
+def test_overlap_of_two_runs(spark):
+    a = [("t", 0, "a"), ("t", 0, "b"), ("t", 1, "c"), ("t", 1, "d"), ("t", 1, "e"), ("u", 0, "x")]
+    b = [("t", 5, "c"), ("t", 5, "a"), ("t", 5, "b"), ("t", 6, "d"), ("t", 7, "e"), ("t", 8, "f"), ("u", 1, "y")]
+    members = "tenant_id string, cluster int, user_id string"
+    got = {r["tenant_id"]: r["overlap"] for r in summaries.run_overlap(spark.createDataFrame(a, members), spark.createDataFrame(b, members)).collect()}
+    # the first takes 5 with two users; the second has 5 taken, and one user in each of 6 and 7
+    assert got == {"t": pytest.approx(3 / 6), "u": 0.0}
+
+
+def test_sweep_of_settings(spark):
+    rows = [("t", f"u{i}", list(b), [], i, 1) for i, b in enumerate(["ab", "ab", "abc", "xy", "xy", "q"])]
+    users = spark.createDataFrame(rows, "tenant_id string, user_id string, behaviors array<string>, pages array<string>, seq int, n_records int")
+    got = {(r["threshold"], r["min_size"]): (r["clusters"], r["noise"], r["mean_size"]) for r in summaries.sweep(users, [0.5, 1.0], [1, 2]).collect()}
+    assert got == {(0.5, 1): (3, 0, 2.0), (0.5, 2): (2, 1, 2.5), (1.0, 1): (4, 0, 1.5), (1.0, 2): (2, 2, 2.0)}
+
+
+def test_sample_takes_a_record_for_each_behavior_in_turn(spark):
+    r = [("t", 0, f"r{i}", i, list(b)) for i, b in enumerate(["a", "ab", "b", "c", "a", "d", "a"])]
+    pool = spark.createDataFrame(r, "tenant_id string, cluster int, record_id string, seq int, behaviors array<string>")
+    top = summaries.top_values(pool, "behaviors")
+    ids = lambda k: [x["record_id"] for x in summaries.representative_sample(pool, top, k).orderBy("rank").collect()]
+    assert ids(5) == ["r0", "r1", "r3", "r5", "r2"] and ids(3) == ["r0", "r1", "r3"] and ids(7) == [f"r{i}" for i in range(7)]
+
+
+def test_bots_are_left_out_unless_nothing_is_left(spark):
+    r = [("t", 0, 1, {"m": "Ann has joined the channel"}), ("t", 0, 2, {"m": "hello"}), ("t", 1, 3, {"m": "[BOT] done", "n": "x"}), ("t", 1, 4, {})]
+    d = spark.createDataFrame(r[:3], "tenant_id string, cluster int, seq int, payload map<string,string>")
+    assert sorted(x["seq"] for x in summaries.without_bots(d).collect()) == [2, 3]
