@@ -3,8 +3,12 @@
 The sketch of a text is the set of its word shingles' 64-bit hashes that lie in the lowest
 ``FRACTION`` of the hash range. The threshold is the same for every text, so a sketch grows with
 its text, the sketch of joined shingle sets is the union of sketches, and the share of one sketch
-in another estimates containment however unequal the texts are. A text none of whose hashes lies
-below the threshold keeps its smallest hash, so that only a text without words has an empty sketch.
+in another estimates containment however unequal the texts are.
+
+A text of few shingles may have none below the threshold. A fingerprint therefore holds, beside the
+sketch, all hashes of a text with at most ``FEW`` distinct shingles. These are compared only with
+those of another such text, exactly; beside a longer text the sketches speak, and where the sketch
+of the shorter is empty they can't, so its containment is null.
 """
 
 from __future__ import annotations
@@ -14,19 +18,21 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BREAKS, id_and_text
 
-SHINGLE_WORDS, FRACTION = 5, 1 / 4
-#: Documents that one range of ids holds, about, and ranges at most.
-RANGE_ROWS, RANGES = 64, 16_384
+SHINGLE_WORDS, FRACTION, FEW = 5, 1 / 4, 32
+#: Documents that one range of ids holds, about; quantiles of ids that cut them at most; and parts
+#: that the room between two quantiles is cut into at most.
+RANGE_ROWS, RANGES, PARTS = 64, 16_384, 64
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAKS), lambda w: w != "")
 
 
-def with_sketch(df: DataFrame, text_col: str, sketch_col: str, width: int = SHINGLE_WORDS, fraction: float = FRACTION) -> DataFrame:
-    """``df`` with the sorted sketch (array<bigint>) of a text column. Fewer words than ``width``
-    are one shingle; a null text has a null sketch."""
-    w, h = f"__{sketch_col}_words", f"__{sketch_col}_hashes"
+def with_fingerprint(df: DataFrame, text_col: str, out_col: str, width: int = SHINGLE_WORDS, fraction: float = FRACTION, few: int = FEW) -> DataFrame:
+    """``df`` with the fingerprint of a text column: a struct of sketch (sorted array<bigint>) and
+    whole (all distinct hashes, sorted, or null if there are more than ``few``). Fewer words than
+    ``width`` are one shingle, no words none; a null text has a null fingerprint."""
+    w, h = f"__{out_col}_words", f"__{out_col}_hashes"
     limit = -(1 << 63) + int(fraction * (1 << 64))
     shingle = lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(width)))
     all_hashes = (
@@ -34,77 +40,117 @@ def with_sketch(df: DataFrame, text_col: str, sketch_col: str, width: int = SHIN
         .when(F.size(w) > 0, F.array(F.xxhash64(w)))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(limit))))
-    least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.col(h))
+    sketch = F.array_sort(F.filter(h, lambda x: x < F.lit(limit)))
+    whole = F.when(F.size(h) <= few, F.array_sort(h))
     return (
         df.withColumn(w, words(F.col(text_col)))
-        .withColumn(h, F.when(F.col(text_col).isNotNull(), all_hashes))
-        .withColumn(sketch_col, low)
-        .withColumn(sketch_col, F.when(F.size(sketch_col) > 0, F.col(sketch_col)).otherwise(least))
+        .withColumn(h, F.array_distinct(all_hashes))
+        .withColumn(out_col, F.when(F.col(text_col).isNotNull(), F.struct(sketch.alias("sketch"), whole.alias("whole"))))
         .drop(w, h)
     )
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, few: int = FEW) -> Column:
+    """The fingerprint of two texts' shingles together."""
+    whole = F.array_sort(F.array_union(a["whole"], b["whole"]))
+    return F.struct(F.array_sort(F.array_union(a["sketch"], b["sketch"])).alias("sketch"), F.when(F.size(whole) <= few, whole).alias("whole"))
+
+
+def _by_whole(a: Column, b: Column, of) -> Column:
+    """``of`` two exact sets where both texts have them, else of their sketches."""
+    exact = a["whole"].isNotNull() & b["whole"].isNotNull()
+    return F.when(exact, of(a["whole"], b["whole"])).otherwise(of(a["sketch"], b["sketch"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two sketches; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    """Jaccard likeness of two fingerprints: exact for two texts of few shingles, else estimated from
+    the sketches. Two texts without words are alike; of sketches that are both empty, of a text of
+    few shingles and a longer one, nothing is known to agree, so they are unlike."""
+
+    def of(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        return both / (F.size(x) + F.size(y) - both)  # null for two empty sets
+
+    nothing = F.when((F.size(a["whole"]) == 0) & (F.size(b["whole"]) == 0), 1.0)
+    return F.coalesce(nothing, _by_whole(a, b, of), F.lit(0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has; an empty one is contained."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Share of the first text's shingles that the second has: exact for two texts of few shingles,
+    else estimated; null where the first has no hash below the threshold and the second is a
+    longer text. A text without words is contained in any."""
 
+    def of(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
-def as_string(sketch: Column) -> Column:
-    """16 lowercase hex digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), "")
+    return F.when(F.size(a["whole"]) == 0, 1.0).otherwise(_by_whole(a, b, of))
 
 
-def _range_of(bounds: list[int]) -> Column:
-    """The number of bounds that are at most doc_id, by bisection; -1 for a null doc_id."""
-    held = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)" if bounds else "cast(array() as array<bigint>)"
-    steps = len(bounds).bit_length()
-    return F.expr(
-        f"""if(doc_id is null, -1, aggregate(sequence(1, {max(1, steps)}), named_struct('lo', 0, 'hi', {len(bounds)}),
+def as_string(fingerprint: Column) -> Column:
+    """16 lowercase hex digits for each hash of the sketch; for a text of few shingles a colon and
+    those of all its hashes follow."""
+    digits = lambda x: F.array_join(F.transform(x, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    return F.concat(digits(fingerprint["sketch"]), F.coalesce(F.concat(F.lit(":"), digits(fingerprint["whole"])), F.lit("")))
+
+
+def _range_of(bounds: list[int], nulls: int, parts: int) -> Column:
+    """The number of a row's range; ranges ascend in the order of rows: descending doc_id, nulls last,
+    equal ids by ``__hash``.
+
+    The distinct bounds cut the ids, found by bisection. Of a cut, the ids above its bound come first,
+    in ``parts`` by their distance, then those equal to it, by hash in as many parts as the bound was
+    a quantile; the rows without an id are cut by hash into ``nulls``."""
+    times: dict[int, int] = {}
+    for x in bounds:
+        times[x] = times.get(x, 0) + 1
+    low, n = sorted(times), len(times)
+    array = lambda xs: f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)" if xs else "cast(array() as array<bigint>)"
+    held, often = array(low), array([times[x] for x in low])
+    cut = f"""aggregate(sequence(1, {max(1, n.bit_length())}), named_struct('lo', 0, 'hi', {n}),
         (p, _) -> if(p.lo < p.hi, if({held}[(p.lo + p.hi) div 2] <= doc_id,
             named_struct('lo', cast((p.lo + p.hi) div 2 + 1 as int), 'hi', p.hi),
-            named_struct('lo', p.lo, 'hi', cast((p.lo + p.hi) div 2 as int))), p), p -> p.lo))"""
+            named_struct('lo', p.lo, 'hi', cast((p.lo + p.hi) div 2 as int))), p), p -> p.lo)"""
+    by_hash = lambda k: f"(shiftright(__hash, 33) + 1073741824) * ({k}) div 2147483648"
+    at = f"transform(array({cut}), c -> named_struct('c', c, 'low', get({held}, c - 1), 'high', get({held}, c), 'n', get({often}, c - 1)))[0]"
+    above = f"if(x.high is null or x.low is null, 0, cast(floor((cast(x.high as double) - doc_id) / (cast(x.high as double) - x.low) * {parts}) as bigint))"
+    return F.expr(
+        f"""if(doc_id is null, {(n + 1) << 20} + {by_hash(nulls)}, transform(array({at}), x ->
+        cast({n} - x.c as bigint) * {1 << 20} + if(doc_id = x.low and x.n > 1, {parts + 1} + {by_hash("x.n")}, {above}))[0])"""
     )
 
 
 def with_next(docs: DataFrame, prepare=lambda df: df) -> DataFrame:
     """The rows of ``prepare(docs)``, which adds columns to (doc_id, text), each with the struct
-    ``next`` of the row after it, in descending doc_id (null ids last, equal ids by text); after
-    the last row comes the first.
+    ``next`` of the row after it, in descending doc_id (null ids last, equal ids by the text's hash and
+    the text); after the last row comes the first. doc_id is an integer.
 
-    No task orders all rows: ids are cut into ranges by their quantiles, each range is ordered on
-    its own, and gets the first row of the range after it as a mark behind its last row.
+    No task orders all rows: ids are cut into ranges by their quantiles, and ids that hold many rows
+    (nulls too) further by hash; each range is ordered on its own, and gets the first row of the
+    range after it as a mark behind its last row. Only rows alike in id and text can't be cut apart;
+    they stream through one task. Texts are shuffled once, and what ``prepare`` adds isn't.
     """
-    spark = docs.sparkSession
-    n = docs.count()
+    known = docs.agg(F.count("doc_id").alias("n"), F.sum(F.col("doc_id").isNull().cast("bigint")).alias("nulls")).first()
+    n, nulls = known["n"], known["nulls"] or 0
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 100_000).alias("q")).first()["q"] if shares else []
-    ranged = docs.withColumn("__range", _range_of(sorted(set(bounds or []))))
-    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head")).collect()  # a row a range
-    order = sorted(r["__range"] for r in heads)
-    before = [(i, order[(k + 1) % len(order)]) for k, i in enumerate(order)]  # ranges descend, too
-    marks_of = spark.createDataFrame([(r["__range"], r["__head"], dict(before)[r["__range"]]) for r in heads], "__range int, __head bigint, __before int")
+    parts = max(1, min(PARTS, n // (ranges * 256 * RANGE_ROWS)))
+    ranged = docs.withColumn("__hash", F.xxhash64("text"))
+    ranged = ranged.withColumn("__range", _range_of(bounds or [], max(1, min(RANGES, nulls // RANGE_ROWS)), parts))
+    heads = ranged.groupBy("__range").agg(F.max("doc_id").alias("__head"))
+    in_order, all_of = Window.orderBy("__range"), Window.partitionBy()  # a row a range: RANGES * (PARTS + 2) at most
+    heads = heads.withColumn("__before", F.coalesce(F.lag("__range").over(in_order), F.max("__range").over(all_of)))
     first = (F.col("__range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("__head"))
-    marks = ranged.join(F.broadcast(marks_of.withColumnRenamed("__range", "r")), first)  # RANGES rows at most
-    own = Window.partitionBy("__before").orderBy("text", "__pos")
-    marks = marks.withColumn("__pos", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(own)).where("n = 1")
-    marks = marks.select(F.col("__before").alias("__range"), *docs.columns, F.lit(1).alias("__mark"))
-    at = Window.partitionBy("__range").orderBy("__mark", F.desc_nulls_last("doc_id"), "text")
-    rows = prepare(ranged.select("__range", *docs.columns, F.lit(0).alias("__mark")).unionByName(marks))
-    carried = [c for c in rows.columns if c not in ("__range", "__mark")]
-    return rows.withColumn("next", F.lead(F.struct(*carried)).over(at)).where("__mark = 0").drop("__range", "__mark")
+    marks = ranged.join(F.broadcast(heads.withColumnRenamed("__range", "r")), first)
+    own = Window.partitionBy("__before").orderBy("__hash", "text")
+    marks = marks.withColumn("n", F.row_number().over(own)).where("n = 1")
+    marks = marks.select(F.col("__before").alias("__range"), "__hash", *docs.columns, F.lit(1).alias("__mark"))
+    order = ("__mark", F.desc_nulls_last("doc_id"), "__hash", "text")
+    dealt = ranged.select("__range", "__hash", *docs.columns, F.lit(0).alias("__mark")).unionByName(marks)
+    rows = prepare(dealt.repartition("__range").sortWithinPartitions("__range", *order))
+    carried = [c for c in rows.columns if c not in ("__range", "__mark", "__hash")]
+    at = Window.partitionBy("__range").orderBy(*order)
+    return rows.withColumn("next", F.lead(F.struct(*carried)).over(at)).where("__mark = 0").drop("__range", "__mark", "__hash")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -119,14 +165,19 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near_next, contained_edited, contained_next.
 
     The edited text has its last third replaced by the first code points of the next document.
-    Null and empty texts have the empty fingerprint, and two of these are alike; rows without a
-    doc_id come last in the order, rows with equal ids are ordered by text; an empty table gives an
-    empty result, a single row is its own next; other columns are not looked at.
+    Null and empty texts have the empty fingerprint, and two of these are alike. Ids of other types
+    than integers are ordered by their hash. Rows without a doc_id come last in the order, rows with
+    equal ids are ordered by the text's hash and the text, repeated rows follow each other; an empty
+    table gives an empty result, a single row is its own next; other columns are not looked at.
+    Whole texts are read, of any length.
     """
-    d = with_next(id_and_text(docs, id_col, text_col), lambda x: with_sketch(x, "text", "sketch"))
+    d = id_and_text(docs, id_col, text_col)
+    integral = d.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    d = d.select(F.col("doc_id").alias("__id"), (F.col("doc_id").cast("bigint") if integral else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))).alias("doc_id"), "text")
+    d = with_next(d, lambda x: with_fingerprint(x, "text", "own")).withColumn("doc_id", F.col("__id"))
     d = d.withColumn("edited", edited(F.col("text"), F.col("next.text")))
-    d = with_sketch(d, "edited", "edited_sketch")
-    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next.sketch")
+    d = with_fingerprint(d, "edited", "of_edited")
+    a, b, c = F.col("own"), F.col("of_edited"), F.col("next.own")
     return d.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
