@@ -3,8 +3,9 @@
 Base spans come from three patterns. The method adds novelty spans: in a sensitive context (an
 assignment to a name such as ``auth`` or ``credential``, a bearer header, a connection string) each
 candidate string's marginal cost is measured, which is the zstandard size of context and candidate
-less that of the context alone, with the compressor primed by a dictionary of common code and
-identifiers and with the surrounding text. Prose, identifiers, paths and repeated values compress
+less that of the context alone, with the compressor primed by a dictionary and with the surrounding
+text. The dictionary holds common words of code and the names that the documents themselves assign
+to, call or declare most often. Prose, identifiers, paths and repeated values compress
 well; a random key costs nearly all its bits and is reported. The compressor stores the letters of a
 short string it has no match for as they are, words too, so what has no digit must also stay dear
 under the letter pairs of the same dictionary.
@@ -15,17 +16,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
-from itertools import pairwise
+from functools import cache, lru_cache
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, text_runs
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -62,19 +64,26 @@ CODE_WORDS = (
 )
 
 
-@cache
-def _compressor() -> zstandard.ZstdCompressor:
+#: Names that are assigned to, called or declared, and how many of them the dictionary takes, of
+#: those in two runs of documents at least.
+NAMES = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z_.-]{3,47}(?=[\"']?\x20?[=:(])", re.A)
+LEARNED_NAMES = 2000
+BATCH_CHARS = 1 << 20
+
+
+@lru_cache(maxsize=4)
+def _compressor(names: tuple[str, ...] = ()) -> zstandard.ZstdCompressor:
     words = CODE_WORDS.split()
     joined = [f"{a}{s}{b}" for s in ("_", "-", ".") for a, b in zip(words, words[1:], strict=False)]
-    content = " ".join([*joined, *(w.upper() for w in words), *(w.title() for w in words), *words]).encode()
+    content = " ".join([*names[::-1], *joined, *(w.upper() for w in words), *(w.title() for w in words), *words]).encode()
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False, write_checksum=False)
 
 
-def marginal_bytes(candidate: str, before: str, after: str = "") -> int:
+def marginal_bytes(candidate: str, before: str, after: str = "", names: tuple[str, ...] = ()) -> int:
     """Compressed bytes that the candidate adds to its surroundings."""
     around = (before + "\n" + after + "\n").encode()
-    size = lambda x: len(_compressor().compress(x))
+    size = lambda x: len(_compressor(names).compress(x))
     return size(around + candidate.encode()) - size(around)
 
 
@@ -99,15 +108,19 @@ def pair_bits(candidate: str) -> float:
     return -math.log2(alone(candidate[0])) - sum(math.log2(after(a, c)) for a, c in pairwise(candidate))
 
 
-def is_novel(candidate: str, before: str, after: str = "") -> bool:
+def _like_words(candidate: str) -> bool:
+    """Whether a string without digits is cheaper by the dictionary's letter pairs than random letters."""
+    letters = 26 if candidate in (candidate.lower(), candidate.upper()) else 52
+    return pair_bits(candidate) < math.log2(letters) * len(candidate)
+
+
+def is_novel(candidate: str, before: str, after: str = "", names: tuple[str, ...] = ()) -> bool:
     if len(set(candidate)) < 8:
         return False
     bits = math.log2(10) if candidate.isdigit() else 4 if re.fullmatch(r"[0-9A-Fa-f]+", candidate) else math.log2(62)
-    if not re.search(r"[0-9]", candidate):
-        letters = 26 if candidate in (candidate.lower(), candidate.upper()) else 52
-        if pair_bits(candidate) < math.log2(letters) * len(candidate):
-            return False
-    return 8 * marginal_bytes(candidate, before, after) >= LEAST_SHARE * bits * len(candidate)
+    if not re.search(r"[0-9]", candidate) and _like_words(candidate):
+        return False
+    return 8 * marginal_bytes(candidate, before, after, names) >= LEAST_SHARE * bits * len(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -121,20 +134,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans of the method that overlap none of ``taken``."""
+def novel_spans(text: str, taken: list[tuple[int, int, str]], names: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
+    """Spans of the method that overlap none of ``taken``, which come by start."""
     low, out = text.lower(), []
     if not any(x in low for x in SENSITIVE_NAMES):
         return out
+    starts, ends = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
     for m in SENSITIVE.finditer(text):
         s, e = m.span(1)
-        if any(s < b and a < e for a, b, _ in taken):
+        before = bisect_right(starts, e - 1)  # spans that start before the candidate's end
+        if before and ends[before - 1] > s:
             continue
-        if is_novel(text[s:e], text[max(0, s - CONTEXT_CHARS) : s], text[e : e + CONTEXT_CHARS]):
+        if is_novel(text[s:e], text[max(0, s - CONTEXT_CHARS) : s], text[e : e + CONTEXT_CHARS], names):
             out.append((s, e, "novel"))
     return out
 
 
+def common_names(docs: DataFrame, text_col: str = "text", most: int = LEARNED_NAMES) -> tuple[str, ...]:
+    """The ``most`` names that most runs of documents assign to, call or declare, most frequent first;
+    ties by name. Names that look random (keys of letters) are left out. Runs, not occurrences, are
+    counted, so a name that one text repeats counts little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_runs(batches, BATCH_CHARS):
+            found = {x for t in batch.column("text").to_pylist() for x in NAMES.findall(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if _like_words(x)], pa.string())], ["name"])
+
+    names = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "name string").groupBy("name").count()
+    top = names.where("count > 1").orderBy(F.desc("count"), "name").limit(most)  # the feature: a dictionary of bounded size
+    return tuple(r["name"] for r in top.collect())
+
+
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
@@ -142,32 +172,33 @@ def _joined(spans) -> str:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, digests = [], []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text)
-            both = sorted(base + novel_spans(text, base), key=lambda x: (x[0], KINDS.index(x[2])))
-            spans.append([{"kind": k, "start": s, "end": e} for s, e, k in both])
-            digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(spans, pa.list_(_SPAN)), pa.array(digests, pa.string())],
-            [*batch.schema.names, "spans", "base_sha256"],
-        )
-
-
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] | None = None) -> DataFrame:
     """Per input row: doc_id, spans array<struct<kind,start,end>> in code points (end exclusive),
     base_sha256 (of the base spans alone).
 
+    ``names`` are the dictionary's learned ones, of :func:`common_names` over ``docs`` by default.
     Base spans stay whatever the method finds. Null and empty texts have no spans; rows without a
-    doc_id and repeated rows are scanned like others; an empty table gives an empty result; other
-    columns are not looked at. Whole texts are scanned, of any length.
+    doc_id and repeated rows are scanned like others; spans with one start come in the order of
+    ``KINDS``; an empty table gives an empty result; other columns are not looked at. Whole texts
+    are scanned, of any length.
     """
     d = id_and_text(docs, id_col, text_col)
+    names = common_names(d) if names is None else names
     kind = d.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, text string, spans array<struct<kind:string,start:bigint,end:bigint>>, base_sha256 string"
-    return d.mapInArrow(_scan, out).drop("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_runs(batches, BATCH_CHARS):
+            spans, digests = [], []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text)
+                both = sorted(base + novel_spans(text, base, names), key=lambda x: (x[0], KINDS.index(x[2])))
+                spans.append([{"kind": k, "start": s, "end": e} for s, e, k in both])
+                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(spans, pa.list_(_SPAN)), pa.array(digests, pa.string())], ["doc_id", "spans", "base_sha256"]
+            )
+
+    return d.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>, base_sha256 string")
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,25 +210,27 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts = []
-        for text in batch.column(at).to_pylist():
-            if text:
-                out, done = [], 0
-                base = base_spans(text)
-                for s, e, kind in sorted(base + novel_spans(text, base)):
-                    if s >= done:
-                        out += [text[done:s], f"<{kind}>"]
-                    done = max(done, e)
-                text = "".join([*out, text[done:]])
-            texts.append(text)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
-
-
-def mask_secrets(docs: DataFrame) -> DataFrame:
+def mask_secrets(docs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """The documents with every span of :func:`secret_spans` replaced by its kind in angle
-    brackets; overlapping spans are one, named by the first. All rows and columns stay, and a
-    null text stays null."""
-    return docs.mapInArrow(_masked, docs.schema)
+    brackets; overlapping spans are one, named by the first. All rows and columns stay, columns of
+    any name, repeated rows too; a null text stays null and an empty one empty; an empty table
+    gives an empty result. Whole texts, of any length."""
+    names = common_names(docs) if names is None else names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_runs(batches, BATCH_CHARS):
+            at = batch.schema.get_field_index("text")
+            texts = [_mask(t, names) if t else t for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _mask(text: str, names: tuple[str, ...]) -> str:
+    out, done = [], 0
+    base = base_spans(text)
+    for s, e, kind in sorted(base + novel_spans(text, base, names)):
+        if s >= done:
+            out += [text[done:s], f"<{kind}>"]
+        done = max(done, e)
+    return "".join([*out, text[done:]])
