@@ -15,36 +15,39 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import spans_of_chars, text_or_empty
+from .common import spans_of_chars, text_or_empty, text_runs
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
-#: Documents of a language that its centroids are fitted on, about (a share is drawn by hash).
+#: Distinct texts of a language that its centroids are fitted on at most (drawn by hash).
 FIT_DOCUMENTS = 500
+#: So many times as many rows are drawn first, of which copies are then left out.
+SPARE = 4
 #: A text is rejected below this share of the least cosine in its language's sample.
 REJECT_SHARE = 0.5
 #: Texts of under 64 letters say too little for that and have a fixed least cosine.
 SURE_CLASS, LEAST_COSINE = 6, 0.02
-BATCH_CHARS = 1 << 19
+#: Characters and texts that are counted at once: a text takes ``DIMENSIONS`` numbers, however short.
+BATCH_CHARS, BATCH_ROWS = 1 << 19, 256
 UNKNOWN = "und"
 
 
 @cache
 def _letters() -> np.ndarray:
     """Each code point that is a letter, and a blank for every other."""
-    return np.fromiter((i if chr(i).isalpha() else 32 for i in range(sys.maxunicode + 1)), np.int64)
+    return np.fromiter((i if chr(i).isalpha() else 32 for i in range(sys.maxunicode + 1)), np.uint32)
 
 
 def gram_counts(texts: list[str], dimensions: int = DIMENSIONS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of the texts: counts of hashed n-grams, a row for each text, and their letters."""
     low = [t.lower() for t in texts]
-    for lo, hi in spans_of_chars([len(t) for t in low], BATCH_CHARS):
+    for lo, hi in spans_of_chars([len(t) for t in low], BATCH_CHARS, BATCH_ROWS):
         part = low[lo:hi]
-        cp = _letters()[np.frombuffer("  ".join(["", *part, ""]).encode("utf-32-le"), np.uint32)]
+        cp = _letters()[np.frombuffer("  ".join(["", *part, ""]).encode("utf-32-le"), np.uint32)].astype(np.int64)
         row = np.repeat(np.arange(len(part)), [len(t) + 2 for t in part])
         c = cp[1:]  # from the second of the blanks before the first text
         n = len(row)
@@ -53,9 +56,11 @@ def gram_counts(texts: list[str], dimensions: int = DIMENSIONS) -> Iterator[tupl
         two = (one ^ (b * 0x85EBCA77)) * 0x27D4EB2F >> 9
         three = (two ^ (d * 0xC2B2AE3D)) * 0x165667B1 >> 11
         size = len(part) * dimensions
+        inner = np.ones(n, bool)  # the blank after a text opens no n-gram: it would reach the next text
+        inner[np.cumsum([len(t) + 2 for t in part]) - 1] = False
         letter = a != 32
-        pair = letter | (b != 32)
-        triple = pair | (d != 32)
+        pair = (letter | (b != 32)) & inner
+        triple = (letter | (b != 32) | (d != 32)) & inner
         out = np.zeros(size, np.int64)
         for h, ok in ((one, letter), (two, pair), (three, triple)):
             out += np.bincount((row * dimensions + (h & (dimensions - 1)))[ok], minlength=size)
@@ -102,7 +107,7 @@ class Centroids:
                 near, best = None, np.zeros(len(x))
             else:
                 cos = x @ self.centers.T
-                near, best = np.argmax(cos, axis=1), np.clip(cos.max(axis=1), 0.0, 1.0)
+                near, best = np.argmax(np.round(cos, 6), axis=1), np.clip(cos.max(axis=1), 0.0, 1.0)  # equal but for rounding: the first
             for i, n in enumerate(letters):
                 lang = self.langs[near[i]] if n and near is not None else UNKNOWN
                 langs.append(lang)
@@ -115,14 +120,18 @@ class Centroids:
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Centroids:
     """Learn from the rows where ``learn`` holds and the language is not null.
 
-    Document frequencies are counted over all of them; only the clustering reads a sample, about
-    ``fit_documents`` rows of each language, chosen by a hash of the text."""
+    Document frequencies are counted over all of them; only the clustering reads a sample: of each
+    language the ``fit_documents`` distinct texts with the smallest hashes, so that copies count
+    once and no group is larger. Null languages and null, empty or letterless texts teach nothing;
+    ids aren't looked at, and neither are other columns; without a row to learn from, the model
+    knows no language and calls every text ``und``.
+    """
     d = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
     d = d.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, by = np.zeros(DIMENSIONS, np.int64), {}
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS, BATCH_ROWS):
             for x in batch.column("lang").to_pylist():
                 by[x] = by.get(x, 0) + 1
             for counts, _ in gram_counts(batch.column("text").to_pylist()):
@@ -141,15 +150,20 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     if not by:
         return Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], {})
 
-    share = F.create_map(*(F.lit(x) for k, n in by.items() for x in (k, min(1.0, fit_documents / n))))
-    drawn = d.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # a share by hash first, so that few rows are made distinct and ranked
+    share = F.create_map(*(F.lit(x) for k, n in by.items() for x in (k, min(1.0, SPARE * fit_documents / n))))
+    low = d.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    low = low.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= fit_documents).select("lang", "text")
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS, BATCH_ROWS):
             x = [(v.tobytes(), int(n)) for part, letters in vectors(batch.column("text").to_pylist(), idf) for v, n in zip(part, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v for v, _ in x], pa.binary()), pa.array([n for _, n in x], pa.int64())], ["lang", "v", "letters"])
 
-    def centroids(group: pd.DataFrame) -> pd.DataFrame:
+    def centroids(group):
+        import pandas as pd
+
         x = np.stack([np.frombuffer(v, np.float32) for v in group["v"]])
         ok = group["letters"].to_numpy() > 0
         if not ok.any():
@@ -184,14 +198,12 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
     kept = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS, BATCH_ROWS, "__text"):
             langs, score, rejected = held.value.predict(batch.column("__text").to_pylist())
             for name, x in zip(new, (pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)), strict=True):
                 batch = batch.append_column(name, x)
             yield batch.select([*kept, *new])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
-
     d = docs.select(*kept, text_or_empty(text_col).alias("__text"))
     out = StructType([f for f in docs.schema.fields if f.name in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
     return d.mapInArrow(run, out)
