@@ -1,6 +1,8 @@
 """From documents to packed training windows: five stages, each a table that the next one reads.
 
-run() applies them in order and returns the last one's rows. No stage can be said in SQL (they
+Every stage takes any columns beside those of documents and gives those of documents alone (the last
+one its pieces). Null ids, repeated rows and whole texts of any length are rows like others; an
+empty table gives an empty one. run() applies them in order and returns the last one's rows. No stage can be said in SQL (they
 learn, hash and form components), so ORACLE_SQL is None and the tests compare the pipeline with a
 brute-force version.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import language_id, line_dedup, packing, secret_scan, simhash
-from tessella.llm.common import materialize
+from tessella.llm.common import discard, materialize, scratch_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,14 +25,18 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with confidence; lang becomes the predicted one. Learned
-    from the labels that ``docs`` has. Nulls, empty texts and texts without letters go."""
+    from the labels that ``docs`` has. Nulls, empty texts and texts without letters go; where no
+    row has a label, nothing is known and all go. Repeated rows stay or go together; a text as near
+    to two languages has the first by name."""
     model = language_id.fit(docs, F.lit(True))
     kept = language_id.identify(docs, model).where(~F.col("rejected"))
     return _documents(kept.withColumn("lang", F.col("lang_pred")))
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the first line of each component of like lines only."""
+    """Every document, with the first line of each component of like lines only: the first by id (null
+    first), text and place. Rows that agree in id and text lose the same lines; a document may lose
+    all of them and stays, empty."""
     return _documents(line_dedup.dedup_lines(docs))
 
 
@@ -47,12 +53,14 @@ def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, each secret replaced by the kind it is of."""
+    """Every document, each secret replaced by the kind it is of; the rest of a text stays as it is, and
+    repeated rows stay repeated."""
     return _documents(secret_scan.mask_secrets(docs))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces lie in windows of 1024 tokens."""
+    """Where each document's pieces lie in windows of 1024 tokens. Null and empty texts are an end id
+    alone; rows without an id and repeated rows have pieces of their own."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -69,6 +77,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch_scope() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(*([made] if made is not None else []))
+        made = docs
+    pieces = STAGES[-1][1](spark, docs, sf_dir)  # cut into a table of its own, so that docs can go
+    discard(made)
+    return pieces
