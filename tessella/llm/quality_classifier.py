@@ -3,8 +3,9 @@
 A text is a set of hashed features: its words, beginnings that several of its words share, the
 graded shares of its tokens' shapes (case, symbols, punctuation), and a few more graded shares such
 as repeated words and lines. One weight vector, shared by all grades, gives a score s, and ordered thresholds t_1 < t_2 < ... give
-P(grade >= k) = sigmoid(s - t_k). Expected grade and tail probability follow and select documents.
-The fit reads a bounded sample of rated documents, ``FIT_ROWS``.
+P(grade >= k) = sigmoid(s - t_k), so a grade's likelihood is the difference of two neighbours, and the
+fit maximises it. Expected grade and tail probability follow and select documents. The fit reads a
+bounded sample of rated documents, ``FIT_ROWS``.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import discard, id_and_text, materialize, text_runs
 
 BITS = 18
 FIT_ROWS = 20_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 20, 64, 0.3, 1e-4, 7
+#: Thresholds lie at least so far apart, and documents are featured in runs of so many characters.
+LEAST_GAP, BATCH_CHARS = 0.05, 1 << 20
 #: A feature counts only if this share of the sample's documents has it, and three of them, and if
 #: their mean grade is so many standard errors away from that of all.
 LEAST_SHARE, LEAST_Z = 0.001, 4.0
@@ -116,6 +118,11 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
 
 
+def _scores(weights: np.ndarray, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each row's weights; a row may have none."""
+    return np.diff(np.r_[0.0, np.cumsum(weights[i])][at])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -129,43 +136,42 @@ class Ordinal:
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
         """P(grade >= k) for each row and k = 1, 2, ..."""
         i, at = _flat(rows)
-        s = np.add.reduceat(self.weights[i], at[:-1])
-        return _sigmoid(s[:, None] - self.thresholds)
+        return _sigmoid(_scores(self.weights, i, at)[:, None] - self.thresholds)
 
 
-def _telling(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
-    """Which features are frequent enough and have a mean grade far enough from that of all."""
-    if not rows:
-        return np.zeros(1 << BITS, bool)
-    i, at = _flat(rows)
-    seen = np.bincount(i, minlength=1 << BITS)
-    off = np.bincount(i, np.repeat(grades - grades.mean(), np.diff(at)), 1 << BITS)
-    z = np.abs(off) / np.maximum(grades.std() * np.sqrt(seen), 1e-12)
-    return (seen >= max(3, LEAST_SHARE * len(rows))) & (z >= LEAST_Z)
+def telling(seen: np.ndarray, grades: np.ndarray, n: int, mean: float, deviation: float) -> np.ndarray:
+    """Which features are frequent enough and have a mean grade far enough from that of all: of n
+    documents ``seen`` have each, with that sum of ``grades``."""
+    z = np.abs(grades - mean * seen) / np.maximum(deviation * np.sqrt(seen), 1e-12)
+    return (seen >= max(3, LEAST_SHARE * n)) & (z >= LEAST_Z)
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> Ordinal:
-    """Minimise the sum over thresholds of the logistic loss of "grade is at least k" (the
-    all-threshold form of the cumulative link) by AdaGrad."""
-    usable = _telling(rows, grades).astype(float)
+    """Maximise the cumulative-link likelihood, the sum of log(F(s - t_k) - F(s - t_(k+1))) over rows
+    of grade k, less a small decay of weights, by AdaGrad; thresholds stay in order."""
     w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     t, gt = np.linspace(-1.0, 1.0, max(levels - 1, 1))[: levels - 1], np.full(levels - 1, 1e-6)
-    k = np.arange(1, levels)
     random = np.random.default_rng(SEED)
     for _ in range(EPOCHS if rows else 0):
         order = random.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             i, at = _flat([rows[j] for j in pick])
-            y = grades[pick][:, None] >= k
-            g = (_sigmoid(np.add.reduceat(w[i], at[:-1])[:, None] - t) - y) / len(pick)
+            y, all_rows = grades[pick], np.arange(len(pick))
+            tails = _sigmoid(_scores(w, i, at)[:, None] - t)
+            tails = np.concatenate([np.ones((len(pick), 1)), tails, np.zeros((len(pick), 1))], axis=1)
+            upper, lower = tails[all_rows, y], tails[all_rows, y + 1]
+            chance = np.maximum(upper - lower, 1e-9)
+            g = (upper + lower - 1) / len(pick)  # of -log(chance), by the score
             of, where = np.unique(i, return_inverse=True)
-            step = np.bincount(where, np.repeat(g.sum(axis=1), np.diff(at))) * usable[of] + DECAY * w[of]
+            step = np.bincount(where, np.repeat(g, np.diff(at)), len(of)) + DECAY * w[of]
             gw[of] += step**2
             w[of] -= RATE * step / np.sqrt(gw[of])
-            step = -g.sum(axis=0)
+            step = np.bincount(y, upper * (1 - upper) / chance, levels + 1) - np.bincount(y + 1, lower * (1 - lower) / chance, levels + 1)
+            step = step[1:levels] / len(pick)  # by the thresholds
             gt += step**2
-            t = np.maximum.accumulate(t - RATE * step / np.sqrt(gt))
+            gaps = LEAST_GAP * np.arange(levels - 1)
+            t = np.maximum.accumulate(t - RATE * step / np.sqrt(gt) - gaps) + gaps
     return Ordinal(w, t)
 
 
@@ -173,19 +179,46 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, fit_rows: int = FIT_RO
     """Fit on ratings (id, grade 0 .. levels - 1) of documents.
 
     At most about ``fit_rows`` ratings are used, drawn by a hash of the id. Ratings without id or
-    grade are ignored; of several for one document the least counts."""
+    grade are ignored; of several for one document the least counts; repeated rows of a rated
+    document count each. Which features tell grades apart is counted in Spark, and the driver
+    gets those alone. Without ratings all weights are zero."""
     rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).dropna()
     rated = rated.where(F.col("grade").between(0, levels - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     drawn = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, fit_rows / max(n, 1)))
     d = id_and_text(docs, id_col).join(F.broadcast(drawn), "doc_id")  # fit_rows rows of two numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_runs(batches, BATCH_CHARS):
             x = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("grade"), pa.array(x, pa.binary())], ["doc_id", "grade", "x"])
 
-    found: pd.DataFrame = d.mapInArrow(run, "doc_id string, grade int, x binary").toPandas().sort_values(["doc_id", "x"])
+    table = materialize(d.mapInArrow(featured, "doc_id string, grade int, x binary"), "classifier-features")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for batch in batches:
+            if batch.num_rows:
+                i, at = _flat([np.frombuffer(x, np.int32) for x in batch.column("x").to_pylist()])
+                seen += np.bincount(i, minlength=1 << BITS)
+                total += np.bincount(i, np.repeat(batch.column("grade").to_numpy().astype(float), np.diff(at)), 1 << BITS)
+        has = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(seen[has]), pa.array(total[has])], ["i", "seen", "total"])
+
+    of_all = table.agg(F.count("*").alias("n"), F.mean("grade").alias("mean"), F.stddev_pop("grade").alias("deviation")).first()
+    seen, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    sums = table.mapInArrow(counted, "i bigint, seen double, total double").groupBy("i").agg(F.sum("seen"), F.sum("total"))
+    for i, x, y in sums.collect():  # 2 to the BITS rows at most
+        seen[i], total[i] = x, y
+    usable = telling(seen, total, of_all["n"], of_all["mean"] or 0.0, of_all["deviation"] or 0.0)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [(y := np.frombuffer(x, np.int32))[usable[y]].tobytes() for x in batch.column("x").to_pylist()]
+            yield batch.set_column(2, "x", pa.array(x, pa.binary()))
+
+    found = table.mapInArrow(reduced, "doc_id string, grade int, x binary").toPandas().sort_values(["doc_id", "grade", "x"])
+    discard(table)
     return fit_ordinal([np.frombuffer(x, np.int32) for x in found["x"]], found["grade"].to_numpy(), levels)
 
 
@@ -194,14 +227,14 @@ def classify(docs: DataFrame, model: Ordinal, good: int, least: float = 0.5, id_
     ...), p_good = P(grade >= good), selected (p_good >= least).
 
     Null and empty texts are rated by their length feature like others; rows without a doc_id and
-    repeated rows are rated like others; an empty table gives an empty result; other columns are
-    not looked at. Whole texts are read.
+    repeated rows are rated like others; a text just at ``least`` is selected; an empty table gives
+    an empty result; other columns are not looked at. Whole texts are read.
     """
     d = id_and_text(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 to the BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS):
             texts = batch.column("text").to_pylist()
             tails = held.value.tails([features(t) for t in texts]) if texts else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays(
