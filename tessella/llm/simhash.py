@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import discard, id_and_text, materialize, text_runs
 from .graph import components
 
 SHINGLE_WORDS, SEED, BUDGET = 3, 42, 2
 #: Pairs of trie nodes that are expanded at once.
 FRONTIER = 1 << 17
+BATCH_CHARS = 1 << 20
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -54,7 +55,7 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_runs(batches, BATCH_CHARS):
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -130,8 +131,6 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of whole groups; the rows come sorted, and the last group waits for the next batch."""
-    rest: list[pa.RecordBatch] = []
-
     def links(t: np.ndarray) -> pa.RecordBatch:
         key, tail, fp = t
         group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
@@ -139,15 +138,22 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], ["a", "b"])
 
-    held = np.zeros((3, 0), np.int64)
+    whole: list[np.ndarray] = []  # of complete groups
+    last: list[np.ndarray] = []  # of the group that may go on
     for batch in batches:
-        held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("k", "tail", "fp")])], axis=1)
-        cut = np.searchsorted(held[0], held[0][-1]) if held.shape[1] else 0
-        if cut >= 1 << 16:
-            yield links(held[:, :cut])
-            held = held[:, cut:]
-    if held.shape[1]:
-        yield links(held)
+        if not batch.num_rows:
+            continue
+        t = np.stack([batch.column(c).to_numpy() for c in ("k", "tail", "fp")])
+        cut = int(np.searchsorted(t[0], t[0][-1]))
+        if cut or (last and last[-1][0, -1] != t[0, 0]):
+            whole += [*last, t[:, :cut]]
+            last = []
+        last.append(t[:, cut:])
+        if sum(x.shape[1] for x in whole) >= 1 << 16:
+            yield links(np.concatenate(whole, axis=1))
+            whole = []
+    if whole or last:
+        yield links(np.concatenate([*whole, *last], axis=1))
 
 
 def fingerprint_components(distinct: DataFrame) -> DataFrame:
@@ -175,7 +181,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null text counts as empty, and an empty text has fingerprint 0 and is linked like any other.
     Rows without a doc_id belong to components like others but never name one: component_id is
     null if no row of the component has a doc_id. Repeated rows are repeated in the result, an
-    empty table gives an empty result, and other columns of the input are not looked at.
+    empty table gives an empty result, and other columns of the input are not looked at. Whole
+    texts are read, of any length; components have no ties, as ids that are equal name one alike.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
@@ -184,6 +191,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(linked.select("fp", "root").join(named, "root").select("fp", "component_id"), "simhash-classes")
+    discard(nodes)
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
