@@ -18,18 +18,19 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, spans_of_chars
+from .common import id_and_text, spans_of_chars, text_runs
 
-BATCH_CHARS, CACHE_WORDS = 1 << 22, 500_000
+BATCH_CHARS, CACHE_WORDS = 1 << 20, 150_000
 MARK = "▁"
 
 
 @cache
-def model(path: str) -> sentencepiece.SentencePieceProcessor:
+def model(path: str):
+    import sentencepiece
+
     held = sentencepiece.SentencePieceProcessor(model_file=path)
     if any(MARK in held.id_to_piece(i).lstrip(MARK) for i in range(held.get_piece_size())):
         raise ValueError(f"{path} has pieces across words; pre-tokens can't be counted apart")
@@ -88,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, BATCH_CHARS):
             text = batch.column("text")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(count_tokens(text, path))],
