@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from . import bpe, conversation_repair, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_fingerprints, op3_secret_scan, op4_simhash, op5_byte_bpe,
         op6_quality_rules, op7_line_dedup, op8_language_id, op9_token_counts, op10_packing,
+        op12_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
