@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from . import bpe, conversation_repair, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,15 +71,35 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_fingerprints, op3_secret_scan, op4_simhash, op5_byte_bpe,
         op6_quality_rules, op7_line_dedup, op8_language_id, op9_token_counts, op10_packing,
-        op12_conversation_repair,
+        op12_conversation_repair, op13_warc,
     )
     return {f.__name__: f for f in found}
 
 
-#: None of the ten can be said in SQL that both engines run alike: they hash, tokenise, learn or
-#: form components. Their tests compare them with brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: What both engines can say alike. The others hash, tokenise, learn or form components: their tests
+#: compare them with brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op13_warc": """
+        with p as (
+          select page_id, sha1(coalesce(html, '')) as sha, strlen(coalesce(html, '')) as payload_bytes
+          from pages
+        ), d as (
+          select page_id, payload_bytes, translate(
+            to_base(('0x' || sha[1:10])::ubigint::bigint, 32, 8) || to_base(('0x' || sha[11:20])::ubigint::bigint, 32, 8)
+            || to_base(('0x' || sha[21:30])::ubigint::bigint, 32, 8) || to_base(('0x' || sha[31:40])::ubigint::bigint, 32, 8),
+            '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
+          from p
+        ), m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as top from d)
+        select page_id, payload_bytes, payload_digest,
+          case when page_id = top then 'response' else 'revisit' end as record_type,
+          case when page_id <> top then top end as refers_to
+        from m""",
+}
