@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
+from . import bpe, conversation_repair, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, ranked_search, secret_scan, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
 
@@ -79,14 +83,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_fingerprints, op3_secret_scan, op4_simhash, op5_byte_bpe,
         op6_quality_rules, op7_line_dedup, op8_language_id, op9_token_counts, op10_packing,
-        op12_conversation_repair, op13_warc,
+        op11_ranked_search, op12_conversation_repair, op13_warc,
     )
     return {f.__name__: f for f in found}
 
 
 #: What both engines can say alike. The others hash, tokenise, learn or form components: their tests
 #: compare them with brute-force versions.
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": f"""
+        with d as (select doc_id, {_TERMS} as terms from documents),
+        s as (select count(*) as n_docs, sum(len(terms)) as n_terms from d where len(terms) > 0),
+        q as (select item_id, t, count(*) as times from (select item_id, unnest({_TERMS}) as t from benchmark) group by 1, 2),
+        p as (select doc_id, n, t, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as t from d) group by 1, 2, 3),
+        f as (select t, count(*) as df from p where t in (select t from q) group by 1),
+        w as (select t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from f, s),
+        i as (
+          select doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))::bigint as impact
+          from p join w using (t), s
+        ),
+        r as (select item_id, doc_id, sum(times * impact)::bigint as score from q join i using (t) group by 1, 2)
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+        from r where score > 0
+        qualify rank <= 20""",
     "op13_warc": """
         with p as (
           select page_id, sha1(coalesce(html, '')) as sha, strlen(coalesce(html, '')) as payload_bytes
