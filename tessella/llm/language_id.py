@@ -25,8 +25,6 @@ from .common import spans_of_chars, text_or_empty, text_runs
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Distinct texts of a language that its centroids are fitted on at most (drawn by hash).
 FIT_DOCUMENTS = 500
-#: So many times as many rows are drawn first, of which copies are then left out.
-SPARE = 4
 #: A text is rejected below this share of the least cosine in its language's sample.
 REJECT_SHARE = 0.5
 #: Texts of under 64 letters say too little for that and have a fixed least cosine.
@@ -121,8 +119,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     """Learn from the rows where ``learn`` holds and the language is not null.
 
     Document frequencies are counted over all of them; only the clustering reads a sample: of each
-    language the ``fit_documents`` distinct texts with the smallest hashes, so that copies count
-    once and no group is larger. Null languages and null, empty or letterless texts teach nothing;
+    language the ``fit_documents`` distinct texts with the smallest hashes (all, where there are
+    fewer), however often each comes. Null languages and null, empty or letterless texts teach nothing;
     ids aren't looked at, and neither are other columns; without a row to learn from, the model
     knows no language and calls every text ``und``.
     """
@@ -150,11 +148,11 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     if not by:
         return Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], {})
 
-    # a share by hash first, so that few rows are made distinct and ranked
-    share = F.create_map(*(F.lit(x) for k, n in by.items() for x in (k, min(1.0, SPARE * fit_documents / n))))
-    low = d.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    low = low.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    drawn = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= fit_documents).select("lang", "text")
+    # distinct hashes alone are ranked, in each task first; then the texts of those drawn are fetched
+    hashed = d.withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    low = hashed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_documents)
+    drawn = hashed.join(low.select("lang", "h"), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches, BATCH_CHARS, BATCH_ROWS):
