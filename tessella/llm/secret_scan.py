@@ -4,8 +4,8 @@ Base spans come from three patterns. The method adds novelty spans: in a sensiti
 assignment to a name such as ``auth`` or ``credential``, a bearer header, a connection string) each
 candidate string's marginal cost is measured, which is the zstandard size of context and candidate
 less that of the context alone, with the compressor primed by a dictionary and with the surrounding
-text. The dictionary holds common words of code and the names that the documents themselves assign
-to, call or declare most often. Prose, identifiers, paths and repeated values compress
+text. The dictionary holds common words of code and the identifiers that most of the documents
+themselves hold. Prose, identifiers, paths and repeated values compress
 well; a random key costs nearly all its bits and is reported. The compressor stores the letters of a
 short string it has no match for as they are, words too, so what has no digit must also stay dear
 under the letter pairs of the same dictionary.
@@ -40,8 +40,10 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Names after which, within ``REACH`` characters, a string is a candidate.
 SENSITIVE_NAMES = ("password", "passwd", "secret", "token", "auth", "bearer", "credential", "passphrase", "private", "pwd", "session", "signature", "salt", "key", "conn", "cookie", "license")
+#: A candidate is what is quoted, of 12 characters at least and with any punctuation, or a bare string
+#: of key characters: of 12 after a sign of assignment, of 16 after blanks.
 SENSITIVE = re.compile(
-    rf"""(?:{"|".join(SENSITIVE_NAMES)})[A-Za-z0-9_-]*["']?(?:\x20*(?::|=>?)\x20*|\x20+)["']?(?:(?:Basic|Bearer|Token|ApiKey|Digest)\x20+)?([A-Za-z0-9+/_.=~-]{{16,}})""",
+    rf"""(?:{"|".join(SENSITIVE_NAMES)})[A-Za-z0-9_-]*["']?(?:\x20*(?::|=>?)\x20*(?:"([^"\s]{{12,}})"|'([^'\s]{{12,}})'|["']?(?:(?:Basic|Bearer|Token|ApiKey|Digest)\x20+)?([A-Za-z0-9+/_.=~-]{{12,}}))|\x20+["']?(?:(?:Basic|Bearer|Token|ApiKey|Digest)\x20+)?([A-Za-z0-9+/_.=~-]{{16,}}))""",
     re.I | re.A,
 )
 CONTEXT_CHARS = 256
@@ -64,9 +66,9 @@ CODE_WORDS = (
 )
 
 
-#: Names that are assigned to, called or declared, and how many of them the dictionary takes, of
-#: those in two runs of documents at least.
-NAMES = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z_.-]{3,47}(?=[\"']?\x20?[=:(])", re.A)
+#: Identifiers: names that are assigned to, called or declared, and words with an inner underscore, hump
+#: or dot wherever they stand; and how many of them the dictionary takes, of those in two documents at least.
+NAMES = re.compile(r"(?<![A-Za-z0-9_.-])(?:[A-Za-z][A-Za-z_.-]{3,47}(?=[\"']?\x20?[=:(])|(?=[A-Za-z_.-]{4,48}(?![A-Za-z0-9_.-]))[A-Za-z]+(?:[_.][A-Za-z]+|(?<=[a-z])[A-Z][a-z]+)+)", re.A)
 LEARNED_NAMES = 2000
 BATCH_CHARS = 1 << 20
 
@@ -110,6 +112,15 @@ def pair_bits(candidate: str) -> float:
 
 def _like_words(candidate: str) -> bool:
     """Whether a string without digits is cheaper by the dictionary's letter pairs than random letters."""
+    return _like_short_words(candidate) if len(candidate) <= 48 else _cheap_by_pairs(candidate)
+
+
+@lru_cache(maxsize=1 << 14)
+def _like_short_words(candidate: str) -> bool:
+    return _cheap_by_pairs(candidate)
+
+
+def _cheap_by_pairs(candidate: str) -> bool:
     letters = 26 if candidate in (candidate.lower(), candidate.upper()) else 52
     return pair_bits(candidate) < math.log2(letters) * len(candidate)
 
@@ -118,8 +129,13 @@ def is_novel(candidate: str, before: str, after: str = "", names: tuple[str, ...
     if len(set(candidate)) < 8:
         return False
     bits = math.log2(10) if candidate.isdigit() else 4 if re.fullmatch(r"[0-9A-Fa-f]+", candidate) else math.log2(62)
-    if not re.search(r"[0-9]", candidate) and _like_words(candidate):
-        return False
+    if not re.search(r"[0-9]", candidate):
+        letters = candidate
+        if not re.fullmatch(r"[A-Za-z+/_.=~-]+", candidate):  # other marks part its words
+            letters = re.sub(r"[^A-Za-z]+", "_", candidate).strip("_")
+            letters = letters.lower() if letters.isupper() else letters
+        if len(letters) < 4 or _like_words(letters):
+            return False
     return 8 * marginal_bytes(candidate, before, after, names) >= LEAST_SHARE * bits * len(candidate)
 
 
@@ -141,7 +157,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], names: tuple[str,
         return out
     starts, ends = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
     for m in SENSITIVE.finditer(text):
-        s, e = m.span(1)
+        s, e = m.span(m.lastindex)
         before = bisect_right(starts, e - 1)  # spans that start before the candidate's end
         if before and ends[before - 1] > s:
             continue
@@ -151,17 +167,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], names: tuple[str,
 
 
 def common_names(docs: DataFrame, text_col: str = "text", most: int = LEARNED_NAMES) -> tuple[str, ...]:
-    """The ``most`` names that most runs of documents assign to, call or declare, most frequent first;
-    ties by name. Names that look random (keys of letters) are left out. Runs, not occurrences, are
-    counted, so a name that one text repeats counts little."""
+    """The ``most`` identifiers that most documents hold, most frequent first, ties by name; the same for
+    any partitioning. Names that look random (keys of letters) are left out. Documents are counted, so
+    a name that one text repeats counts once; repeated rows are documents each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches, BATCH_CHARS):
-            found = {x for t in batch.column("text").to_pylist() for x in NAMES.findall(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if _like_words(x)], pa.string())], ["name"])
+            found = Counter(x for t in batch.column("text").to_pylist() for x in set(NAMES.findall(t)))
+            kept = [x for x in found if _like_words(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([found[x] for x in kept], pa.int64())], ["name", "n"])
 
-    names = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "name string").groupBy("name").count()
-    top = names.where("count > 1").orderBy(F.desc("count"), "name").limit(most)  # the feature: a dictionary of bounded size
+    names = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    top = names.where("n > 1").orderBy(F.desc("n"), "name").limit(most)  # the feature: a dictionary of bounded size
     return tuple(r["name"] for r in top.collect())
 
 
