@@ -40,7 +40,8 @@ def _grade(x: float) -> int:
 
 #: What a token may be; a share of each among the tokens is a feature.
 SHAPES = ("upper", "symbol", "bang", "stop", "digit", "bare")
-CACHE_TOKENS = 300_000
+#: A worker's table of tokens begins anew at so many, or at about so many bytes of them.
+CACHE_TOKENS, CACHE_BYTES, ENTRY_BYTES = 300_000, 48 << 20, 120
 #: Word beginnings of so many letters are features if so many words, and this share, have them.
 STEMS, LEAST_STEMS, STEM_SHARE = (5, 6, 7), 2, 0.005
 
@@ -56,8 +57,10 @@ class _Tokens(dict):
     def __init__(self) -> None:
         self.table = np.zeros((CACHE_TOKENS, 2 + len(STEMS)), np.int32)
         self.new: list[tuple[int, ...]] = []
+        self.bytes = 0
 
     def __missing__(self, token: bytes) -> int:
+        self.bytes += len(token) + ENTRY_BYTES
         t = token.decode()
         if t.isalpha():
             w, shapes = t, 0
@@ -76,8 +79,9 @@ class _Tokens(dict):
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
         """The table's rows of these tokens; a text's new tokens always find room."""
-        if len(self) + len(tokens) > len(self.table):
+        if len(self) + len(tokens) > len(self.table) or self.bytes > CACHE_BYTES:
             self.clear()
+            self.bytes = 0
             if len(tokens) > len(self.table):
                 self.table = np.zeros((2 * len(tokens), self.table.shape[1]), np.int32)
         held = len(self)

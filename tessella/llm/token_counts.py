@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, spans_of_chars, text_runs
 
-BATCH_CHARS, CACHE_WORDS = 1 << 20, 150_000
+BATCH_CHARS = 1 << 20
+#: Pre-tokens that a worker keeps counts of; longer ones (of texts without blanks) are counted each time.
+CACHE_WORDS, CACHED_CHARS = 150_000, 32
 MARK = "▁"
 
 
@@ -50,8 +52,9 @@ def pre_token_counts(distinct: list[str], path: str) -> np.ndarray:
         known[""] = 1
     new = [x for x in distinct if x not in known]
     found = dict(zip(new, map(len, model(path).encode(new, num_threads=1)), strict=True)) if new else {}
-    known.update(found)
-    return np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
+    counts = np.fromiter((found[x] if x in found else known[x] for x in distinct), np.int64, len(distinct))
+    known.update((x, n) for x, n in found.items() if len(x) <= CACHED_CHARS)
+    return counts
 
 
 def count_tokens(texts: pa.Array, path: str) -> np.ndarray:

@@ -628,4 +628,4 @@ def test_one_row_of_a_component_goes_on(spark):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
