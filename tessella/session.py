@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -39,3 +40,15 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name in what driver and executors share, ``spark.checkpoint.dir``; where that is
+    unset, a local session gets a folder of this machine, and any other is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tessella-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
