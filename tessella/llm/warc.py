@@ -20,7 +20,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..sources.feed import place, pushed
 from .common import discard, materialize, scratch_dir
 
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 MANIFEST = "_manifest-"
 #: A task begins a new file at this size, so a partition of a later read is bounded.
 FILE_BYTES = 128 << 20
@@ -57,21 +56,13 @@ WRITTEN = ("record_id", "record_type", "target_uri", "payload_digest", "refers_t
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-# Files, by any address that Arrow knows.
-
-
-def _place(path: str) -> tuple[pafs.FileSystem, str]:
-    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), unquote(urlsplit(path).path)
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+# Files
 
 
 def archive_files(path: str) -> list[tuple[str, int]]:
     """Files to read and their sizes: those that manifests list, or where there is none, all archives
     in the folder, or the file itself."""
-    fs, base = _place(path)
+    fs, base = place(path)
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.File:
         return [(base, info.size)]
@@ -307,13 +298,6 @@ class WarcReader(DataSourceReader):
         self.path, self.payload, self.names = path, payload, schema.names
         self.tests: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]):
-        for x in filters:
-            if isinstance(x, (EqualTo, In, StringStartsWith, IsNotNull)) and len(x.attribute) == 1 and x.attribute[0] in FIELDS:
-                self.tests.append(x)
-            else:
-                yield x
-
     def partitions(self) -> list[ArchivePart]:
         return [ArchivePart(self.path, f) for f, _ in archive_files(self.path)]
 
@@ -331,7 +315,7 @@ class WarcReader(DataSourceReader):
         if not isinstance(partition, ArchivePart):
             return  # no files: Spark asks once nevertheless
         schema = arrow_schema(self.names)
-        fs, rows, held = _place(self.path)[0], [], 0
+        fs, rows, held = place(self.path)[0], [], 0
         with fs.open_input_file(partition.file) as f:
             for row in read_records(f, self.wanted, self.payload):
                 row["headers"] = list(row["headers"].items())
@@ -344,6 +328,17 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([{c: r[c] for c in self.names} for r in rows], schema)
 
 
+class PushedWarcReader(WarcReader):
+    """Spark refuses a reader that takes filters while pushing down is off, so it is one of its own."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for x in filters:
+            if isinstance(x, (EqualTo, In, StringStartsWith, IsNotNull)) and len(x.attribute) == 1 and x.attribute[0] in FIELDS:
+                self.tests.append(x)
+            else:
+                yield x
+
+
 def arrow_schema(names: list[str]) -> pa.Schema:
     kinds = {"http_length": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
     return pa.schema([(c, kinds.get(c, pa.string())) for c in names])
@@ -359,7 +354,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.date, self.overwrite, self.file_bytes = path, date, overwrite, file_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> FilesWritten:
-        fs, base = _place(self.path)
+        fs, base = place(self.path)
         fs.create_dir(base, recursive=True)
         names, out, size = [], None, 0
         try:
@@ -381,7 +376,7 @@ class WarcWriter(DataSourceArrowWriter):
         return FilesWritten(names)
 
     def commit(self, messages: list[FilesWritten | None]) -> None:
-        fs, base = _place(self.path)
+        fs, base = place(self.path)
         fs.create_dir(base, recursive=True)
         before = fs.get_file_info(pafs.FileSelector(base)) if self.overwrite else []
         names = sorted(n for m in messages if m for n in m.names)
@@ -394,13 +389,14 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(old.path)
 
     def abort(self, messages: list[FilesWritten | None]) -> None:
-        fs, base = _place(self.path)
+        fs, base = place(self.path)
         for n in (n for m in messages if m for n in m.names):
             fs.delete_file(f"{base}/{n}")
 
 
 class WarcDataSource(DataSource):
-    """Options: ``path``; ``payload`` (false: payloads are neither read nor a column); ``date`` and
+    """Options: ``path``; ``payload`` (false: payloads are neither read nor a column); ``pushdown``, whether a
+    reader takes filters (:func:`read_archives` sets it); ``date`` and
     ``file_bytes`` of what is written."""
 
     @classmethod
@@ -414,21 +410,22 @@ class WarcDataSource(DataSource):
         return SCHEMA if self._payload() else SCHEMA.removesuffix(", payload binary")
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self._payload(), schema)
+        pushing = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PushedWarcReader if pushing else WarcReader)(self.options["path"], self._payload(), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), overwrite, int(self.options.get("file_bytes", FILE_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known, and let Spark hand filters to Python data sources."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set(PUSHDOWN, "true")
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, where: Column | str | None = None) -> DataFrame:
+    """The records of the archives below ``path``; those that ``where`` holds for, which reaches the reader."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    d = spark.read.format("warc").options(payload=str(payload).lower(), pushdown=str(where is not None).lower()).load(path)
+    return d if where is None else pushed(d, where)
 
 
 # Pages as records.
@@ -512,9 +509,9 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes)
-    own = read_archives(spark, path).where(F.col("record_type") == "response")
+    own = read_archives(spark, path, where=F.col("record_type") == "response")
     own = own.withColumns({"http_length": F.octet_length("payload").cast("bigint"), "payload_digest": payload_digest(F.col("payload"))})
-    others = read_archives(spark, path, payload=False).where(F.col("record_type") == "revisit")
+    others = read_archives(spark, path, payload=False, where=F.col("record_type") == "revisit")
     both = own.drop("payload").unionByName(others)
     report = both.select(page_id_of("record_id", kind).alias("page_id"), F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", page_id_of("refers_to", kind).alias("refers_to"), "target_uri")
     held = materialize(report, "warc-report")

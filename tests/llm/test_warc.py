@@ -7,6 +7,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import warc
 
@@ -86,14 +87,16 @@ def test_filters_reach_the_scan(spark, pages, tmp_path):
     path = str(tmp_path / "a")
     warc.write_archives(pages, path)
     d = warc.read_archives(spark, path)
-    revisits = d.where("record_type = 'revisit' and target_uri like 'http://x/%'")
+    revisits = warc.read_archives(spark, path, where="record_type = 'revisit' and target_uri like 'http://x/%'")
     plan = revisits._jdf.queryExecution().executedPlan().toString()
     assert "Filter (" not in plan  # both are the reader's
     want = [r for r in d.collect() if r["record_type"] == "revisit" and (r["target_uri"] or "").startswith("http://x/")]
     assert sorted(r["record_id"] for r in revisits.collect()) == sorted(r["record_id"] for r in want) and want
     one = want[0]
-    assert d.where(d.target_uri.isin(one["target_uri"], "nowhere") & (d.payload_digest == one["payload_digest"])).count() >= 1
-    assert d.where("target_uri is null and http_length > 0").count() == len([u for _, u, t in odd_pages() if u is None and t])
+    both = F.col("target_uri").isin(one["target_uri"], "nowhere") & (F.col("payload_digest") == one["payload_digest"])
+    assert warc.read_archives(spark, path, where=both).count() >= 1
+    assert revisits.where("http_length >= 0").count() == len(want) and d.count() == len(odd_pages())
+    assert warc.read_archives(spark, path, where="target_uri is null and http_length > 0").count() == len([u for _, u, t in odd_pages() if u is None and t])
     assert "payload" not in warc.read_archives(spark, path, payload=False).columns
 
 
