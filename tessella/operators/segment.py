@@ -281,7 +281,7 @@ class _Gower:
         return {**c, "sets": [set(x) for x in c["sets"]]}
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Written once into the checkpoint folder; where none is set, a local session gets one of this
     machine, and any other is refused."""
     sc = df.sparkSession.sparkContext
@@ -299,7 +299,7 @@ def _in_rounds(users: DataFrame) -> DataFrame:
     A sort by ranges deals users out however many a tenant has; ranges are then joined to rounds."""
     n = users.count()
     d = users.repartitionByRange(max(1, math.ceil(4 * n / ROUND_USERS)), "tenant_id", "order", "seq", "user_id")
-    d = _kept(d.withColumn("range", F.spark_partition_id()))
+    d = kept(d.withColumn("range", F.spark_partition_id()))
     w = Window.partitionBy("tenant_id").orderBy("range")  # a row for each range of a tenant
     ranges = d.groupBy("tenant_id", "range").agg(F.count("*").alias("n"))
     ranges = ranges.select(F.col("tenant_id").alias("t"), F.col("range").alias("r"), F.floor((F.sum("n").over(w) - F.col("n")) / ROUND_USERS).cast("int").alias("round"))
@@ -344,13 +344,13 @@ def cluster_users(users: DataFrame, metric: str = "jaccard", threshold: float =
         spread = d.select("tenant_id", F.explode("numeric").alias("k", "v")).groupBy("tenant_id", "k").agg((F.max("v") - F.min("v")).alias("v"))
         spread = spread.groupBy(F.col("tenant_id").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("spread"))
         d = d.join(spread, F.col("tenant_id").eqNullSafe(F.col("t")), "left").drop("t")
-    d = _kept(d)
+    d = kept(d)
     rounds = d.agg(F.max("round")).first()[0]
     state = users.sparkSession.createDataFrame([], schema)
     parts = [state]
     for i in range((rounds or 0) + 1):
         done = d.where(F.col("round") == i).groupBy("tenant_id").cogroup(state.groupBy("tenant_id")).applyInPandas(run, schema)
-        done = _kept(done)
+        done = kept(done)
         state = done.where("state is not null")
         parts.append(done.where("state is null"))
     placed = functools.reduce(DataFrame.unionByName, parts).drop("state")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import feed
+from ..sources import feed, nested, threads
 from ..sources.records import RECORD, event_records, table
 from . import query
 from .ingest import RECORDS
@@ -40,3 +40,74 @@ def connector_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = feed.read_increments(spark, path).select("record_id", "source", "user_id", "timestamp", F.lit(number).alias("pass"))
         feed.record_stream(rows, out, run="passes", checkpoint=state).awaitTermination()
     return feed.read_feed(spark, out, schema).select("record_id", "source", "user_id", "pass")
+
+
+_FROM_TEXT = "trim(regexp_replace(text, '[\\x09-\\x0D\\x20]+', ' ', 'g'))"
+OBSERVED = "2026-04-09T12:00:00Z"
+
+
+def thread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a forum's page: a post a turn, which answers the turn two before it."""
+    c = table(spark, sf_dir, "conversations")
+    k, turn = F.col("conv_id") * 100 + F.col("turn"), F.col("turn")
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    answer = F.when(turn >= 2, F.concat(F.lit(' data-reply-to-id="'), (k - 2).cast("string"), F.lit('"'))).otherwise("")
+    post = F.format_string(
+        '<article class="topic-post" data-post-id="post-%s"%s><header><a class="username">%s</a><time datetime="2026-04-0%sT10:00:00+02:00"></time></header><div class="cooked"><p>%s</p></div></article>',
+        k.cast("string"), answer, F.concat("role", (F.col("conv_id") % 3).cast("string")), (1 + turn % 7).cast("string"), escaped,
+    )
+    page = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", post.alias("post")))).alias("p"))  # of one conversation
+    body = F.array_join(F.transform("p", lambda x: x["post"]), "\n")
+    html = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"/><title>A thread</title></head><body><main>'), body, F.lit("</main></body></html>"))
+    return page.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://forum.example.com/t/"), F.col("conv_id").cast("string")).alias("url"), html.alias("html"))
+
+
+@query(f"""with t as (select conv_id, turn, conv_id * 100 + turn as k, role || cast(conv_id % 3 as varchar) as author, {_FROM_TEXT} as p from conversations),
+  b as (select *, case when length(p) >= 20 then p else trim(author || ' ' || p) end as body from t), kept as (select * from b where length(body) >= 24)
+  select x.conv_id as page_id, row_number() over (partition by x.conv_id order by x.turn) - 1 as position, cast(x.k as varchar) as message_id,
+  'web-user-' || substr(sha256('forum.example.com::' || x.author), 1, 16) as author_id, x.author as author_name, md5(x.body) as body,
+  '2026-04-0' || cast(1 + x.turn % 7 as varchar) || 'T08:00:00Z' as created_at, case when x.turn >= 2 then cast(x.k - 2 as varchar) end as reply_to_message_id,
+  case when y.k is not null then 'web-user-' || substr(sha256('forum.example.com::' || y.author), 1, 16) end as reply_to_user_id
+  from kept x left join kept y on y.conv_id = x.conv_id and y.k = x.k - 2 and x.turn >= 2""")
+def threaded_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts, authors and answers of forum pages."""
+    found = threads.page_posts(thread_pages(spark, sf_dir), F.lit(OBSERVED))
+    return found.select("page_id", "position", "message_id", "author_id", "author_name", F.md5(F.col("body").cast("binary")).alias("body"), "created_at", "reply_to_message_id", "reply_to_user_id")
+
+
+@query()
+def page_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages have of posts, or else of paragraphs."""
+    return threads.page_posts(table(spark, sf_dir, "pages"), F.lit(OBSERVED)).drop("url")
+
+
+# Nested payloads: leaves depth first, members of an object by name.
+
+
+@query("""with c as (select conv_id, turn, role, replace(left(text, 12), chr(92), '') as t from conversations), l as (
+  select conv_id, turn, 0 as p, 'author' as k, role as v from c union all select conv_id, turn, 1, 'body', t from c
+  union all select conv_id, turn, 2, 'deep', 'x' || cast(turn as varchar) from c union all select conv_id, turn, 3, 'deep', '{"no":"object"}' from c
+  union all select conv_id, turn, 4, 'deep', role from c where turn % 2 = 0)
+  select conv_id, turn, cast(row_number() over (partition by conv_id, turn order by p) - 1 as integer) as position, v as value from l""")
+def payload_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.string_values(_payloads(spark, sf_dir), ["conv_id", "turn"], F.col("payload"))
+
+
+@query("""with c as (select conv_id, turn, role, replace(left(text, 12), chr(92), '') as t from conversations), l as (
+  select conv_id, turn, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) as p, unnest(['author', 'n', cast(turn as varchar), 'name', role, 'body', t, 'deep', 'x' || cast(turn as varchar), '{"no":"object"}', case when turn % 2 = 0 then 'k' end]) as v from c
+  union all select conv_id, turn, 11, role from c where turn % 2 = 0 union all select conv_id, turn, 12, 'none' from c)
+  select conv_id, turn, cast(row_number() over (partition by conv_id, turn order by p) - 1 as integer) as position, v as value from l where v is not null""")
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and all values but nulls."""
+    return nested.flat_texts(_payloads(spark, sf_dir), ["conv_id", "turn"], F.col("payload"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.replace(F.substring("text", 1, 12), F.lit("\\"), F.lit("")).alias("t"))
+    one = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("role").alias("k")))).otherwise("null")
+    deep = F.concat(F.lit('[["x'), F.col("turn").cast("string"), F.lit('", ["{\\"no\\":\\"object\\"}"], '), one, F.lit("]]"))
+    author = F.to_json(F.struct(F.col("role").alias("name"), F.col("turn").alias("n")))
+    body = F.get_json_object(F.to_json(F.struct("t")), "$")  # {"t":"..."}
+    quoted = F.expr("substring(b, 6, length(b) - 6)")
+    d = c.withColumn("b", body)
+    return d.select("conv_id", "turn", F.concat(F.lit('{"deep":'), deep, F.lit(',"author":'), author, F.lit(',"body":'), quoted, F.lit(',"none":null}')).alias("payload"))

@@ -34,8 +34,8 @@ def test_query_equals_its_sql(spark, small, duck, name):
     assert rows(got) == rows(want)
 
 
-#: Queries without an SQL twin, which tests/test_plain.py compares with plain versions.
-PLAIN = {"segment_jaccard", "segment_gower", "style_coherent_samples", "suite_behavioral", "grounded_claims", "answer_shift", "html_messages", "bronze_flat_records"}
+#: Queries without an SQL twin, which other tests compare with plain versions.
+PLAIN = {"segment_jaccard", "segment_gower", "style_coherent_samples", "suite_behavioral", "grounded_claims", "answer_shift", "html_messages", "bronze_flat_records", "page_threads"}
 
 
 def test_queries_without_sql_have_a_plain_version():
