@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 TINY = 1e-10
 
 
@@ -47,3 +53,39 @@ def average_rank(value: str, by: list[str], out: str = "rank") -> tuple[str, Col
     w = Window.partitionBy(*by).orderBy(value)
     ties = Window.partitionBy(*by, value)
     return out, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2
+
+
+def _erf(x: pd.Series) -> pd.Series:
+    return x.map(math.erf)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Of a standard normal; Spark has no error function, so it is computed in Arrow batches."""
+    return (1 + F.pandas_udf(_erf, "double")(z / math.sqrt(2))) / 2
+
+
+def ks_two(values: DataFrame, value: str, side: str, sides: tuple, by: list[str] | None = None) -> DataFrame:
+    """``by``, n_a, n_b, ks: the largest distance of the distributions of two sides. Values are counted
+    first, and their running counts come from ranges, so no group is sorted in one task. Nulls don't
+    count; where a side has no values, ks is null."""
+    by = by or []
+    pick = lambda x: F.count_if(F.col(side) == F.lit(x))
+    c = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(pick(sides[0]).alias("a"), pick(sides[1]).alias("b")).where("a > 0 or b > 0")
+    r = ranks.running(c, by, [value], "a", "b")
+    gap = F.abs(F.try_divide(F.col("before_a") + F.col("a"), F.col("total_a")) - F.try_divide(F.col("before_b") + F.col("b"), F.col("total_b")))
+    return r.groupBy(*by).agg(F.max("total_a").alias("n_a"), F.max("total_b").alias("n_b"), F.max(gap).alias("ks"))
+
+
+def ks_normal(values: DataFrame, value: str, reference: DataFrame, by: str) -> DataFrame:
+    """``by``, n, ks, p: the distance of each group's values from the normal distribution that ``reference``
+    (``by``, mean, std) gives, and the chance of such a distance by Kolmogorov's series, which holds for
+    many values. Groups without a reference, or with one of no spread, have no row."""
+    c = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    r = ranks.running(c, [by], [value], "n").join(reference.where("std > 0"), by)
+    r = r.withColumn("cdf", normal_cdf((F.col(value) - F.col("mean")) / F.col("std")))
+    above = (F.col("before_n") + F.col("n")) / F.col("total_n") - F.col("cdf")
+    below = F.col("cdf") - F.col("before_n") / F.col("total_n")
+    d = r.groupBy(by).agg(F.max("total_n").alias("n"), F.max(F.greatest(above, below)).alias("ks"))
+    t = F.col("n") * F.col("ks") * F.col("ks")
+    series = reduce(lambda a, k: a + (2 if k % 2 else -2) * F.exp(-2.0 * k * k * t), range(1, 101), F.lit(0.0))
+    return d.withColumn("p", F.when(t < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))))

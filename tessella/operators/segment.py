@@ -5,13 +5,13 @@ from __future__ import annotations
 import functools
 import json
 import math
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sets, vectors
+from ..session import kept
 
 #: (source, payload key, feature name, kind) of the default registry.
 REGISTRY = (
@@ -281,18 +281,6 @@ class _Gower:
         return {**c, "sets": [set(x) for x in c["sets"]]}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written once into the checkpoint folder; where none is set, a local session gets one of this
-    machine, and any other is refused."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
-
-
 def _in_rounds(users: DataFrame) -> DataFrame:
     """``users`` with their round: a tenant's users in order, cut into runs of about ``ROUND_USERS``.
 

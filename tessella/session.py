@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -42,13 +42,34 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder's name in what driver and executors share, ``spark.checkpoint.dir``; where that is
-    unset, a local session gets a folder of this machine, and any other is refused."""
+def _shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; where that is unset, a local session gets a
+    folder of this machine, and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessella-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared one."""
+    return f"{_shared(spark).rstrip('/')}/tessella-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written once into the shared folder, lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(_shared(df.sparkSession))
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`kept`, but as a Parquet table. For loops: what a checkpointed frame remembers of its columns
+    (constraints) grows with every round, a table remembers nothing."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

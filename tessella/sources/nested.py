@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.segment import kept
+from ..session import kept
 
 #: Spark's own bound on the rows of a recursive query; a payload table has as many as it has.
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
