@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from ..sources import feed, nested, threads
 from ..sources.records import RECORD, event_records, table
+from ..streaming import monitor
 from . import query
 from .ingest import RECORDS
 
@@ -111,3 +112,48 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.expr("substring(b, 6, length(b) - 6)")
     d = c.withColumn("b", body)
     return d.select("conv_id", "turn", F.concat(F.lit('{"deep":'), deep, F.lit(',"author":'), author, F.lit(',"body":'), quoted, F.lit(',"none":null}')).alias("payload"))
+
+
+# Drift of scores: the events' values by type, as a stream and as a table.
+
+_DRIFT = """h as (select event_id, event_type, user_id, value, count(*) over w as n, avg(value) over w as m, stddev_pop(value) over w as s from events window w as (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding)),
+  z as (select *, case when n >= 3 then (value - m) / greatest(s, 0.01) end as z from h)"""
+_CHECKED_SQL = f"with {_DRIFT} select event_type as dimension_id, event_id as score_id, n as history, case when n < 3 then 'insufficient_data' when z < -1 then 'drift_detected' else 'stable' end as status, cast(round(z * 1e4) as bigint) as z_e4 from z"
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    # ids of one length, so that they order as the numbers do
+    return e.select(F.col("event_type").alias("dimension_id"), F.col("user_id").cast("string").alias("persona_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("score_id"), F.col("ts").alias("at"), F.col("value").alias("score"))
+
+
+def _checked(d: DataFrame) -> DataFrame:
+    return d.select("dimension_id", F.col("score_id").cast("bigint").alias("score_id"), "history", "status", F.round(F.col("z_score") * 1e4).cast("bigint").alias("z_e4"))
+
+
+@query(_CHECKED_SQL)
+def drift_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(monitor.check_drift(_scores(spark, sf_dir)))
+
+
+@query(_CHECKED_SQL)
+def drift_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over a feed that grows in two parts."""
+    path, out, state = (shared_folder(spark, x) for x in ("scores", "checked", "history"))
+    own = _scores(spark, sf_dir).withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    keys = {"channel": "dimension_id", "at": "at", "key": "score_id"}
+    schema = "dimension_id string, persona_id string, score_id string, at string, score double"
+    for number, part in enumerate((F.col("at") < SINCE, F.col("at") >= SINCE)):
+        feed.write_feed(own.where(part), path, run="scores", batch=str(number), **keys)
+        rows = feed.read_increments(spark, path, schema, **keys).withColumn("at", F.to_timestamp("at"))
+        found = monitor.monitor(rows).withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        with monitor.rocksdb(spark):
+            started = feed.record_stream(found, out, run="checked", checkpoint=state, **keys)
+        started.awaitTermination()
+    return _checked(feed.read_feed(spark, out, monitor.CHECKED.replace("at timestamp", "at string"), **keys))
+
+
+@query(f"with {_DRIFT} select cast(user_id as varchar) as persona_id, 'persona' as suite, event_type as dimension_id, event_id as score_id, cast(round(round(abs(z), 2) * 100) as bigint) as dropped_e2 from z where n >= 3 and z < -1")
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = monitor.alerts(monitor.check_drift(_scores(spark, sf_dir)))
+    return d.select("persona_id", "suite", "dimension_id", F.col("score_id").cast("bigint").alias("score_id"), F.round(F.col("dropped") * 100).cast("bigint").alias("dropped_e2"))
