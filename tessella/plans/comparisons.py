@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import ablation, agreement_sets, evidence, tournament
+from ..operators import ablation, agreement_sets, evidence, layout, research, tournament
 from ..sources.records import table
 from . import query
 from .research import e6
@@ -145,3 +145,27 @@ def spine_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def removal_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.removal_ranking(ablation.spine(field_personas(spark, sf_dir)))
+
+
+# Vectors of texts: cosine pairs and a layout.
+
+NEAR = 0.15
+
+
+def _item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    t = b.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("token"))
+    n = t.select("item_id").distinct().count()
+    return layout.unit(research.tfidf(t, "item_id", "token", n), "item_id", "token")
+
+
+@query(f"""with t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as token from benchmark), c as (select item_id, token, count(*) as c from t group by 1, 2), n as (select count(distinct item_id) as n from t), d as (select token, count(*) as df from c group by 1), s as (select item_id, count(*) as total from t group by 1),
+  w as (select c.item_id, c.token, c * 1.0 / total * (ln((n + 1.0) / (df + 1)) + 1) as w from c join d using (token) join s using (item_id), n), l as (select item_id, sqrt(sum(w * w)) as l from w group by 1), u as (select item_id, token, w / l as w from w join l using (item_id)),
+  p as (select x.item_id as a, y.item_id as b, sum(x.w * y.w) as cosine from u x join u y on x.token = y.token and x.item_id < y.item_id group by 1, 2) select a, b, cast(round(cosine * 1e6) as bigint) as cosine_e6 from p where cosine >= {NEAR}""")
+def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.cosine_pairs(_item_vectors(spark, sf_dir), "item_id", "token", NEAR).select("a", "b", e6(F.col("cosine")).alias("cosine_e6"))
+
+
+@query()
+def tfidf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(_item_vectors(spark, sf_dir), "item_id", "token")
