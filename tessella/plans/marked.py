@@ -147,3 +147,25 @@ def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _rows(spark, sf_dir)
     fields = F.explode(F.create_map(*(F.lit(x) for x in ("mood", "Happy", "place", "community", "blank", " ")))).alias("field", "value")
     return _scored(dimensions.profile_coverage(d.select("persona_id").distinct().select("persona_id", fields), d))
+
+
+TONES = ("Blunt", "formal", "warm", "measured", "concise")
+
+
+@query(f"""with {SAID}, d as (select conv_id % 5 as k, role, cast(sum({_count("|".join(h for h in scoring.HEDGES))}) as bigint) as hedges, cast(sum(len(regexp_extract_all(text, '\\S+'))) as bigint) as words from said group by 1, 2),
+  l as (select *, hedges * 100.0 / words as rate, case k when 0 then 1.0 when 1 then 4.0 when 2 then 2.5 when 3 then 4.0 else 1.0 end as cap from d)
+  select k, role, cast(cap * 10 as bigint) as limit_e1, cast(round(greatest(0, 1 - greatest(0, rate - cap) / (cap + 1)) * 1e4) as bigint) as score_e4, rate <= cap as passed, false as skipped from l""")
+def hedge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D46 by role and tone."""
+    d = said(spark, sf_dir).withColumn("k", F.col("conv_id") % 5)
+    tone = F.element_at(F.array(*map(F.lit, TONES)), (F.col("k") + 1).cast("int"))
+    h = dimensions.hedge_inflation(scoring.hedge_rate(d, ["k", "role"], "text"), tone, ["k", "role"])
+    return h.select("k", "role", (F.col("limit") * 10).cast("bigint").alias("limit_e1"), F.round(F.col("score") * 1e4).cast("bigint").alias("score_e4"), "passed", "skipped")
+
+
+@query(f"""with {SAID} select conv_id as persona_id, count(*) as bad, count(case when not regexp_matches(text, '(?i)\\b({dimensions.CRITICISM.replace("'", "''")})\\w*\\b') then 1 end) as praised,
+  cast(round(count(case when not regexp_matches(text, '(?i)\\b({dimensions.CRITICISM.replace("'", "''")})\\w*\\b') then 1 end) * 1.0 / count(*) * 1e6) as bigint) as rate_e6 from said where turn % 2 = 0 group by 1""")
+def false_praise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D20's half on stimuli known to be bad."""
+    d = dimensions.false_praise(_rows(spark, sf_dir).withColumn("is_bad", F.col("turn") % 2 == 0))
+    return d.select("persona_id", "bad", "praised", e6(F.col("rate")).alias("rate_e6"))

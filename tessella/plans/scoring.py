@@ -197,6 +197,21 @@ def coherence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("label", "window", "n", F.round(F.col("coherence") * 1e5).cast("bigint").alias("coherence_e5"))
 
 
+@query(f"""with {UNNEST}, r as (select vec_id, label, row_number() over (partition by label order by vec_id) - 1 as at, count(*) over (partition by label) as total from embeddings),
+  w as (select label, unnest(generate_series(0, cast(floor((max(total) - 10) / 5.0) as bigint))) as win from r group by label having max(total) >= 10), m as (select w.label, w.win, r.vec_id from w join r on r.label = w.label and r.at between w.win * 5 and w.win * 5 + 9),
+  x as (select m.label, m.win, m.vec_id, i, cast(x as double) as x, norm from m join u on u.vec_id = m.vec_id join n on n.vec_id = m.vec_id), c as (select label, win, i, avg(x) as c from x group by 1, 2, 3), l as (select label, win, sqrt(sum(c * c)) + 1e-10 as cn from c group by 1, 2),
+  s as (select x.label, x.win, x.vec_id, sum(x.x / x.norm * c.c) as s from x join c on c.label = x.label and c.win = x.win and c.i = x.i group by 1, 2, 3),
+  y as (select s.label, s.win, round(avg(s / cn), 4) as c from s join l on l.label = s.label and l.win = s.win group by 1, 2), k as (select label, count(*) as k from y group by 1), t as (select label, count(*) as n from embeddings group by 1),
+  d as (select y.label, max(k) as k, avg(c) as mean, avg(case when win < floor(k / 2.0) then c end) - avg(case when win >= floor(k / 2.0) then c end) as decay, min(case when c < 0.7 then win * 5 end) as critical from y join k on k.label = y.label group by 1)
+  select t.label as persona_id, case when n < 20 or coalesce(k, 0) < 2 then null else cast(round(decay * 1e4) as bigint) end as decay_e4, case when n < 20 or coalesce(k, 0) < 2 then null else cast(critical as bigint) end as critical_turn,
+  case when n < 20 or coalesce(k, 0) < 2 then 10000 else cast(round(least(1, mean) * 1e4) as bigint) end as score_e4, case when n < 20 or coalesce(k, 0) < 2 then true else decay < 0.1 and mean >= 0.6 end as passed, n < 20 or coalesce(k, 0) < 2 as skipped from t left join d on d.label = t.label""")
+def coherence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D34 of embeddings by label."""
+    e = table(spark, sf_dir, "embeddings").withColumn("persona_id", F.col("label"))
+    d = dimensions.coherence_decay(scoring.sliding_coherence(e, "vec_id", "embedding", ["persona_id"]), e.groupBy("persona_id").agg(F.count("*").alias("n")))
+    return d.select("persona_id", F.round(F.col("decay") * 1e4).cast("bigint").alias("decay_e4"), F.col("critical_turn").cast("bigint").alias("critical_turn"), F.round(F.col("score") * 1e4).cast("bigint").alias("score_e4"), "passed", "skipped")
+
+
 @query(f"""with {UNNEST}, v as (select u.vec_id, label, i, cast(x as double) / norm as x from u join n on u.vec_id = n.vec_id),
   p as (select q.vec_id as query_id, c.vec_id as match_id, sum(q.x * c.x) as s from v q join v c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2),
   r as (select *, row_number() over (partition by query_id order by round(s, 7) desc, match_id) as rank from p) select query_id, match_id, rank from r where rank <= 5""")
