@@ -154,12 +154,23 @@ def top_items(df: DataFrame, by: list[str], item: str, k: int, seq: str = "seq")
 
 
 def style_coherent(df: DataFrame, by: list[str], key: str, signature: str, k: int) -> DataFrame:
-    """Of each group the k rows whose mean distance in style to the others is least; ties by key."""
-    a, b = df.select(*by, F.col(key).alias("a"), F.col(signature).alias("x")), df.select(*by, F.col(key).alias("b"), F.col(signature).alias("y"))
-    mean = a.join(b, by).where("a <> b").groupBy(*by, "a").agg(F.avg(vectors.distance(F.col("x"), F.col("y"))).alias("d"))
-    mean = a.select(*by, "a").join(mean, [*by, "a"], "left").fillna(0.0, ["d"])
+    """Of each group the k rows whose mean distance in style to the others is least; ties by key.
+
+    A row's mean distance to all is at least its distance to the group's mean signature, and at most that
+    and the mean of all these distances. So rows farther from the mean than the k-th nearest and that
+    reach can't be among the k, and only the others are compared with the whole group."""
+    mean = vectors.centroids(df.select(*by, F.col(signature).alias("x")), by, "x")
+    d = df.select(*by, F.col(key).alias("a"), F.col(signature).alias("x")).join(mean, by)
+    d = d.select(*by, "a", "x", vectors.distance(F.col("x"), F.col("centroid")).alias("off"))
+    kth = d.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("off"))).where(F.col("n") <= k).groupBy(*by).agg(F.max("off").alias("kth"))
+    size = d.groupBy(*by).agg(F.avg("off").alias("reach"), F.count("*").alias("size")).join(kth, by)
+    # the mean leaves the row itself out, which makes it larger by size / (size - 1)
+    near = d.join(size, by).where(F.col("off") <= (F.col("kth") + F.col("reach")) * F.greatest(F.lit(1.0), F.try_divide(F.col("size"), F.col("size") - 1)) + 1e-9).select(*by, "a", "x")
+    b = df.select(*by, F.col(key).alias("b"), F.col(signature).alias("y"))
+    means = near.join(b, by).where("a <> b").groupBy(*by, "a").agg(F.avg(vectors.distance(F.col("x"), F.col("y"))).alias("d"))
+    means = near.select(*by, "a").join(means, [*by, "a"], "left").fillna(0.0, ["d"])
     w = Window.partitionBy(*by).orderBy(F.round("d", 9), "a")
-    return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("a", key)
+    return means.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("a", key)
 
 
 #: Users of a tenant that one task of cluster_users() takes, about.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import written
 from . import segment
 
 CLUSTER = ("tenant_id", "cluster")
@@ -139,6 +140,32 @@ def verbatim_candidates(of_cluster: DataFrame, least: int = 20, most: int = 2000
     return d.groupBy(*CLUSTER, "t").agg(F.min(F.struct("seq", "at")).alias("first")).select(*CLUSTER, "first.seq", "first.at", "t")
 
 
+def verbatim_samples(of_cluster: DataFrame, k: int = VERBATIM) -> DataFrame:
+    """(cluster, position, t): the k candidate texts of each cluster that are nearest to the others in
+    style, in the order in which they were first seen; all of them where there are no more."""
+    c = verbatim_candidates(of_cluster).withColumn("place", F.struct("seq", "at"))
+    c = c.withColumn("signature", text.style_signature(F.col("t")))
+    chosen = segment.style_coherent(c, list(CLUSTER), "place", "signature", k)
+    order = Window.partitionBy(*CLUSTER).orderBy("place")  # of the k
+    return c.join(chosen.select(*CLUSTER, "place"), [*CLUSTER, "place"]).select(*CLUSTER, (F.row_number().over(order) - 1).alias("position"), "t")
+
+
+def segment_summaries(records: DataFrame, users: DataFrame, metric: str = "jaccard", threshold: float = 0.3, min_size: int = 2) -> DataFrame:
+    """From records to summarised clusters: (cluster, cluster_id, members, ...of :func:`summary`, sample, verbatim),
+    a row for each cluster of ``users`` (as :func:`segment.cluster_users` takes them)."""
+    members = written(segment.cluster_users(users, metric, threshold, min_size))
+    of_cluster = written(cluster_records(records, members))
+    named = members.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list("user_id")).alias("members"))  # the result itself
+    pool = without_bots(of_cluster)
+    listed = lambda d, at, x, name: d.groupBy(*CLUSTER).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda r: r[x]).alias(name))
+    sample = listed(representative_sample(pool, top_values(pool, "behaviors")), "rank", "record_id", "sample")
+    said = listed(verbatim_samples(of_cluster), "position", "t", "verbatim")
+    out = named.withColumn("cluster_id", segment.cluster_id(F.col("members"))).join(summary(of_cluster, members), list(CLUSTER))
+    out = out.join(sample, list(CLUSTER), "left").join(said, list(CLUSTER), "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("sample", "verbatim")})
+
+
 # How good a clustering is.
 
 

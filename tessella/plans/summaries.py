@@ -126,3 +126,17 @@ def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir)
     d = summaries.sample_coverage(r, r.where("seq % 40 = 0"), r.where("seq % 90 = 1"))
     return d.select("sampled", F.round(F.col("records") * 1e6).cast("bigint").alias("records_e6"), F.round(F.col("behaviors") * 1e6).cast("bigint").alias("behaviors_e6"))
+
+
+@query()
+def verbatim_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.verbatim_samples(_clustered(spark, sf_dir)[0])
+
+
+@query()
+def segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users clustered by what they do, and what their clusters are like, as one result."""
+    r = _records(spark, sf_dir)
+    users = segment.user_sets(r).withColumn("seq", F.col("user_id").cast("long"))
+    d = summaries.segment_summaries(r, users, "jaccard", 0.6)
+    return d.withColumn("sources", F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ","))

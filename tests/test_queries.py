@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, small, duck, name):
 
 
 #: Queries without an SQL twin, which other tests compare with plain versions.
-PLAIN = {"segment_jaccard", "segment_gower", "style_coherent_samples", "suite_behavioral", "grounded_claims", "answer_shift", "html_messages", "bronze_flat_records", "page_threads", "tournament_strengths", "tfidf_layout", "ks_against_normal", "spine_ablation", "removal_ranking"}
+PLAIN = {"segment_jaccard", "segment_gower", "style_coherent_samples", "suite_behavioral", "grounded_claims", "answer_shift", "html_messages", "bronze_flat_records", "page_threads", "tournament_strengths", "tfidf_layout", "verbatim_samples", "segment_summaries", "ks_against_normal", "spine_ablation", "removal_ranking"}
 
 
 def test_queries_without_sql_have_a_plain_version():
