@@ -23,12 +23,18 @@ def pearson0(x: Column, y: Column) -> Column:
     return F.when((n < 2) | (spread < TINY), 0.0).otherwise(F.try_divide(n * F.covar_pop(a, b), spread))
 
 
+def shares(counts: DataFrame, by: list[str], n: str, name: str) -> DataFrame:
+    """``counts`` with the share of ``n`` in its group's total as ``name``; a group isn't gathered for that, only its
+    total is joined back."""
+    total = counts.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.sum(n).alias("__total"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True)  # without groups, one row
+    return counts.join(total, same).withColumn(name, F.col(n) / F.col("__total")).drop("__total", *(f"__{c}" for c in by))
+
+
 def entropy(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
     """For each group of ``by``, over its counted values: k, mode share, entropy in bits over that
     of k equal values (0 for one value), and 1 - mode share."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    p = F.col(n) / F.sum(n).over(w)
-    d = counts.withColumn("p", p).groupBy(*by).agg(
+    d = shares(counts, by, n, "p").groupBy(*by).agg(
         F.count("*").alias("k"), F.max("p").alias("mode_share"), (-F.sum(F.col("p") * F.log2("p"))).alias("h")
     )
     evenness = F.when(F.col("k") < 2, 0.0).otherwise(F.col("h") / F.log2(F.greatest(F.col("k"), F.lit(2))))
@@ -39,7 +45,7 @@ def jsd(left: DataFrame, right: DataFrame, key: str, by: list[str] | None = None
     """Jensen-Shannon divergence in bits of two tables of counts (``by``, key, n); a side without
     any counts gives 1, two such 0."""
     by = by or []
-    share = lambda d, name: d.select(*by, key, (F.col(n) / F.sum(n).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))).alias(name))
+    share = lambda d, name: shares(d, by, n, name).select(*by, key, name)
     both = share(left, "p").join(share(right, "q"), [*by, key], "full_outer").fillna(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
     term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)

@@ -265,7 +265,7 @@ def sliding_coherence(df: DataFrame, order: str, vector: str, by: list[str], siz
 
 def psi(base: DataFrame, current: DataFrame, key: str, floor: float = 1e-6) -> DataFrame:
     """Population stability index of two tables of counts (key, n)."""
-    share = lambda d, name: d.select(key, (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias(name))
+    share = lambda d, name: stats.shares(d, [], "n", name).select(key, name)
     d = share(base, "b").join(share(current, "c"), key, "full_outer")
     b, c = (F.greatest(F.coalesce(F.col(x), F.lit(0.0)), F.lit(floor)) for x in "bc")
     return d.agg(F.sum((c - b) * F.log(c / b)).alias("psi"))
