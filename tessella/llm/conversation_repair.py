@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: A conversation of more rows or characters than these is cut into pieces.
 LONG_ROWS, LONG_CHARS = 1000, 1 << 22
@@ -352,6 +352,7 @@ def repair_conversations(rows: DataFrame, long_rows: int = LONG_ROWS, long_chars
     few = few.repartition("k").sortWithinPartitions(*order)
     short = _in_arrow(_repair_short, few.select(*keyed.columns), f"conv_id {kind}, {REPORT}, {TURNS}")
     if not any_long:
+        discard(long)
         return Repairs(short)
 
     # copies are counted before rows of a long conversation move

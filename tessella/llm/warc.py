@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..sources.feed import place, pushed
-from .common import discard, materialize, scratch_dir
+from .common import discard, materialize, scratch_dir, scratch_scope
 
 MANIFEST = "_manifest-"
 #: A task begins a new file at this size, so a partition of a later read is bounded.
@@ -508,7 +508,8 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, min_bytes)
+    with scratch_scope():
+        write_archives(pages, path, min_bytes)
     own = read_archives(spark, path, where=F.col("record_type") == "response")
     own = own.withColumns({"http_length": F.octet_length("payload").cast("bigint"), "payload_digest": payload_digest(F.col("payload"))})
     others = read_archives(spark, path, payload=False, where=F.col("record_type") == "revisit")
