@@ -152,7 +152,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     hashed = d.withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h")
     low = hashed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_documents)
-    drawn = hashed.join(low.select("lang", "h"), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    low = docs.sparkSession.createDataFrame(low.select("lang", "h").collect(), "lang string, h bigint")  # so many for each language at most
+    drawn = hashed.join(F.broadcast(low), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches, BATCH_CHARS, BATCH_ROWS):
