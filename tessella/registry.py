@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import QUERIES, SQL, Query, claims, comparisons, dimensions, distributions, feeds, ingest, marked, research, scoring, segmentation, streams, summaries  # noqa: F401
+from .plans import QUERIES, SQL, Query, claims, comparisons, dimensions, distributions, feeds, ingest, marked, research, scoring, segmentation, streams, summaries, variability  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
