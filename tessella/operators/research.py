@@ -52,7 +52,8 @@ def recency(df: DataFrame, by: list[str], at: str, now: Column, scale_days: floa
     w = Window.partitionBy(*by)
     n = F.count("*").over(w)
     place = F.row_number().over(w.orderBy(F.desc(at), *order))
-    band = F.when(place <= F.ceil(n * 0.3), "high").when(place > F.floor(n * 0.7), "low").otherwise("medium")
+    # in whole numbers: 70 * 0.7 is below 49 in doubles
+    band = F.when(10 * (place - 1) < 3 * n, "high").when(10 * place > 7 * n, "low").otherwise("medium")
     return df.withColumn("weight", F.exp(-age / scale_days)).withColumn("band", band)
 
 
