@@ -216,13 +216,11 @@ def coherence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
   p as (select q.vec_id as query_id, c.vec_id as match_id, sum(q.x * c.x) as s from v q join v c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2),
   r as (select *, row_number() over (partition by query_id order by round(s, 7) desc, match_id) as rank from p) select query_id, match_id, rank from r where rank <= 5""")
 def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each stated query. Each task keeps the five best of its rows for a
-    query before they are shuffled; Spark broadcasts the queries only if they are small."""
+    """The five nearest vectors of each stated query."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    d = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("match_id"), F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 7).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "match_id"))
-    return d.select("query_id", "match_id", rank.cast("bigint").alias("rank")).where("rank <= 5")
+    d = vectors.nearest(e.withColumnRenamed("vec_id", "match_id"), "match_id", "embedding", q, "query_id", "qv", 5, digits=7)
+    return d.select("query_id", "match_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""with x as (select ts >= timestamp '2024-01-16 00:00:00' as late, cast(floor(value / 50) as integer) as bin, count(*) * 1.0 as n from events group by 1, 2),
