@@ -366,10 +366,9 @@ def distinctiveness(personas: DataFrame, near: float = 0.05, least: float = 0.1)
 
 def tail_insights(insights: DataFrame, responses: DataFrame) -> DataFrame:
     """D-NEW, set level: insights (insight_id, novelty, threshold, v) that some response (v) comes
-    within the insight's own threshold of. Insights are a stated query set; equal responses count
-    once, and each task keeps an insight's best."""
-    r = responses.select(F.col("v").alias("w")).distinct()
-    best = r.join(insights, F.lit(True)).groupBy("insight_id", "novelty", "threshold").agg(F.max(vectors.cosine(F.col("v"), F.col("w"))).alias("best"))
+    within the insight's own threshold of. Insights are a stated query set, each compared with all
+    responses."""
+    best = vectors.nearest(responses.select(F.lit(0).alias("r"), "v"), "r", "v", insights, "insight_id", "v", 1, itself=True).withColumnRenamed("s", "best")
     best = insights.select("insight_id", "novelty", "threshold").join(best.select("insight_id", "best"), "insight_id", "left")
     hit = F.coalesce((F.col("best") >= F.col("threshold")).cast("double"), F.lit(0.0))
     d = best.agg(F.avg(hit).alias("score"), F.try_divide(F.sum(hit * F.col("novelty")), F.sum("novelty")).alias("weighted"))
