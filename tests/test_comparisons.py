@@ -1,5 +1,6 @@
 """Comparing operators against plain versions."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -217,3 +218,32 @@ def test_clusterings_of_two_metrics_agree(spark):
     users = spark.createDataFrame([("t", u, [], b, [], {}, i, i) for u, i, b in rows], "tenant_id string, user_id string, record_ids array<string>, behaviors array<string>, pages array<string>, numbers map<string,double>, seq bigint, order bigint")
     a = segment.cluster_users(users, "jaccard", 0.5, 2).select("user_id", F.col("cluster").alias("a"))
     assert agreement_sets.adjusted_rand(a.join(users.select("user_id", (F.col("seq") % 2).alias("b")), "user_id"), "a", "b").first()["ari"] == 1.0
+
+
+def test_swaps_by_arcs_equal_the_ring_and_entries_stay_apart(spark):
+    """Rings of one arc and of several; two entries of one path are swapped each on its own."""
+    sizes = {1: 1, 2: 5, 3: 16, 4: 33, 5: 70}
+    records = [(c, f"{c}-{i}") for c, n in sizes.items() for i in range(n)]
+    rows = [(f"p{c}", c, f"goals.{i // 2}", [f"{c}-{(i * 5 + j) % n}" for j in range(2)]) for c, n in sizes.items() for i in range(16)]
+    d = spark.createDataFrame(records, "cluster int, record_id string")
+    rings = {c: [x["record_id"] for x in sorted(evidence.ring(d, 42).where(f"cluster = {c}").collect(), key=lambda x: x["position"])] for c in sizes}
+    want = Counter()
+    for trial in range(3):
+        for persona, c, path, ids in rows:
+            ring, own = rings[c], set(ids)
+            at = int(hashlib.md5(f"42:{trial}:{persona}:{path}".encode()).hexdigest()[:8], 16) % len(ring)
+            look = [ring[(at + i) % len(ring)] for i in range(min(len(ring), 2 + len(own)))]
+            new = [x for x in look if x not in own][:2]
+            want[trial, persona, path, tuple(new or ids), bool(new)] += 1
+    e = spark.createDataFrame(rows, "persona string, cluster int, path string, record_ids array<string>")
+    assert Counter((x["trial"], x["persona"], x["path"], tuple(x["record_ids"]), x["swapped"]) for x in evidence.swap_within(e, d, trials=3).collect()) == want
+
+
+def test_ids_that_stay_are_looked_up(spark):
+    """A claim whose ids stay is grounded if a cluster of its persona has them all, in each trial alike."""
+    records = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "cluster int, record_id string")
+    rows = [("p", 1, "summary.0", ["a", "c"]), ("p", 2, "summary.1", ["c"]), ("q", 1, "summary.0", ["c"]), ("q", 1, "summary.1", []), ("q", 1, "summary.2", ["b"])]
+    e = spark.createDataFrame([*rows, rows[1]], "persona string, cluster int, path string, record_ids array<string>")
+    claims = spark.createDataFrame([(p, path) for p, _, path, _ in rows] + [("r", "summary.0")], "persona string, path string")
+    got = {r["persona"]: (r["trials"], r["swapped"], r["passes"], r["false_pass_rate"]) for r in evidence.false_passes(claims, e, records, trials=2).collect()}
+    assert got == {"p": (2, 0, 2, 1.0), "q": (2, 0, 0, 0.0), "r": (2, 0, 0, 0.0)}
