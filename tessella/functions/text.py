@@ -118,7 +118,9 @@ def is_bot(x: Column) -> Column:
     """A bot pattern matches, or at least 80 % of 20 or more letters are upper case."""
     letters = F.length(F.regexp_replace(x, "[^\\p{L}]", ""))
     upper = F.length(F.regexp_replace(x, "[^\\p{Lu}]", ""))
-    return x.rlike("(?i)" + "|".join(BOT_PATTERNS)) | ((letters >= SHOUT_LETTERS) & (upper >= SHOUT_SHARE * letters))
+    # a shorter text has fewer letters, which needs no counting
+    shouts = (F.length(x) >= SHOUT_LETTERS) & (letters >= SHOUT_LETTERS) & (upper >= SHOUT_SHARE * letters)
+    return x.rlike("(?i)" + "|".join(BOT_PATTERNS)) | shouts
 
 
 def marker_count(x: Column, words: list[str] | tuple[str, ...]) -> Column:

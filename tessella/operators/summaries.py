@@ -70,10 +70,11 @@ def typed_features(members: DataFrame, numeric: DataFrame, categorical: DataFram
     )
 
 
-def without_bots(of_cluster: DataFrame) -> DataFrame:
-    """Records none of whose payload texts is a bot's or the system's; all records of a cluster that
-    would be left without any."""
-    d = of_cluster.withColumn("__human", ~F.exists(F.map_values("payload"), lambda v: F.coalesce(text.is_bot(v), F.lit(False))))
+def without_bots(of_cluster: DataFrame, *columns: str) -> DataFrame:
+    """Records (all their columns, or those named) none of whose payload texts is a bot's or the system's; all
+    records of a cluster that would be left without any. Texts are looked at once, for a table."""
+    human = ~F.exists(F.map_values("payload"), lambda v: F.coalesce(text.is_bot(v), F.lit(False)))
+    d = written(of_cluster.select(*CLUSTER, *(columns or [c for c in of_cluster.columns if c not in CLUSTER]), human.alias("__human")))
     some = d.groupBy(*CLUSTER).agg(F.max("__human").alias("__some"))
     return d.join(some, list(CLUSTER)).where("__human or not __some").drop("__human", "__some")
 
@@ -136,15 +137,16 @@ def enrichment(of_cluster: DataFrame) -> DataFrame:
 def verbatim_candidates(of_cluster: DataFrame, least: int = 20, most: int = 2000) -> DataFrame:
     """(cluster, seq, at, t): payload texts of some length that no bot wrote, each once, where first seen."""
     d = of_cluster.select(*CLUSTER, "seq", F.posexplode(F.map_values("payload")).alias("at", "v")).select(*CLUSTER, "seq", "at", F.trim("v").alias("t"))
-    d = d.where(F.length("t").between(least, most)).where(~text.is_bot(F.col("t")))
-    return d.groupBy(*CLUSTER, "t").agg(F.min(F.struct("seq", "at")).alias("first")).select(*CLUSTER, "first.seq", "first.at", "t")
+    # a text that comes often is looked at once
+    d = d.where(F.length("t").between(least, most)).groupBy(*CLUSTER, "t").agg(F.min(F.struct("seq", "at")).alias("first"))
+    return d.where(~text.is_bot(F.col("t"))).select(*CLUSTER, "first.seq", "first.at", "t")
 
 
 def verbatim_samples(of_cluster: DataFrame, k: int = VERBATIM) -> DataFrame:
     """(cluster, position, t): the k candidate texts of each cluster that are nearest to the others in
     style, in the order in which they were first seen; all of them where there are no more."""
     c = verbatim_candidates(of_cluster).withColumn("place", F.struct("seq", "at"))
-    c = c.withColumn("signature", text.style_signature(F.col("t")))
+    c = written(c.withColumn("signature", text.style_signature(F.col("t"))))
     chosen = segment.style_coherent(c, list(CLUSTER), "place", "signature", k)
     order = Window.partitionBy(*CLUSTER).orderBy("place")  # of the k
     return c.join(chosen.select(*CLUSTER, "place"), [*CLUSTER, "place"]).select(*CLUSTER, (F.row_number().over(order) - 1).alias("position"), "t")
@@ -156,7 +158,7 @@ def segment_summaries(records: DataFrame, users: DataFrame, metric: str = "jacca
     members = written(segment.cluster_users(users, metric, threshold, min_size))
     of_cluster = written(cluster_records(records, members))
     named = members.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list("user_id")).alias("members"))  # the result itself
-    pool = without_bots(of_cluster)
+    pool = without_bots(of_cluster, "record_id", "seq", "behaviors")
     listed = lambda d, at, x, name: d.groupBy(*CLUSTER).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda r: r[x]).alias(name))
     sample = listed(representative_sample(pool, top_values(pool, "behaviors")), "rank", "record_id", "sample")
     said = listed(verbatim_samples(of_cluster), "position", "t", "verbatim")

@@ -92,7 +92,7 @@ def cluster_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
   b as (select tenant_id, cluster, seq, rank from q union all select tenant_id, cluster, seq, rank from f where rank <= 12) select tenant_id, cluster, 'ev_' || cast(seq as varchar) as record_id, rank from b""")
 def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_cluster = _clustered(spark, sf_dir)[0]
-    s = summaries.representative_sample(summaries.without_bots(of_cluster), summaries.top_values(of_cluster, "behaviors"))
+    s = summaries.representative_sample(summaries.without_bots(of_cluster, "record_id", "seq", "behaviors"), summaries.top_values(of_cluster, "behaviors"))
     return s.select("tenant_id", "cluster", "record_id", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -72,3 +72,22 @@ def test_segment_summaries(spark, small):
         assert dict(x.split(":") for x in r["sources"].split(",")) == {s: str(c) for s, c in Counter(x["source"] for x in own).items()}
         assert len(set(r["sample"])) == len(r["sample"]) == min(summaries.SAMPLE, len(own)) and set(r["sample"]) <= {x["record_id"] for x in own}
         assert len(r["verbatim"]) <= summaries.VERBATIM and set(r["verbatim"]) <= {v.strip() for x in own for v in x["payload"].values() if v}
+
+
+def test_bots_are_found_as_by_the_patterns_alone(spark):
+    """Whatever the case, behind other words or first; words of a pattern alone are no bots'."""
+    bots = ["Ann HAS joined the Channel", "x pinned  a message", "Welcome to the subreddit!", "you've been Added to it", "see, this ROOM is for all", "a rule violation", "@AutoMod: no", "bot here", "an auto-reply", " [System] up", "hi @everyone", "\nFYI: x", " public service announcement", "[update] 2", "A" * 20]
+    plain = ["she left", "pinned", "welcome home", "I have been there", "this is it", "law enforcement", "autonomous", "a [bot]x", "robot", "ann@work", "HELLO", "see fyi: x", "\u212a" * 3, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(bots + plain)] + [(99, None)], "i int, t string")
+    got = {r["i"]: r["b"] for r in d.select("i", text.is_bot(F.col("t")).alias("b")).collect()}
+    letters = F.length(F.regexp_replace("t", "[^\\p{L}]", ""))
+    whole = F.col("t").rlike("(?i)" + "|".join(text.BOT_PATTERNS)) | ((letters >= 20) & (F.length(F.regexp_replace("t", "[^\\p{Lu}]", "")) >= 0.8 * letters))
+    assert got == {r["i"]: r["b"] for r in d.select("i", whole.alias("b")).collect()}
+    assert [i for i, b in got.items() if b] == list(range(len(bots)))
+
+
+def test_texts_are_looked_at_once(spark, small):
+    """What the results are made of is a table: their plans match no text again."""
+    of_cluster, _ = plans._clustered(spark, small)
+    for d in (summaries.without_bots(of_cluster), summaries.verbatim_samples(of_cluster)):
+        assert "RLIKE" not in d._jdf.queryExecution().optimizedPlan().toString().upper()
