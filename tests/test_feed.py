@@ -128,3 +128,42 @@ def test_folders_without_a_log(spark, tmp_path):
     (tmp_path / "reddit" / "x.jsonl").write_text('\n{"record_id": "1", "source": "reddit", "n": 3}\n\n{"record_id": "2"}')
     got = feed.read_feed(spark, str(tmp_path), DDL)
     assert ids(got) == ["1", "2"] and ids(feed.read_feed(spark, str(tmp_path), DDL, "source = 'reddit'")) == ["1"] and feed.files(str(tmp_path))[0].channel == "reddit"
+
+
+def test_rows_pass_as_lines(spark, path):
+    """Spark writes and reads the JSON, every type of it; the source moves lines."""
+    d = spark.sql("""select 'r' || id as record_id, 's' as source, '2024-01-01' as timestamp, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / 1e6) as at,
+      map('k', cast(id as string), 'none', null, 'é "\\n', '') as payload, array('a', null) as items, if(id = 3, double('nan'), id / 7) as x from range(5)""")
+    feed.write_feed(d, path, run="one")
+    got = feed.read_feed(spark, path, d.schema)
+    assert "from_json" in got._jdf.queryExecution().optimizedPlan().toString()
+    text = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    assert text(got) == text(d)
+    by_filter = feed.read_feed(spark, path, d.schema["record_id"].name + " string, payload map<string,string>, x double", "record_id in ('r3', 'r4')")
+    assert text(by_filter) == text(d.select("record_id", "payload", "x").where("record_id in ('r3', 'r4')"))
+
+
+def test_lines_and_rows_are_entered_alike(tmp_path):
+    """Whole columns give the positions and files that single rows gave."""
+    layout = feed.Layout(f"{tmp_path}/feed", "source", "timestamp", "record_id")
+    data = [dict(source=s, timestamp=t, record_id=k) for s, t, k in [("a", "2", "x"), ("a", None, "z"), ("A", "1", None), ("a", None, "y"), ("a", "2", "w"), (None, None, "q")]]
+    batch = pa.RecordBatch.from_pylist(data)
+    lines = pa.RecordBatch.from_arrays([batch["source"], batch["timestamp"], batch["record_id"], pa.array([json.dumps(r) for r in data])], ["channel", "at", "key", "line"])
+    for by_lines, b in ((False, batch), (True, lines)):
+        entries = feed.FeedWriter(layout, "suite", "0", by_lines).write(iter([b.slice(0, 2), b.slice(2)])).entries
+        got = {e["channel"]: (e["rows"], e["low"], e["high"]) for e in entries}
+        # "a" and "A" share a folder, but no file
+        assert got == {"a": (4, [None, "y"], ["2", "x"]), "A": (1, ["1", ""], ["1", ""]), "unknown": (1, [None, "q"], [None, "q"])}
+        for e in entries:
+            assert len(open(f"{tmp_path}/feed/{e['file']}").read().splitlines()) == e["rows"]
+
+
+def test_whole_files_of_a_stream_are_not_looked_into(spark, path):
+    for i in (0, 1):
+        feed.write_feed(spark.createDataFrame(rows(10 * i, 10 * i + 10), DDL).coalesce(1), path, run="one", batch=str(i))
+    reader = feed.FeedStreamReader(feed.Layout(path, "source", "timestamp", "record_id"), feed.RECORD, None, None, True)
+    end = reader.latestOffset()
+    assert [(p.after, p.until) for p in reader.partitions({}, end)] == [(None, None)] * 2
+    low, middle = ("2024-01-01T09:00:00", "r009"), ("2024-01-02T03:00:00", "r013")
+    assert [(p.after, p.until) for p in reader.partitions({"ga4": list(low)}, end)] == [(None, None)]
+    assert sorted((p.after, p.until) for p in reader.partitions({"ga4": list(middle)}, end)) == [(middle, None)]
