@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,43 @@ def test_stream_in_parts_and_idle_dimensions(spark, tmp_path):
     assert got["idle"] == [*plain([0.5] * 4), ("insufficient_data", None)]  # its history was forgotten
     assert spark.conf.get(monitor.STORE, "") != monitor.ROCKSDB
     assert spark.read.parquet(out).where(F.col("history") == 0).count() == 3
+
+
+class _State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_batch_is_scored_by_columns():
+    """Two batches in pieces and out of order give what a loop over single scores gives, in frames of
+    bounded size; a large common offset cancels nothing out."""
+    scores = [1e6 + (i * 7919 % 101) / 10 for i in range(2 * monitor.BATCH_ROWS + 10)]
+    d = pd.DataFrame([(p, k, at, s) for _, p, k, at, s in rows("D", scores, hours=1 / 60)], columns=["persona_id", "score_id", "at", "score"])
+    h, cut, got = monitor._History(None), len(d) // 3, []
+    h.state = _State()
+    for part in (d[:cut], d[cut:]):
+        pieces = [x.sample(frac=1, random_state=1) for x in (part[1::2], part[::2])]
+        made = list(h.handleInputRows(("D",), iter(pieces), None))
+        assert max(map(len, made)) <= monitor.BATCH_ROWS
+        got += made
+    got = pd.concat(got)
+    assert list(got.columns) == [c.split()[0] for c in monitor.CHECKED.split(", ")]
+    n, mean, m2 = 0, 0.0, 0.0
+    for i, (s, status, z) in enumerate(zip(got["score"], got["status"], got["z_score"], strict=True)):
+        assert s == scores[i]
+        if n < 3:
+            assert status == "insufficient_data" and math.isnan(z)
+        else:
+            assert z == pytest.approx((s - mean) / max(math.sqrt(m2 / n), 0.01), abs=1e-6)
+        n, step = n + 1, s - mean
+        mean += step / n
+        m2 += step * (s - mean)
+    assert list(got["history"]) == list(range(len(scores)))
