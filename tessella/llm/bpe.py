@@ -9,8 +9,9 @@ at every position comes from a blocked scan over all positions of a batch at onc
 block, scan the folds by doubling, replay the blocks. The first character of each document is a
 symbol of its own that resets the state, so documents are cut in one array without mixing.
 
-Merging: each distinct slice is merged once per worker, by rank, and kept in a cache bounded by
-bytes. With the ids stay, for each slice, the code point where it starts and the number of ids up
+Merging: the slices of a batch are made distinct by Arrow; those that the worker's cache, bounded by
+bytes, doesn't hold are merged together, by rank, in rounds of one merge a slice. So a text whose
+words are all new costs numpy passes, not a Python loop for each word. With the ids stay, for each slice, the code point where it starts and the number of ids up
 to its end: decoding goes slice by slice, checks that they fit, and can start anywhere.
 """
 
@@ -33,7 +34,9 @@ from pyspark.sql.types import BinaryType, StructType
 from .common import ByteBound, id_and_text, spans_of_chars, text_runs
 
 #: Characters that are cut at once, and bytes of slices that a worker keeps, about.
-BATCH_CHARS, CACHE_BYTES = 1 << 19, 96 << 20
+BATCH_CHARS, CACHE_BYTES = 1 << 20, 128 << 20
+#: Bytes of slices that are merged without a heap, and the rank of what is no pair.
+SHORT, NO_PAIR = 64, (1 << 63) - 1
 
 # Symbols and states of the automaton.
 L, N, O, Q1, Q2, WS, WS_LAST, BLANK_LAST = range(8)
@@ -147,7 +150,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
-    if n <= 64:
+    if n <= SHORT:
         return _merge_short(piece, ranks)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -189,14 +192,73 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+class PairRanks:
+    """The ids of single bytes, and the rank of each pair of ids whose bytes together are a token."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        pairs = sorted((a << 32 | b, r) for x, r in ranks.items() for i in range(1, len(x)) if (a := ranks.get(x[:i])) is not None and (b := ranks.get(x[i:])) is not None)
+        self.key = np.array([k for k, _ in pairs] + [NO_PAIR], np.int64)
+        self.rank = np.array([r for _, r in pairs] + [NO_PAIR], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.rank[at], NO_PAIR)
+
+
+def merge_together(pieces: list[bytes], pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`merge` gives for each of many short slices that are no tokens themselves: all ids,
+    and how many each slice has. A round merges one pair in every slice that still has one."""
+    of = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    ids = pairs.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    rank = np.full(len(ids), NO_PAIR)  # of the pair that begins here
+
+    def look_up(at: np.ndarray) -> None:
+        rank[at] = NO_PAIR
+        at = at[at + 1 < len(ids)]
+        at = at[of[at] == of[at + 1]]
+        rank[at] = pairs.of(ids[at], ids[at + 1])
+
+    look_up(np.arange(len(ids)))
+    ended = [(of[:0], ids[:0])]
+    while len(ids):
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        size = np.diff(np.r_[first, len(ids)])
+        low = np.minimum.reduceat(rank, first)
+        on = low != NO_PAIR
+        if not on.all():
+            rest = np.repeat(on, size)
+            ended.append((of[~rest], ids[~rest]))
+            of, ids, rank, low, size = of[rest], ids[rest], rank[rest], low[on], size[on]
+        hit = np.flatnonzero(rank == np.repeat(low, size))
+        hit = hit[np.r_[True, of[hit[1:]] != of[hit[:-1]]][: len(hit)]]  # the leftmost of each slice
+        ids[hit] = low
+        rest = np.ones(len(ids), bool)
+        rest[hit + 1] = False
+        of, ids, rank = of[rest], ids[rest], rank[rest]
+        hit -= np.arange(len(hit))
+        look_up(np.r_[hit[hit > 0] - 1, hit])
+    of, ids = (np.concatenate(x) for x in zip(*ended, strict=True))
+    return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(pieces))
+
+
 def slice_cache(ranks: dict[bytes, int]) -> ByteBound:
     """Each slice's ids as little-endian unsigned 32-bit integers."""
+    pairs = PairRanks(ranks)
 
-    def made(piece: str) -> bytes:
-        ids = merge(piece.encode(), ranks)
+    def made(piece: bytes) -> bytes:
+        ids = merge(piece, ranks)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return ByteBound(made, lambda piece, ids: 200 + 2 * len(piece) + len(ids), CACHE_BYTES)
+    def made_together(pieces: list[bytes]) -> list[bytes]:
+        short = [x for x in pieces if len(x) <= SHORT and x not in ranks]
+        ids, size = merge_together(short, pairs)
+        data = ids.astype("<u4").tobytes()
+        found = dict(zip(short, (data[a:b] for a, b in pairwise([0, *(4 * np.cumsum(size)).tolist()])), strict=True))
+        return [found[x] if x in found else made(x) for x in pieces]
+
+    return ByteBound(made, lambda piece, ids: 200 + len(piece) + len(ids), CACHE_BYTES, made_together)
 
 
 @cache
@@ -236,10 +298,25 @@ def _encode_run(texts: list[str], held: ByteBound) -> Encoded:
     joined = "".join(texts)
     bounds = np.cumsum([0, *map(len, texts)])
     starts = slice_starts(joined, np.unique(bounds[:-1][np.diff(bounds) > 0]))
-    at = starts.tolist()
-    found = [held[joined[a:b]] for a, b in pairwise([*at, len(joined)])]
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)
-    return np.frombuffer(b"".join(found), "<u4"), starts, ends
+    if not len(starts):
+        return np.zeros(0, "<u4"), starts, starts
+    data = joined.encode()
+    at = np.r_[starts, len(joined)]
+    if len(data) > len(joined):  # from code points to bytes
+        at = np.r_[np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data)][at]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    found = pa.array(held.all_of(_values(coded.dictionary)), pa.large_binary()).take(coded.indices)
+    _, ends, ids = found.buffers()
+    ends = np.frombuffer(ends, np.int64)[1 : len(found) + 1] >> 2
+    return np.frombuffer(ids, "<u4")[: ends[-1]], starts, ends
+
+
+def _values(x: pa.Array) -> list[bytes]:
+    """Of a large binary array without nulls, cut from its bytes: to_pylist takes four times as long."""
+    _, bounds, data = x.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[x.offset : x.offset + len(x) + 1].tolist()
+    data = data.to_pybytes()
+    return [data[a:b] for a, b in pairwise(bounds)]
 
 
 def _cut(data: bytes, bounds: np.ndarray) -> pa.Array:
