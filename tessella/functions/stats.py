@@ -14,6 +14,13 @@ from . import ranks
 TINY = 1e-10
 
 
+def in_order(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` dealt by ``by``, each group in one task and by ``order``, so that a group's doubles are added one after
+    the other whatever partitions they came from; without ``order`` as they are. A group passes its task as a
+    stream: the sort spills, and a sum holds one row a group."""
+    return rows.repartition(*by).sortWithinPartitions(*by, *order) if order else rows
+
+
 def pearson0(x: Column, y: Column) -> Column:
     """Pearson's r over pairs without nulls; 0 for fewer than 2, or if either hardly varies."""
     both = x.isNotNull() & y.isNotNull()

@@ -120,9 +120,11 @@ def profile_coverage(profile: DataFrame, turns: DataFrame) -> DataFrame:
     return d.withColumn("passed", F.col("score") >= 0.4)
 
 
-def hyper_accuracy(answers: DataFrame) -> DataFrame:
-    """Answers (persona_id, answer, correct, human_accuracy); too far above people is penalised."""
-    d = answers.groupBy(KEY).agg((_share(F.lower(F.trim("answer")) == F.lower(F.trim("correct"))) - F.avg("human_accuracy")).alias("gap"))
+def hyper_accuracy(answers: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Answers (persona_id, answer, correct, human_accuracy); too far above people is penalised. Figures are
+    added by ``order``, if given."""
+    d = answers.select(KEY, (F.lower(F.trim("answer")) == F.lower(F.trim("correct"))).alias("hit"), "human_accuracy", *order)
+    d = stats.in_order(d, [KEY], [*order]).groupBy(KEY).agg((_share(F.col("hit")) - F.avg("human_accuracy")).alias("gap"))
     excess = F.greatest(F.lit(0.0), F.col("gap") - 0.25)
     return d.withColumn("score", F.greatest(F.lit(0.0), 1 - 4 * excess)).withColumn("passed", F.col("gap") <= 0.25)
 

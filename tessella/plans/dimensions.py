@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import agreement, bronze, dimensions
 from ..sources import html
-from ..sources.records import table
+from ..sources.records import placed, table
 from . import query
 from . import scoring as scoring_plans
 from .scoring import e6
@@ -185,8 +185,8 @@ def suite_behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
   select persona_id, cast(round(greatest(0, 1 - 4 * greatest(0, gap - 0.25)) * 1e6) as bigint) as score_e6, gap <= 0.25 as passed from g""")
 def hyper_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("persona_id"), F.concat(F.lit(" "), F.lower("o_orderpriority")).alias("answer"), F.when(k % 3 > 0, F.col("o_orderpriority")).otherwise("x").alias("correct"), (k % 10 / 10).alias("human_accuracy"))
-    return dimensions.hyper_accuracy(a).select("persona_id", e6(F.col("score")).alias("score_e6"), "passed")
+    a = placed(table(spark, sf_dir, "orders")).select(F.col("o_custkey").alias("persona_id"), F.concat(F.lit(" "), F.lower("o_orderpriority")).alias("answer"), F.when(k % 3 > 0, F.col("o_orderpriority")).otherwise("x").alias("correct"), (k % 10 / 10).alias("human_accuracy"), "place")
+    return dimensions.hyper_accuracy(a, ("place",)).select("persona_id", e6(F.col("score")).alias("score_e6"), "passed")
 
 
 @query("""with x as (select doc_id % 20 as persona_id, toxic = 1 as adv, case when quality = 0 then 1.0 else 0.0 end as f from labels), g as (select persona_id, coalesce(avg(case when adv then f end), 0) as d, coalesce(avg(case when not adv then f end), 0) as a from x group by 1)
