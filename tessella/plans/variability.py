@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import variability
-from ..sources.records import table
+from ..sources.records import placed, table
 from . import query
 from .scoring import e6
 
@@ -44,8 +44,8 @@ def retest_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
   select persona_id, claims, cast(round(e * 1.0 / claims * 1e6) as bigint) as entailed_e6, cast(round(k * 1.0 / claims * 1e6) as bigint) as contradicted_e6, cast(round(v * 1.0 / claims * 1e6) as bigint) as coverage_e6, cast(round(coalesce(w * 1.0 / nullif(v, 0), 0) * 1e6) as bigint) as false_positive_e6, cast(round(c * 1e5) as bigint) as confidence_e5 from x""")
 def entailment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber") % 3
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("persona_id"), F.when(n == 0, "entailed").when(n == 1, "neutral").otherwise("contradicted").alias("label"), (F.col("l_returnflag") != "R").alias("grounded"), (F.col("l_quantity").cast("double") / 50).alias("confidence"))
-    d = variability.entailment(e)
+    e = placed(table(spark, sf_dir, "lineitem")).select(F.col("l_suppkey").alias("persona_id"), F.when(n == 0, "entailed").when(n == 1, "neutral").otherwise("contradicted").alias("label"), (F.col("l_returnflag") != "R").alias("grounded"), (F.col("l_quantity").cast("double") / 50).alias("confidence"), "place")
+    d = variability.entailment(e, ("place",))
     return d.select("persona_id", "claims", e6(F.col("entailed_rate")).alias("entailed_e6"), e6(F.col("contradicted_rate")).alias("contradicted_e6"), e6(F.col("coverage")).alias("coverage_e6"), e6(F.col("false_positive_rate")).alias("false_positive_e6"), F.round(F.col("confidence") * 1e5).cast("bigint").alias("confidence_e5"))
 
 

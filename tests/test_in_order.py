@@ -56,3 +56,12 @@ def test_hyper_accuracy(many_splits, tmp_path):
     keys = np.array([30 * m + 10 * t + digit for m in range(800) for digit in range(10) for t in range(3) if (t + digit) % 3 == (1 if digit < 7 else 0)])
     columns = {"o_orderkey": keys, "o_custkey": np.arange(len(keys)) // 10 % 100, "o_orderpriority": ["1-URGENT"] * len(keys)}
     assert differences(many_splits, tmp_path, "hyper_accuracy", "orders", columns) == 0
+
+
+# Below, means of 32 figures (80 prices) end half way between two whole numbers.
+
+
+def test_entailment_summary(many_splits, tmp_path):
+    n, r = 8000, np.random.default_rng(1)
+    columns = {"l_suppkey": np.arange(n) % 250, "l_linenumber": np.arange(n) % 7, "l_returnflag": ["N"] * n, "l_quantity": r.integers(1, 51, n).astype(float)}
+    assert differences(many_splits, tmp_path, "entailment_summary", "lineitem", columns) == 0
