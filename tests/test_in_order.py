@@ -65,3 +65,9 @@ def test_entailment_summary(many_splits, tmp_path):
     n, r = 8000, np.random.default_rng(1)
     columns = {"l_suppkey": np.arange(n) % 250, "l_linenumber": np.arange(n) % 7, "l_returnflag": ["N"] * n, "l_quantity": r.integers(1, 51, n).astype(float)}
     assert differences(many_splits, tmp_path, "entailment_summary", "lineitem", columns) == 0
+
+
+def test_featurize_numeric_mean(many_splits, tmp_path):
+    n, r = 8000, np.random.default_rng(2)
+    columns = {"event_id": np.arange(n), "user_id": np.arange(n) % 250, "event_type": ["click"] * n, "props": ['{"k": 1}'] * n, "value": r.integers(1, 50_000, n) / 100, "ts": pa.array(np.arange(n), pa.timestamp("us"))}
+    assert differences(many_splits, tmp_path, "featurize_numeric_mean", "events", columns) == 0
