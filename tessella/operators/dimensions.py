@@ -380,11 +380,12 @@ def tail_insights(insights: DataFrame, responses: DataFrame) -> DataFrame:
 # Figures of runs and levels.
 
 
-def strategic_reasoning(games: DataFrame) -> DataFrame:
-    """(persona_id, result, random, optimal): normalised advantage, mean, from -1..1 to 0..1."""
+def strategic_reasoning(games: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """(persona_id, result, random, optimal): normalised advantage, mean, from -1..1 to 0..1. Advantages are
+    added by ``order``, if given."""
     gap = F.col("optimal") - F.col("random")
     nra = F.when(F.abs(gap) < 1e-10, 0.0).otherwise((F.col("result") - F.col("random")) / F.when(F.abs(gap) >= 1e-10, gap))
-    d = games.groupBy(KEY).agg(((F.avg(nra) + 1) / 2).alias("score"))
+    d = stats.in_order(games.select(KEY, nra.alias("nra"), *order), [KEY], [*order]).groupBy(KEY).agg(((F.avg("nra") + 1) / 2).alias("score"))
     return d.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).withColumn("passed", F.col("score") >= 0.20)
 
 

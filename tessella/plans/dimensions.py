@@ -89,10 +89,10 @@ def memory_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with g as (select o_custkey as persona_id, o_totalprice / 1e5 as r, 0.5 as a, case when o_orderkey % 10 = 0 then 0.5 else 3.0 end as o from orders), s as (select persona_id, (avg(case when o = a then 0.0 else (r - a) / (o - a) end) + 1) / 2 as s from g group by 1)
   select persona_id, cast(round(greatest(0, least(1, s)) * 1e5) as bigint) as score_e5, greatest(0, least(1, s)) >= 0.2 as passed from s""")
 def strategic_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("persona_id"), (F.col("o_totalprice") / 1e5).alias("result"), F.lit(0.5).alias("random"), F.when(F.col("o_orderkey") % 10 == 0, 0.5).otherwise(3.0).alias("optimal")
+    g = placed(table(spark, sf_dir, "orders")).select(
+        F.col("o_custkey").alias("persona_id"), (F.col("o_totalprice") / 1e5).alias("result"), F.lit(0.5).alias("random"), F.when(F.col("o_orderkey") % 10 == 0, 0.5).otherwise(3.0).alias("optimal"), "place"
     )
-    return dimensions.strategic_reasoning(g).select("persona_id", F.round(F.col("score") * 1e5).cast("bigint").alias("score_e5"), "passed")
+    return dimensions.strategic_reasoning(g, ("place",)).select("persona_id", F.round(F.col("score") * 1e5).cast("bigint").alias("score_e5"), "passed")
 
 
 @query("""with l as (select c_mktsegment as persona_id, c_nationkey as level, avg(c_acctbal) / 1e4 as v from customer group by 1, 2), r as (select *, v > lag(v) over (partition by persona_id order by level) as rise from l)

@@ -71,3 +71,9 @@ def test_featurize_numeric_mean(many_splits, tmp_path):
     n, r = 8000, np.random.default_rng(2)
     columns = {"event_id": np.arange(n), "user_id": np.arange(n) % 250, "event_type": ["click"] * n, "props": ['{"k": 1}'] * n, "value": r.integers(1, 50_000, n) / 100, "ts": pa.array(np.arange(n), pa.timestamp("us"))}
     assert differences(many_splits, tmp_path, "featurize_numeric_mean", "events", columns) == 0
+
+
+def test_strategic_reasoning(many_splits, tmp_path):
+    n = 8000
+    columns = {"o_orderkey": np.arange(n) * 10 + 1, "o_custkey": np.arange(n) % 100, "o_totalprice": np.arange(n) * 13 // 100 % 80 * 625.0 + 50000}
+    assert differences(many_splits, tmp_path, "strategic_reasoning", "orders", columns) == 0
